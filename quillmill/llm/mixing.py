@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 MAX_SOURCES, MAX_LANGS = 1000, 63
 DIMENSIONS = ("source", "lang", "topic")
@@ -75,12 +75,14 @@ def with_strata(docs: DataFrame) -> DataFrame:
 
 def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dict[str, dict[str, float]] | None):
     """(cells with weight and probability, named sources, named langs)."""
+    sums = saved(strata.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")))
+
     def largest(column, most):
-        sums = strata.groupBy(column).agg(F.sum("__tokens").alias("t")).orderBy(F.desc("t"), column)
-        return [r[0] for r in sums.limit(most).collect()]
+        by = sums.groupBy(column).agg(F.sum("__tokens").alias("t")).orderBy(F.desc("t"), column)
+        return [r[0] for r in by.limit(most).collect()]
 
     sources, langs = largest("__source", MAX_SOURCES), largest("__lang", MAX_LANGS)
-    cells = named(strata, sources, langs).groupBy("__s", "__l", "__t").agg(F.sum("__tokens").alias("tokens")).toPandas()
+    cells = named(sums, sources, langs).groupBy("__s", "__l", "__t").agg(F.sum("__tokens").alias("tokens")).toPandas()
     cells = cells.sort_values(["__s", "__l", "__t"], ignore_index=True)
     tokens = cells["tokens"].to_numpy(dtype=float)
     index, wanted = {}, {}
