@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import raw_texts, table
+from .common import pieces, raw_texts, table
 
 LEAF = 24
 CACHE = 1 << 17  # entries in each of two generations
@@ -143,20 +143,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         encoder = Encoder(ranks, compiled)
         sha = hashlib.sha256
         for batch in batches:
-            texts = raw_texts(batch.column("text"))
-            count, ids_sha, text_sha, ids = [], [], [], []
-            for i in range(len(texts)):
-                got = encoder.document(texts.text(i).decode("utf-8"))
-                joined = " ".join([g[0] for g in got])
-                count.append(sum([g[1] for g in got]))
-                ids_sha.append(sha(joined.encode()).hexdigest())
-                text_sha.append(sha(b"".join([g[2] for g in got])).hexdigest())
+            for lo, hi, texts in pieces(raw_texts(batch.column("text"))):
+                count, ids_sha, text_sha, ids = [], [], [], []
+                for i in range(len(texts)):
+                    got = encoder.document(texts.text(i).decode("utf-8"))
+                    joined = " ".join([g[0] for g in got])
+                    count.append(sum([g[1] for g in got]))
+                    ids_sha.append(sha(joined.encode()).hexdigest())
+                    text_sha.append(sha(b"".join([g[2] for g in got])).hexdigest())
+                    if with_ids:
+                        ids.append(joined)
+                columns = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    ids.append(np.array(joined.split(), np.int32) if joined else np.zeros(0, np.int32))
-            columns = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], schema=pa.schema([*(batch.schema.field(f.name) for f in kept), *(pa.field(f.name, c.type) for f, c in zip(StructType.fromDDL(added), columns, strict=True))]))
+                    ends = np.cumsum([0, *count]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(" ".join(ids).split(), np.int32))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in kept), *columns], names=schema.names)
 
     return docs.select(*[f.name for f in kept], "text").mapInArrow(run, schema)
 

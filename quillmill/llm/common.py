@@ -106,13 +106,13 @@ def pieces(texts: Texts, max_bytes: int = 2 << 20):
         i = j
 
 
-def per_document(df: DataFrame, score, schema: str) -> DataFrame:
-    """Runs ``score(Texts) -> dict of columns`` over the text column of ``df`` (doc columns first, text last).
+def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) -> DataFrame:
+    """Runs ``score(Texts) -> dict of columns`` over the text column of ``df``.
 
-    All columns but ``text`` pass through; ``schema`` lists the added ones. Work goes in small
-    buffers of whole documents, so memory does not grow with the partition.
+    All columns but ``text`` pass through, ``text`` too if asked for; ``schema`` lists the added ones.
+    Work goes in small buffers of whole documents, so memory does not grow with the partition.
     """
-    kept = [f for f in df.schema.fields if f.name != "text"]
+    kept = [f for f in df.schema.fields if f.name != "text" or keep_text]
     out = StructType.fromDDL(schema)
     names = [f.name for f in out.fields]
     full = df.select(*[f.name for f in kept]).schema
@@ -129,7 +129,8 @@ def per_document(df: DataFrame, score, schema: str) -> DataFrame:
                     names=[f.name for f in kept] + names,
                 )
 
-    return df.select(*[f.name for f in kept], "text").mapInArrow(run, full)
+    rest = [] if keep_text else ["text"]
+    return df.select(*[f.name for f in kept], *rest).mapInArrow(run, full)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -314,10 +314,15 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest doc_id; one of rows that share it. Null doc_ids stay."""
-    kept = similar_classes(docs.select("doc_id", "text"), words, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs`` whose doc_id is their component's smallest; one of rows that share it. Null doc_ids stay."""
+    found = similar_classes(docs.select("doc_id", "text"), words, percent)
+    gone = saved(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    side = F.broadcast(gone) if gone.count() <= SMALL else gone  # 8 bytes a row; beyond SMALL rows it shuffles
+    rows = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return rows
+    return rows.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rows.filter(F.col("doc_id").isNull()))
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -175,10 +175,10 @@ def train(docs: DataFrame, per_lang: int = 200, max_langs: int = 64, windows_per
     return model.fit(np.concatenate(classes), np.array(label)) if label and len(langs) > 1 else model
 
 
-def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to every row; ``text`` is dropped, other columns pass through."""
+def predict(docs: DataFrame, model: ByteCnn | None, keep_text: bool = False) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` to every row; ``text`` goes unless asked for, other columns pass through."""
     if model is None:
-        return docs.drop("text").withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return (docs if keep_text else docs.drop("text")).withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
     tables_ = model.tables()
     langs = np.array([*model.langs, UND], dtype=object)
 
@@ -198,7 +198,17 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
         lettered = _lettered(texts)
         return {"lang_pred": langs[np.where(lettered, best, len(model.langs))], "score": np.where(lettered, top, 1.0)}
 
-    return per_document(docs, score, "lang_pred string, score double")
+    return per_document(docs, score, "lang_pred string, score double", keep_text)
+
+
+def identified(docs: DataFrame, model: ByteCnn | None, min_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``min_score``; without a model all rows."""
+    if model is None:
+        return docs
+    pick = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # clashing names can't meet the added ones
+    got = predict(docs.select(*[F.col(c).alias("text" if c == "text" else n) for c, n in pick.items()]), model, keep_text=True)
+    got = got.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return got.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in pick.items()])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
