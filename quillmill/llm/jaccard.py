@@ -11,7 +11,8 @@ indexed: with prefixes extended by G, G + 1 shared frequent tokens put two into
 with the set, so a document has a number of pairs in proportion to its size. Only documents whose
 prefix reaches frequent tokens need that. The smaller document of a pair can miss fewer tokens than
 the larger, so each document has a short prefix in one role and a long one in the other. Size,
-position and the number of unshared tokens reject candidates; all others are verified exactly.
+position, the number of tokens held by no other document and a bitmap of hash bins' parities bound
+what a pair can share and reject candidates; all others are verified exactly.
 
 Frequent signatures of large groups link every member with the group's least edited one first; then
 only pairs across the components found so far are looked at. So a group of copies costs one pair a
@@ -87,11 +88,11 @@ def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int) -> Da
         held, size = [], 0
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
-            for i, j, part in pieces(raw_texts(batch.column("text"))):
+            for i, j, part in pieces(raw_texts(batch.column("text")), 1 << 20):
                 tokens, edge = shingles(part, words)
                 held.append((tokens, np.repeat(chunk[i:j], np.diff(edge))))
                 size += len(tokens)
-                if size > 4 << 20:
+                if size > 2 << 20:
                     yield from flush(held)
                     held, size = [], 0
         if size:
@@ -166,14 +167,27 @@ def _pairs(tokens: np.ndarray, classes: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-PREFIX = "doc_id long, n long, k1 long, k2 long, alone long, fixed long, singles array<long>, small array<long>, large array<long>"
+PREFIX = "doc_id long, n long, k1 long, k2 long, alone long, fixed long, singles array<long>, small array<long>, large array<long>, parity array<long>"
+PARITY_BITS = 512
+
+
+def parities(tokens: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """[documents, PARITY_BITS / 64]: for each hash bin, whether it holds an odd number of tokens.
+
+    Bins in which two sets' parities differ hold at least one unshared token each.
+    """
+    n = len(edge) - 1
+    slot = np.repeat(np.arange(n), np.diff(edge)) * PARITY_BITS + (tokens % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITY_BITS), axis=1).view(np.int64)
 
 
 def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, percent: int) -> DataFrame:
     """Each document's size, set key, index entries: see PREFIX.
 
     alone: tokens of no other document; fixed: alone and rare ones; singles: rare tokens at positions
-    alone, alone + 1, ... of the long prefix; small and large: pair signatures by role.
+    alone, alone + 1, ... of the long prefix; small and large: pair signatures by role; parity: see
+    :func:`parities`, for documents with signatures.
     """
 
     def work(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -192,7 +206,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             at[at == len(kind)] = 0
             return kind[at] == key
 
-        columns = {k: [] for k in ("n", "k1", "k2", "alone", "fixed", "singles", "small", "large")}
+        columns = {k: [] for k in ("n", "k1", "k2", "alone", "fixed", "singles", "small", "large", "parity")}
         for _, _, part in pieces(raw_texts(docs.column("text")), 1 << 20):
             tokens, edge = shingles(part, words)
             n = np.diff(edge)
@@ -211,6 +225,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             classes = n_classes(short_miss)
             least_n = -(-percent * n // 100)
             least_classes = n_classes(misses(least_n, percent)[1])
+            parity = parities(tokens, edge)
             for i in range(len(n)):
                 a, b = edge[i], edge[i + 1]
                 singles, small, large = [], np.zeros(0, np.uint64), []
@@ -228,8 +243,9 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
                 columns["singles"].append(singles)
                 columns["small"].append(small.view(np.int64))
                 columns["large"].append(np.concatenate(large).view(np.int64) if large else [])
+                columns["parity"].append(parity[i] if large else [])
         flat = [np.concatenate(columns[k]) if columns[k] else np.zeros(0, np.int64) for k in ("n", "k1", "k2", "alone", "fixed")]
-        lists = [pa.array(columns[k], pa.list_(pa.int64())) for k in ("singles", "small", "large")]
+        lists = [pa.array(columns[k], pa.list_(pa.int64())) for k in ("singles", "small", "large", "parity")]
         return pa.table([docs.column("doc_id"), *[pa.array(x, pa.int64()) for x in flat], *lists], names=[c.split()[0] for c in PREFIX.split(", ")])
 
     return keyed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(work, PREFIX)
@@ -241,6 +257,13 @@ def _fits(a: str, b: str, percent: int):
     return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{a}.alone") <= F.col(f"{a}.n") - least) & (F.col(f"{b}.alone") <= F.col(f"{b}.n") - least)
 
 
+def _alike(percent: int):
+    """Whether the sets' parities leave them few enough unshared tokens."""
+    least = F.ceil(percent * (F.col("s.n") + F.col("l.n")) / (100 + percent))
+    differ = F.aggregate(F.zip_with("s.parity", "l.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
+    return differ <= F.col("s.n") + F.col("l.n") - 2 * least
+
+
 def _ordered():
     return (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.doc_id") < F.col("l.doc_id")))
 
@@ -274,7 +297,7 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     whole = rows.select("doc_id", "n", "k1", "k2")
     reps = saved(whole.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     first = rows.join(reps, ["n", "k1", "k2"]).filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["n", "k1", "k2"])
-    index = saved(first.select("doc_id", "n", "alone", "fixed", "singles", "small", "large").filter((F.size("singles") > 0) | (F.size("large") > 0)))
+    index = saved(first.select("doc_id", "n", "alone", "fixed", "singles", "small", "large", "parity").filter((F.size("singles") > 0) | (F.size("large") > 0)))
 
     # Rare tokens, one by one: at most RARE rows a token.
     single = index.select("doc_id", "n", "alone", F.posexplode("singles").alias("i", "token")).withColumn("at", F.col("alone") + F.col("i"))
@@ -284,24 +307,25 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         .select(F.col("s.doc_id").alias("a"), F.col("l.doc_id").alias("b"))
     )
     # Frequent pairs: every document of a signature with the least edited one.
-    small = index.select("doc_id", "n", "alone", "fixed", F.explode("small").alias("sig"))
-    large = index.select("doc_id", "n", "alone", "fixed", F.explode("large").alias("sig"))
+    hard = ("doc_id", "n", "alone", "fixed", "parity")
+    small = index.select(*hard, F.explode("small").alias("sig"))
+    large = index.select(*hard, F.explode("large").alias("sig"))
     both = small.union(large)
-    hub = both.groupBy("sig").agg(F.min(F.struct("fixed", "doc_id", "n", "alone")).alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    spoke = both.join(hub, "sig").select(F.struct("doc_id", "n", "alone").alias("x"), F.struct("hub.doc_id", "hub.n", "hub.alone").alias("y")).filter("x.doc_id <> y.doc_id").distinct()
+    hub = both.groupBy("sig").agg(F.min(F.struct("fixed", "doc_id", "n", "alone", "parity")).alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    spoke = both.join(hub, "sig").select(F.struct("doc_id", "n", "alone", "parity").alias("x"), F.struct("hub.doc_id", "hub.n", "hub.alone", "hub.parity").alias("y")).filter("x.doc_id <> y.doc_id").distinct()
     order = F.when((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    star = spoke.select(order.alias("p")).select(F.col("p.x").alias("s"), F.col("p.y").alias("l")).filter(_fits("s", "l", percent)).select(F.col("s.doc_id").alias("a"), F.col("l.doc_id").alias("b"))
+    star = spoke.select(order.alias("p")).select(F.col("p.x").alias("s"), F.col("p.y").alias("l")).filter(_fits("s", "l", percent) & _alike(percent)).select(F.col("s.doc_id").alias("a"), F.col("l.doc_id").alias("b"))
     links = saved(verified(saved(met.union(star).distinct()), docs, words, percent))
     found = saved(components(links))
 
     # Frequent pairs again, across the components found so far.
-    placed = lambda side: side.join(found, F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", "n", "alone", F.coalesce("component", "doc_id").alias("c"))
+    placed = lambda side: side.join(found, F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", "n", "alone", "parity", F.coalesce("component", "doc_id").alias("c"))
     far_small, far_large = placed(small), placed(large)
     mixed = far_small.union(far_large).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
     mixed = saved(mixed)
     rest = (
         far_small.join(mixed, "sig", "left_semi").alias("s")
-        .join(far_large.alias("l"), (F.col("s.sig") == F.col("l.sig")) & (F.col("s.c") != F.col("l.c")) & _ordered() & _fits("s", "l", percent))
+        .join(far_large.alias("l"), (F.col("s.sig") == F.col("l.sig")) & (F.col("s.c") != F.col("l.c")) & _ordered() & _fits("s", "l", percent) & _alike(percent))
         .select(F.col("s.doc_id").alias("a"), F.col("l.doc_id").alias("b"))
     )
     rest = saved(rest.distinct())
