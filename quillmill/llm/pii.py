@@ -119,15 +119,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, su
     fewer = F.least(F.count_distinct("context"), F.count_distinct("k"))
     joint = saved(pairs.groupBy("entity", "term").agg(fewer.alias("n_te")).filter(F.col("n_te") >= support))
     n_e = seen.groupBy("entity").agg(fewer.alias("n_e"))
-    wanted = joint.select(F.xxhash64("term").alias("h")).distinct()
-    n_wanted = wanted.count()
-    if not n_wanted:
+    if joint.isEmpty():
         return joint.select("entity", "term")
     held = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
-    if n_wanted <= SMALL:
-        held = held.join(F.broadcast(wanted), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n_t"))
-    else:
-        held = held.groupBy("h").agg(F.count("*").alias("n_t"))
+    held = held.groupBy("h").agg(F.count("*").alias("n_t"))  # counted within each task before the shuffle
     n = docs.count()
     information = F.log(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
