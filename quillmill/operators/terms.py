@@ -58,7 +58,7 @@ def ranked_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def summaries(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ``n`` best sentences in reading order: (key, pos, sentence)."""
-    best = Window.partitionBy(key).orderBy(F.desc("score"), "ord")
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), "ord")  # equal scores: reading order
     kept = ranked_sentences(docs, key, text).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
     order = Window.partitionBy(key).orderBy("ord")
     return kept.select(key, F.row_number().over(order).alias("pos"), "sentence")
