@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, Words, fold, per_document, raw_texts, table
@@ -194,10 +194,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: tuple[i
     """At most ``per_class[label]`` labelled documents of each label by hash of doc_id: rows (label, text, h)."""
     rows = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))  # repeated rows: the higher label
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("label") == 1, per_class[1]).otherwise(per_class[0])
-    ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max(per_class)).filter(F.col("r") <= most).select("doc_id", "label")
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], "doc_id bigint, label int")
+    taken = [r for label in (0, 1) for r in rows.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[label]).collect()]
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in taken], "doc_id bigint, label int")
     got = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")  # at most sum(per_class) ids
     return got.select("label", "text", F.xxhash64("doc_id", "text").alias("h")).limit(sum(per_class)).collect()
 
