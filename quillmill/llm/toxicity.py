@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if len(set(label.tolist())) < 2:
         return None
     kinds, holds, grams = [], [], []
-    for i, _, part in pieces(texts):
+    for i, _, part in pieces(texts, 1 << 19):
         bucket, word, doc, whole = word_grams(part)
         own, first, at = np.unique(whole, return_index=True, return_inverse=True)
         once = np.unique(at * len(part) + doc)  # a document counts a word once
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
         chosen = np.zeros(len(whole), bool)
         chosen[first] = True
         keep = chosen[word]
-        grams.append((bucket[keep], at[word[keep]]))
+        grams.append((bucket[keep], at[word[keep]].astype(np.int32)))
         kinds.append(own)
         holds.append(held)
     shift = np.cumsum([0, *map(len, kinds)])
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     keep = chosen[word]
     model = SubwordSoftmax().fit(bucket[keep], at[word[keep]], mass)
     folded = model.folded()
-    z = np.concatenate([model.pooled(part, folded) for _, _, part in pieces(texts)])
+    z = np.concatenate([model.pooled(part, folded) for _, _, part in pieces(texts, 1 << 19)])
     a, b = 1.0, 0.0
     for _ in range(4000):
         p = 1 / (1 + np.exp(-(a * z + b)))
