@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, raw_texts, table
+from .common import pieces, raw_texts, short_batches, table
 
 LEAF = 24
 CACHE = 1 << 17  # entries in each of two generations
@@ -132,6 +132,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     With ``with_ids`` the row also holds ``token_ids`` array<int>. ``text`` is dropped, other columns pass.
     """
+    short_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     schema = docs.select(*[f.name for f in kept]).schema

@@ -11,6 +11,7 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -95,7 +96,7 @@ def raw_texts(column: pa.Array) -> Texts:
     return Texts(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def pieces(texts: Texts, max_bytes: int = 2 << 20):
+def pieces(texts: Texts, max_bytes: int = 1 << 20):
     """Cuts a batch into runs of whole documents of about ``max_bytes``: yields (first, last, Texts)."""
     n, i = len(texts), 0
     while i < n:
@@ -106,12 +107,28 @@ def pieces(texts: Texts, max_bytes: int = 2 << 20):
         i = j
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long, so Arrow batches of Spark's default 10,000 rows would take tens of MB a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; workers live long and would hold on to their peaks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) -> DataFrame:
     """Runs ``score(Texts) -> dict of columns`` over the text column of ``df``.
 
     All columns but ``text`` pass through, ``text`` too if asked for; ``schema`` lists the added ones.
     Work goes in small buffers of whole documents, so memory does not grow with the partition.
     """
+    short_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != "text" or keep_text]
     out = StructType.fromDDL(schema)
     names = [f.name for f in out.fields]
@@ -128,6 +145,7 @@ def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) ->
                     [batch.column(f.name).slice(i, j - i) for f in kept] + [pa.array(got[k]) for k in names],
                     names=[f.name for f in kept] + names,
                 )
+            give_back()
 
     rest = [] if keep_text else ["text"]
     return df.select(*[f.name for f in kept], *rest).mapInArrow(run, full)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, mix64, per_document, pieces, raw_texts, scan_partitions, table
+from .common import Texts, mix64, per_document, pieces, raw_texts, scan_partitions, short_batches, table
 
 LONGEST = 96
 LENGTHS = (6, 12, 24, 48, LONGEST)
@@ -158,6 +158,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     first. A slice's last row's successor, the first row of the slice below, is copied into it (``extra``).
     The driver holds the bounds of each slice alone; texts shuffle once.
     """
+    short_batches(docs.sparkSession)
     n = scan_partitions(docs)
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).repartitionByRange(n, "doc_id")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, mix64, pieces, raw_texts, saved, scan_partitions, table
+from .common import Texts, Words, give_back, mix64, pieces, raw_texts, saved, scan_partitions, short_batches, table
 from .components import components
 
 WORDS, PERCENT, RARE = 4, 85, 16
@@ -88,13 +88,14 @@ def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int) -> Da
         held, size = [], 0
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
-            for i, j, part in pieces(raw_texts(batch.column("text")), 1 << 20):
+            for i, j, part in pieces(raw_texts(batch.column("text")), 1 << 19):
                 tokens, edge = shingles(part, words)
                 held.append((tokens, np.repeat(chunk[i:j], np.diff(edge))))
                 size += len(tokens)
-                if size > 2 << 20:
+                if size > 1 << 19:
                     yield from flush(held)
                     held, size = [], 0
+                    give_back()
         if size:
             yield from flush(held)
 
@@ -116,6 +117,7 @@ def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int) -> Da
         )
 
     def count(rows: pa.Table) -> pa.Table:
+        give_back()
         chunk = rows.column("chunk").to_numpy()
         by = np.argsort(chunk, kind="stable")
         parts = [np.frombuffer(x, np.uint32) for x in rows.column("tokens").take(pa.array(by)).to_pylist()]
@@ -207,7 +209,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             return kind[at] == key
 
         columns = {k: [] for k in ("n", "k1", "k2", "alone", "fixed", "singles", "small", "large", "parity")}
-        for _, _, part in pieces(raw_texts(docs.column("text")), 1 << 20):
+        for _, _, part in pieces(raw_texts(docs.column("text")), 1 << 19):
             tokens, edge = shingles(part, words)
             n = np.diff(edge)
             key = ((tokens >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
@@ -245,6 +247,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
                 columns["large"].append(np.concatenate(large).view(np.int64) if large else [])
                 columns["parity"].append(parity[i] if large else [])
         flat = [np.concatenate(columns[k]) if columns[k] else np.zeros(0, np.int64) for k in ("n", "k1", "k2", "alone", "fixed")]
+        give_back()
         lists = [pa.array(columns[k], pa.list_(pa.int64())) for k in ("singles", "small", "large", "parity")]
         return pa.table([docs.column("doc_id"), *[pa.array(x, pa.int64()) for x in flat], *lists], names=[c.split()[0] for c in PREFIX.split(", ")])
 
@@ -280,6 +283,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(tokens.view(np.int64)))], names=["doc_id", "tokens"]
                 )
+            give_back()
 
     held = saved(docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>"))
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -289,6 +293,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    short_batches(docs.sparkSession)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_chunks = max(8, size // CHUNK_BYTES + 1) if size < 1 << 56 else max(8, 4 * scan_partitions(docs))
     keyed = _keyed(docs, n_chunks)
