@@ -479,7 +479,16 @@ def match_keys(spark, sf_dir):
 
 # ---------------------------------------------------------------- pages
 
-@query(r"select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[ \t]+', ' ', 'g')) as title from pages")
+def _unescaped(c: str) -> str:
+    for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "\'\'"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{raw}')"
+    return c
+
+
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+
+@query(f"select page_id, trim(regexp_replace({_unescaped(_TITLE)}, '[ \\t]+', ' ', 'g')) as title from pages")
 def html_title(spark, sf_dir):
     return html.parse_pages(table(spark, sf_dir, "pages")).select(F.col("key").alias("page_id"), "title")
 
@@ -489,7 +498,7 @@ def html_text(spark, sf_dir):
     return html.parse_pages(table(spark, sf_dir, "pages")).select(F.col("key").alias("page_id"), "text", F.size("tables").alias("n_tables"))
 
 
-@query(r"select page_id, level, heading from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as heading, 1 as level from pages)")
+@query(f"select page_id, 1 as level, trim({_unescaped('heading')}) as heading from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as heading from pages)")
 def html_headings(spark, sf_dir):
     read = html.parse_pages(table(spark, sf_dir, "pages"))
     return document.headings(document.lines(read, "key")).filter("level = 1").select(F.col("key").alias("page_id"), "level", "heading")
@@ -547,7 +556,7 @@ def index_delete(spark, sf_dir):
     return papers.without(table(spark, sf_dir, "documents"), gone, "doc_id").select("doc_id", "text")
 
 
-@query("select * from (values (1, 5, 2, 0, 2), (2, 2, 0, 1, 0), (3, 0, 0, 0, 0), (4, 0, 2, 1, 0)) t(doc_id, n_sections, n_tables, n_algorithms, n_links)")
+@query("select * from (values (1, 6, 2, 0, 2), (2, 2, 0, 1, 0), (3, 0, 0, 0, 0), (4, 0, 2, 1, 0)) t(doc_id, n_sections, n_tables, n_algorithms, n_links)")
 def manifest_stats(spark, sf_dir):
     from .plans.analysis import analyse
 
