@@ -44,7 +44,8 @@ def scripts(turns: DataFrame) -> DataFrame:
 
 
 def parse_script(lines: DataFrame) -> DataFrame:
-    """Script lines (key, line_no, line) back to (key, line_no, speaker, text)."""
-    pattern = r"^\*\*(【主持人】|【讲解人】)\*\*\s*(.+)$"
-    found = lines.filter(F.col("line").rlike(pattern) & (F.trim(F.regexp_extract("line", pattern, 2)) != ""))
-    return found.select("key", "line_no", F.when(F.regexp_extract("line", pattern, 1) == HOST, "A").otherwise("B").alias("speaker"), F.trim(F.regexp_extract("line", pattern, 2)).alias("text"))
+    """Script lines (key, line_no, line) back to (key, line_no, speaker, text); a label may stand in bold."""
+    label = F.regexp_extract(F.trim("line"), r"^(?:\*\*(【主持人】|【讲解人】)\*\*|(【主持人】|【讲解人】))", 0)
+    found = lines.withColumn("label", label).filter("label <> ''")
+    text = F.trim(F.substr(F.trim("line"), F.length("label") + 1))
+    return found.select("key", "line_no", F.when(F.contains("label", F.lit(HOST)), "A").otherwise("B").alias("speaker"), text.alias("text"))

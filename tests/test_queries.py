@@ -116,7 +116,7 @@ def test_subtitles(spark):
     got = dialogue.srt_files(turns).first()
     assert got.srt.startswith("1\n00:00:00,000 --> 00:00:13,261\n【主持人】") and "3\n00:00:13,611 --> 00:00:15,211\n【讲解人】short" in got.srt
     back = dialogue.parse_script(document.lines(dialogue.scripts(turns), "key", "script")).collect()
-    assert [(r.speaker, r.text) for r in back] == [("A", "x" * 61), ("B", "short")]
+    assert [(r.speaker, r.text) for r in back] == [("A", "x" * 61), ("B", ""), ("B", "short")]
 
 
 def test_bundle_end_to_end(spark, tmp_path):
