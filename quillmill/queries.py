@@ -498,7 +498,7 @@ def html_text(spark, sf_dir):
     return html.parse_pages(table(spark, sf_dir, "pages")).select(F.col("key").alias("page_id"), "text", F.size("tables").alias("n_tables"))
 
 
-@query(f"select page_id, 1 as level, trim({_unescaped('heading')}) as heading from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as heading from pages)")
+@query(f"select page_id, 1 as level, regexp_replace(trim({_unescaped('heading')}), '\\s*#*\\s*$', '') as heading from (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as heading from pages)")
 def html_headings(spark, sf_dir):
     read = html.parse_pages(table(spark, sf_dir, "pages"))
     return document.headings(document.lines(read, "key")).filter("level = 1").select(F.col("key").alias("page_id"), "level", "heading")
