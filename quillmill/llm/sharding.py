@@ -2,8 +2,8 @@
 
 Rows of equal text are one atomic group; groups stand in the order of a 64-bit hash of their text.
 The smallest capacity with which a greedy pass needs no more than the given number of shards is found
-by binary search, and the order is cut where that pass cuts. A group larger than an even share gets
-a shard of its own, so that it doesn't raise every other shard's capacity.
+by binary search, and the order is cut where that pass cuts. Groups larger than an even share stand
+first and get shards of their own, so that they don't raise every other shard's capacity.
 
 The search runs on the driver over segments of the order (hash prefixes), never over groups: a greedy
 pass that may cut inside segments bounds the answer from below, one that may not bounds it from
@@ -57,16 +57,11 @@ def large_groups(total: np.ndarray, n_shards: int) -> np.ndarray:
         alone[np.flatnonzero(more)[: left - 1]] = True
 
 
-def runs_between(alone: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], alone, [True]]).astype(int)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def greedy(prefix: np.ndarray, run: tuple[int, int], capacity: int) -> list[int] | None:
-    """Ends of the shards of a run that may be cut between segments; None if a segment is too large."""
-    at, ends = run[0], []
-    while at < run[1]:
-        nxt = min(int(np.searchsorted(prefix, prefix[at] + capacity, "right")) - 1, run[1])
+def greedy(prefix: np.ndarray, capacity: int) -> list[int] | None:
+    """Ends of the shards cut between segments with sums ``prefix``; None if a segment is too large."""
+    at, ends = 0, []
+    while at < len(prefix) - 1:
+        nxt = int(np.searchsorted(prefix, prefix[at] + capacity, "right")) - 1
         if nxt <= at:
             return None
         ends.append(nxt)
@@ -82,44 +77,37 @@ def smallest(feasible, low: int, high: int) -> int:
 
 
 def plan_step(seg: Segments, n_shards: int):
-    """(segments to split, cut positions): positions are final when nothing is to split."""
-    total = seg.total
-    prefix = np.concatenate([[0], np.cumsum(total)])
-    alone = large_groups(total, n_shards)
-    coarse = ~seg.atomic & (alone | (total > max(1, prefix[-1] // (n_shards * 256))))
+    """(segments to split, groups alone, cuts): a mask, first keys of the groups that get shards of
+    their own, and first keys of the shards after the first of all others; None until nothing is to split."""
+    alone = large_groups(seg.total, n_shards)
+    coarse = ~seg.atomic & (alone | (seg.total > max(1, seg.total.sum() // (n_shards * 256))))
     if coarse.any():
-        return coarse, None
-    runs, own = runs_between(alone), int(alone.sum())
-    sums = [int(prefix[b] - prefix[a]) for a, b in runs]
-    room = max(n_shards - own, len(runs))
-    most = max([1, *sums])
-    lower = smallest(lambda c: sum(-(-s // c) for s in sums) <= room, 1, most)
-
-    def whole(c):
-        ends = [greedy(prefix, r, c) for r in runs]
-        return all(e is not None for e in ends) and sum(map(len, ends)) <= room
-
-    upper = smallest(whole, lower, most)
-    unsure = np.zeros(len(total), bool)
-    if not seg.atomic.all():
-        for run in runs:
-            early, late = run[0], prefix[run[0]]
-            for k in range(n_shards):
-                nxt = min(int(np.searchsorted(prefix, prefix[early] + lower, "right")) - 1, run[1])
-                early = max(nxt, early)
-                late = min(prefix[run[0]] + (k + 1) * upper, prefix[run[1]])
-                unsure[early : min(int(np.searchsorted(prefix, late, "left")) + 1, run[1])] = True
-                if early >= run[1]:
-                    break
-        unsure &= ~seg.atomic
-    if unsure.any():
-        return unsure, None
-    cuts = sorted({b for r in runs for b in [r[0], *greedy(prefix, r, upper)]} | {k for a in np.flatnonzero(alone) for k in (int(a), int(a) + 1)})
-    return unsure, [c for c in cuts if 0 < c < len(total)]
-
-
-def cut_keys(rows: DataFrame, n_shards: int) -> tuple[list[int], int]:
-    """First keys of shards 1.. over ``rows`` (h, size), and the number of rows."""
+        return coarse, None, None
+    rest = np.flatnonzero(~alone)
+    prefix = np.concatenate([[0], np.cumsum(seg.total[rest])])
+    room, whole = n_shards - int(alone.sum()), int(prefix[-1])
+    lower = max(1, -(-whole // room))
+
+    def feasible(capacity):
+        ends = greedy(prefix, capacity)
+        return ends is not None and len(ends) <= room
+
+    upper = smallest(feasible, lower, max(whole, 1))
+    unsure = np.zeros(len(rest), bool)
+    early = 0
+    for k in range(room if not seg.atomic.all() else 0):
+        early = max(early, int(np.searchsorted(prefix, prefix[early] + lower, "right")) - 1)
+        unsure[early : int(np.searchsorted(prefix, (k + 1) * upper, "left")) + 1] = True
+    split = np.zeros(len(seg.total), bool)
+    split[rest] = unsure & ~seg.atomic[rest]
+    if split.any():
+        return split, None, None
+    return split, seg.first[alone].tolist(), seg.first[rest[greedy(prefix, upper)[:-1]]].tolist() if len(rest) else []
+
+
+def cut_keys(rows: DataFrame, n_shards: int) -> tuple[list[int], list[int], int]:
+    """Over ``rows`` (h, size): keys of the groups with shards of their own, first keys of the shards
+    after the first of all others, and the number of rows."""
 
     def sums(df, bits):
         got = df.groupBy(F.shiftright("h", 64 - bits).alias("p")).agg(F.min("h"), F.max("h"), F.sum("size"), F.count("*")).toPandas().to_numpy(dtype=np.int64)
@@ -128,12 +116,12 @@ def cut_keys(rows: DataFrame, n_shards: int) -> tuple[list[int], int]:
 
     *columns, n_rows = sums(rows, FIRST_BITS)
     if not n_rows:
-        return [], 0
+        return [], [], 0
     seg = Segments(*columns)
     while True:
-        split, cuts = plan_step(seg, n_shards)
+        split, alone, cuts = plan_step(seg, n_shards)
         if cuts is not None:
-            return [int(seg.first[c]) for c in cuts], n_rows
+            return alone, cuts, n_rows
         for bits in sorted(set(seg.bits[split].tolist())):
             gone = split & (seg.bits == bits)
             keys = rows.sparkSession.createDataFrame([(int(k) >> (64 - bits),) for k in seg.first[gone]], "p long")
@@ -154,10 +142,12 @@ def shard(docs: DataFrame, n_shards: int = 40, rows_per_slice: int = 20_000) ->
             F.xxhash64(raw).alias("h"),
         )
     )
-    keys, n_rows = cut_keys(rows.select("h", "size"), n_shards)
-    number = F.lit(0)
-    for k in keys:
+    alone, cuts, n_rows = cut_keys(rows.select("h", "size"), n_shards)
+    number = F.lit(len(alone))
+    for k in cuts:
         number = number + (F.col("h") >= F.lit(k)).cast("int")
+    for i, k in enumerate(alone):
+        number = F.when(F.col("h") == F.lit(k), i).otherwise(number)
     # Slots: rows of a shard fall into slices by hash; a slice's first slot is the count of those before it.
     slices = max(16, n_rows // (n_shards * rows_per_slice) + 1)
     placed = rows.withColumn("shard", number).withColumn("slice", F.pmod(F.xxhash64("doc_id", "h"), F.lit(slices)))
