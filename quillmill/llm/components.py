@@ -9,7 +9,7 @@ from .common import release, saved
 
 
 def _signature(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Every node but a component's smallest now points at that one.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
