@@ -209,6 +209,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             return kind[at] == key
 
         columns = {k: [] for k in ("n", "k1", "k2", "alone", "fixed", "singles", "small", "large", "parity")}
+        least_size = -(-percent // max(100 - percent, 1))  # below, a set is similar to equal ones alone
         for _, _, part in pieces(raw_texts(docs.column("text")), 1 << 19):
             tokens, edge = shingles(part, words)
             n = np.diff(edge)
@@ -231,7 +232,7 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             for i in range(len(n)):
                 a, b = edge[i], edge[i + 1]
                 singles, small, large = [], np.zeros(0, np.uint64), []
-                if n[i] >= 6:
+                if n[i] >= least_size:
                     if alone[i] <= long_miss[i] and n_rare[i]:
                         singles = tokens[a:b][rare[a:b]][: long_miss[i] + 1 - alone[i]].view(np.int64)
                     if fixed[i] <= long_miss[i] and n_freq[i]:

@@ -194,6 +194,20 @@ def test_set_join_matches_brute_force(spark, rare):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("rare", [1, 16])
+def test_set_join_of_small_sets(spark, rare):
+    """Sets of four and five shingles can be similar at 0.8."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(25):
+        words = prose(rng, rng.choice([8, 9, 10, 11])).split()
+        rows += [" ".join(words), " ".join([*words, "more"]), " ".join(words[1:])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_classes(docs, 5, 80, rare).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in enumerate(rows)}
+    assert got == brute_components(sets, 80) and len(set(got.values())) < 50
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 4999), (4999, 5000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -252,6 +266,22 @@ def test_shards_have_the_least_capacity(spark):
     assert len(sums) == 7 and sums[-2] < 1.2 * (sum(sums[:-1]) / 6)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shard_plan_is_the_least_and_keeps_to_its_number(seed):
+    """Random groups, many of them larger than an even share: never more shards than asked for."""
+    rng = np.random.default_rng(seed)
+    n, shards = int(rng.integers(1, 120)), int(rng.integers(1, 41))
+    size = np.where(rng.random(n) < 0.3, rng.integers(1000, 9000, n), rng.integers(16, 400, n))
+    key = np.sort(rng.choice(10**9, n, replace=False))
+    split, alone, cuts = sharding.plan_step(sharding.Segments(key, size, np.ones(n, bool), np.full(n, 64)), shards)
+    assert not split.any() and len(alone) + len(cuts) + (len(alone) < n) <= shards
+    rest = ~np.isin(key, alone)
+    sums = np.bincount(np.searchsorted(cuts, key[rest], "right"), size[rest]) if rest.any() else np.zeros(1)
+    prefix = np.concatenate([[0], np.cumsum(size[rest])])
+    tighter = sharding.greedy(prefix, int(sums.max()) - 1) if rest.any() else None
+    assert tighter is None or len(tighter) > shards - len(alone)
+
+
 # ---------------------------------------------------------------- 7: tokens
 
 @pytest.fixture(scope="module")
