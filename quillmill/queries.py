@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import numbers as N
 from .functions import text as T
 from .functions import vocab as V
-from .operators import dialogue, document, papers, tables, terms
+from .operators import dialogue, document, merging, outline, papers, pseudocode, tables, terms
 from .sources import html, readers
 
 QUERIES: dict = {}
@@ -599,3 +599,71 @@ def event_windows(spark, sf_dir):
 def arxiv_ids(spark, sf_dir):
     rows = spark.createDataFrame([("2301.00001",), ("arXiv:2301.00001v2",), ("https://arxiv.org/abs/2301.00001",), ("https://arxiv.org/pdf/2301.00001.pdf",), ("hep-th/9901001",), ("paper.md",)], "source string")
     return rows.select("source", readers.arxiv_id(F.col("source")).alias("id"))
+
+
+# ---------------------------------------------------------------- pseudocode, outlines, merged readings
+
+
+@query("""select * from (values ('A1', E'def top_k(stream_S, integer_k):\\n    H = []\\n    for x in S:\\n        if x >= 0:\\n            push(H, x)\\n    return H'), ('A2', E'def algorithm_a2():\\n    pass')) t(algorithm_id, code)""")
+def pseudocode_translate(spark, sf_dir):
+    lines = ["Algorithm 1: TOPK", "Input: stream S, integer k", "1: H ← empty min-heap", "2: for each x in S do", "3: if x ≥ 0 then", "4: push(H, x)", "5: end if", "6: end for", "7: return H"]
+    rows = spark.createDataFrame([("p", "A1", "Top-K", lines), ("p", "A2", None, [])], "key string, algorithm_id string, caption string, lines array<string>")
+    return pseudocode.translate(rows).select("algorithm_id", "code")
+
+
+_GLOSSED = "trim(coalesce(text, ''))"
+for _pattern, _term in outline.GLOSSARY:
+    _GLOSSED = f"regexp_replace({_GLOSSED}, {_literal(_pattern)}, {_literal(_term)}, 'gi')"
+
+
+@query(f"with g as (select doc_id, trim(regexp_replace({_GLOSSED}, '\\s+', ' ', 'g')) as s from documents) select doc_id, case when s = '' or regexp_matches(s, '{V.CJK}') then s else '论文指出：' || s end as glossed from g")
+def glossary_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", outline.glossed(F.col("text")).alias("glossed"))
+
+
+@query("select doc_id, left(E'# 标题\\n' || source || E'\\n\\n# 作者\\n' || lang || E'\\n\\n# 摘要\\n' || left(text, 200) || E'\\n\\n# ' || source || E'\\n' || text, 9000) as digest from documents where text is not null and source is not null and lang is not null")
+def paper_digest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null and source is not null and lang is not null").withColumn("key", F.col("doc_id"))
+    heads = docs.select("key", F.col("source").alias("title"), F.array("lang").alias("authors"), F.left("text", F.lit(200)).alias("abstract"))
+    sections = docs.select("key", F.lit(1).alias("ord"), F.col("source").alias("heading"), "text")
+    no_algorithms = spark.createDataFrame([], "key long, ord int, algorithm_id string, caption string, lines array<string>")
+    no_tables = spark.createDataFrame([], "key long, ord int, table_id string, caption string, row_idx int, cells array<string>")
+    return outline.digests(heads, sections, no_algorithms, no_tables).select(F.col("key").alias("doc_id"), "digest")
+
+
+@query("select * from (values ('conclusion', 'It works well. It will pave the way.'), ('limitation', 'One site alone.')) t(kind, text)")
+def closing_chunks(spark, sf_dir):
+    text = "1. Introduction\nwords\nConclusion\nIt works well.\n\nIt will pave the way.\nReferences\n[1] x\nV. Limitations\nOne site alone."
+    rows = spark.createDataFrame([("p", i, x) for i, x in enumerate(text.split("\n"))], "key string, line_no int, line string")
+    return outline.closing_chunks(rows).select("kind", "text")
+
+
+@query("select * from (values (0, 1, 'Model', 'm1'), (1, 1, 'Model', 'm1'), (1, 2, 'More', 'm2'), (2, 1, 'End', 'c'), (2, 2, 'Discussion', 'd'), (3, 1, 'Abstract', 'short')) t(pos, ord, section, text)")
+def outline_sections(spark, sf_dir):
+    sections = [(2, "Model", "method", "m1"), (3, "More", "method", "m2"), (4, "Discussion", "discussion", "d"), (5, "End", "conclusion", "c")]
+    rows = spark.createDataFrame([("p", *s) for s in sections], "key string, ord int, heading string, kind string, text string")
+    heads = spark.createDataFrame([("p", i, h) for i, h in enumerate(["Model", "核心方法", "结论", "速览", "复现"])], "key string, pos int, heading string")
+    return outline.outline_sections(heads, rows, spark.createDataFrame([("p", "short")], "key string, abstract string")).select("pos", "ord", "section", "text")
+
+
+@query("select * from (values (0, 'content', null, null), (1, 'figure', null, 'F2'), (2, 'table', 'T1', null), (3, 'figure', null, 'F1'), (4, 'content', null, null)) t(pos, kind, table_id, figure_id)")
+def slide_assets(spark, sf_dir):
+    heads = spark.createDataFrame([("p", i, h) for i, h in enumerate(["引言", "核心方法", "实验结果", "More results", "method"])], "key string, pos int, heading string")
+    tables_ = spark.createDataFrame([("p", 1, "T1")], "key string, ord int, table_id string")
+    figures = spark.createDataFrame([("p", 1, "F1", "plot"), ("p", 2, "F2", "architecture")], "key string, ord int, figure_id string, kind string")
+    return outline.slide_assets(heads, tables_, figures).select("pos", "kind", "table_id", "figure_id")
+
+
+@query("select * from (values ('structured', 'T5', 'TABLE V. Costs'), ('structured', 'T2', 'Table 2: Errors'), ('base', 'T7', 'Something else')) t(source, table_id, caption)")
+def merged_tables(spark, sf_dir):
+    shape = "key string, ord int, table_id string, caption string, header array<string>, rows array<array<string>>"
+    grid = (["a", "b"], [["1", "2"]])
+    structured = spark.createDataFrame([("p", 1, "T1", "", *grid), ("p", 2, "T2", "Table 2: Errors", *grid)], shape)
+    captions = spark.createDataFrame([("p", 1, "T5", "TABLE V. Costs")], "key string, ord int, table_id string, caption string")
+    base = spark.createDataFrame([("p", 1, "T1", "junk", *grid), ("p", 2, "T9", "errors", [], []), ("p", 3, "T7", "Something else", [], [])], shape)
+    return merging.merged_tables(base, merging.captions_to_grids(structured, captions)).select("source", "table_id", "caption")
+
+
+@query(r"select doc_id, case when trim(coalesce(split_part(text, chr(10), 1), '')) in ('', 'Untitled') then -1 else length(trim(split_part(text, chr(10), 1))) + case when len(string_split(trim(split_part(text, chr(10), 1)), ' ')) > 6 then 20 else 0 end - case when regexp_matches(trim(split_part(text, chr(10), 1)), '^[IVX]+\.\s+') then 50 else 0 end end as score from documents")
+def title_scores(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", merging.title_score(F.split("text", "\n")[0]).alias("score"))
