@@ -3,11 +3,12 @@
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Beyond them the
 corpus itself is asked which ordinary terms reveal a protected entity (one e-mail address, one
 number, ...): term t discloses entity e as far as its pointwise mutual information with e reaches e's
-own information content, PMI(t; e) >= ALPHA * IC(e). Terms are read from e's line, WINDOW code points to either side. An
-occurrence counts by e's neighbouring words, so copies of one passage count once, and by document, so
-does a document that repeats itself; the fewer of both counts, SUPPORT at least are needed. n(t) is
-counted over all documents. Disclosing terms are spans of kind ``term`` in every document
-that holds the entity; :func:`sanitise` removes them and generalises base spans to their kind.
+own information content, PMI(t; e) >= ALPHA * IC(e). All counts are of distinct texts, over the whole
+corpus: n(t) of those that hold t, n(e) of those that hold e, n(t, e) of those that hold both anywhere,
+SUPPORT at least; so copies of a text count once on every side, and a frame that is the same everywhere
+counts as often as it stands. A text's terms are its words outside base spans. Disclosing terms are
+spans of kind ``term`` in every document that holds the entity; :func:`sanitise` removes them and
+generalises base spans to their kind.
 
 Defined results: null texts are empty; positions are code points, end exclusive; equal rows give
 equal results; an empty table gives no rows; extra columns pass through :func:`sanitise`.
@@ -22,7 +23,7 @@ from .common import saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-ALPHA, SUPPORT, SHORTEST, WINDOW = 0.9, 3, 4, 200
+ALPHA, SUPPORT, SHORTEST = 0.9, 3, 4
 #: A side of a join is broadcast up to so many rows of a hash or an id; beyond, the join shuffles.
 SMALL = 100_000
 
@@ -106,27 +107,38 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs over the threshold. ``found``: (k, entity, left, right) of each occurrence."""
-    left, right = _words(F.col("left")), _words(F.col("right"))
-    seen = found.select("k", "entity", left.alias("l"), right.alias("r")).select(
-        "k",
-        "entity",
-        F.xxhash64(F.try_element_at("l", F.lit(-1)), F.try_element_at("r", F.lit(1))).alias("context"),
-        F.array_distinct(F.concat("l", "r")).alias("terms"),
-    )
-    pairs = seen.select("k", "entity", "context", F.explode("terms").alias("term")).filter((F.length("term") >= SHORTEST) & F.col("term").rlike(r"\p{L}"))
-    fewer = F.least(F.count_distinct("context"), F.count_distinct("k"))
-    joint = saved(pairs.groupBy("entity", "term").agg(fewer.alias("n_te")).filter(F.col("n_te") >= support))
-    n_e = seen.groupBy("entity").agg(fewer.alias("n_e"))
+def _terms(text: Column, base: Column) -> Column:
+    """The distinct words of a text outside its base spans that can be terms."""
+    return F.filter(F.array_distinct(_words(replaced(text, base, " "))), lambda w: (F.length(w) >= SHORTEST) & w.rlike(r"\p{L}"))
+
+
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= SMALL else side
+
+
+def disclosing_terms(rows: DataFrame, keyed: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) pairs over the threshold. ``rows``: (k, x, entities) of each row, x a hash of its text."""
+    texts = saved(rows.groupBy("x").agg(F.min("k").alias("k"), F.count("*").alias("copies"), F.first("entities").alias("entities")))
+    held = texts.select("k", F.explode("entities").alias("entity"))
+    n_e = saved(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support))  # n_te is n_e at most
+    none = n_e.select("entity", F.lit("").alias("term")).limit(0)
+    if n_e.isEmpty():
+        return none
+    worded = lambda side: keyed.join(_small(saved(side)), "k").dropDuplicates(["k"]).withColumn("terms", _terms(F.col("text"), F.col("base")))
+    pairs = worded(held.join(_small(n_e.select("entity")), "entity").groupBy("k").agg(F.collect_list("entity").alias("entities")))
+    pairs = pairs.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"))
+    joint = saved(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support))
     if joint.isEmpty():
-        return joint.select("entity", "term")
-    held = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
-    held = held.groupBy("h").agg(F.count("*").alias("n_t"))  # counted within each task before the shuffle
-    n = docs.count()
+        return none
+    # Every row counts, and then a copied text's further copies are taken off.
+    hashed = lambda terms: F.explode(F.transform(terms, lambda w: F.xxhash64(w))).alias("h")
+    n_t = keyed.select(hashed(_terms(F.col("text"), F.col("base")))).groupBy("h").agg(F.count("*").alias("n_t"))
+    more = worded(texts.filter("copies > 1").select("k", "copies")).select(hashed(F.col("terms")), (1 - F.col("copies")).alias("n_t"))
+    n_t = n_t.unionByName(more).groupBy("h").agg(F.sum("n_t").alias("n_t"))
+    n = texts.count()
     information = F.log(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = joint.withColumn("h", F.xxhash64("term")).join(held, "h").join(n_e, "entity")
+    scored = joint.withColumn("h", F.xxhash64("term")).join(n_t, "h").join(n_e, "entity")
     return scored.filter((information > 0) & (mutual >= alpha * information)).select("entity", "term")
 
 
@@ -136,16 +148,11 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> tuple
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"))
     keyed = keyed.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("base", base_spans(F.col("text")))
-    near = lambda s, text: F.struct(
-        _entity(s).alias("entity"),
-        F.substring_index(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))), "\n", -1).alias("left"),
-        F.substring_index(F.substring(text, s["end"] + 1, F.lit(WINDOW)), "\n", 1).alias("right"),
-    )
-    rows = saved(keyed.select("doc_id", "k", "base", F.transform("base", lambda s: near(s, F.col("text"))).alias("near")))
-    found = rows.select("k", F.explode("near").alias("s")).select("k", "s.entity", "s.left", "s.right")
-    terms = disclosing_terms(found, keyed.select("text"), alpha, support)
+    rows = saved(keyed.select("doc_id", "k", F.xxhash64("text").alias("x"), "base", F.array_distinct(F.transform("base", _entity)).alias("entities")))
+    terms = disclosing_terms(rows.select("k", "x", "entities"), keyed.select("k", "text", "base"), alpha, support)
+    found = rows.select("k", F.explode("entities").alias("entity"))
     quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    terms = saved(found.select("k", "entity").distinct().join(terms, "entity").groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("k", quoted.alias("pattern")))
+    terms = saved(found.distinct().join(terms, "entity").groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("k", quoted.alias("pattern")))
     return rows.select("doc_id", "k", "base"), terms
 
 
@@ -173,11 +180,12 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[of(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size(F.coalesce("added", F.array().cast(SPAN))).alias("n_term"))
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """Base spans become <KIND>; term spans go; of overlapping spans the first stands for all."""
+def replaced(text: Column, spans: Column, by: str | None = None) -> Column:
+    """Base spans become <KIND>, or ``by``; term spans go; of overlapping spans the first stands for all."""
+    mark = (lambda s: F.when(s["kind"] == TERM, "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))) if by is None else lambda s: F.lit(by)
 
     def step(acc, s):
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == TERM, "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark(s))
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(kept).alias("out"))
 

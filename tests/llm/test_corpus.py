@@ -150,6 +150,23 @@ def test_pii_disclosing_term(spark):
     assert text[0] == "call  uno now uno <EMAIL> red or" and text[100] == rows[5][1]
 
 
+def test_pii_terms_in_constant_frames_and_copies(spark):
+    rng = random.Random(9)
+    frame = [f"{prose(rng, 8)}\ncontact Zorblax at a@b.co today" for _ in range(6)]
+    # Far from its address; one of its four texts stands 100 times.
+    far = [f"Quuxley {prose(rng, 90)}\nmail c@d.org" for _ in range(4)]
+    page = ["Only Copied Pagewords e@f.net"] * 20  # one text, so no support
+    rest = [prose(rng, 30) + " contact today mail" for _ in range(300)]
+    texts = frame + far + far[:1] * 99 + page + rest
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in pii.sanitise(docs).collect():
+        before = texts[r.doc_id]
+        want = before.replace("Zorblax", "").replace("Quuxley", "")
+        for address in ("a@b.co", "c@d.org", "e@f.net"):
+            want = want.replace(address, "<EMAIL>")
+        assert r.text == want
+
+
 # ---------------------------------------------------------------- 3: set join
 
 def brute_components(sets, percent):
