@@ -137,7 +137,7 @@ _NUMBER_ROWS = "select -i::bigint as id, cell from (values " + ", ".join(f"({i +
 @query(f"select id, round(num, 9) as num from (select id, {_number('cell')} as num from ({_NUMBER_ROWS}))")
 def number_parse(spark, sf_dir):
     traps = spark.createDataFrame([(-i - 1, c) for i, c in enumerate(_TRAPS)], "id long, cell string")
-    rows = traps.union(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200)))
+    rows = traps.union(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("id", F.round(N.to_number(F.col("cell")), 9).alias("num"))
 
 

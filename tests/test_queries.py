@@ -161,3 +161,14 @@ def test_small_decisions(spark):
     assert sorted(r.scale for r in papers.scale_hints(rows).collect()) == [400, 1500]
     assert "seeds" in papers.missing_elements(rows).first().missing
     assert readers.synthetic(spark, 10, "str_list", 3).filter("length(value) = 6").count() == 10
+
+
+def documents(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_number_beyond_a_texts_head(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["word " * 60 + "42 and 7", "word " * 60 + "85.2%", "word " * 60, None])
+    got = {r.id: r.num for r in Q.number_parse(spark, sf).collect() if r.id >= 0}
+    assert got == {0: 42.0, 1: 0.852, 2: None, 3: None}
