@@ -143,9 +143,7 @@ def number_parse(spark, sf_dir):
 
 @query(f"select doc_id, len(x)::int as n, round(list_sum(list_transform(x, lambda t: try_cast(replace(replace(t, '%', ''), ',', '') as double) / case when t like '%\\%' escape '\\' then 100 else 1 end)), 6) as total from (select doc_id, list_slice(regexp_extract_all(coalesce(text, ''), '{V.NUMBER}'), 1, 200) as x from documents) where len(x) > 0 and list_max(list_transform(x, lambda t: length(t))) < 15")
 def extract_numbers(spark, sf_dir):
-    found = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(V.NUMBER), F.lit(0)), 1, 200)
-    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("t"), N.extract_numbers(F.col("text")).alias("x"))
-    rows = rows.filter((F.size("t") > 0) & (F.array_max(F.transform("t", lambda s: F.length(s))) < 15))
+    rows = table(spark, sf_dir, "documents").select("doc_id", N.extract_numbers(F.col("text")).alias("x"))
     return rows.select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 

@@ -172,3 +172,11 @@ def test_number_beyond_a_texts_head(spark, tmp_path):
     sf = documents(spark, tmp_path, ["word " * 60 + "42 and 7", "word " * 60 + "85.2%", "word " * 60, None])
     got = {r.id: r.num for r in Q.number_parse(spark, sf).collect() if r.id >= 0}
     assert got == {0: 42.0, 1: 0.852, 2: None, 3: None}
+
+
+def test_extract_numbers_keeps_every_document(spark, tmp_path):
+    texts = ["card 4111111111111111 and 2", "50% of 1,204", "no digits", "", None, "7 " * 300]
+    got = {r.doc_id: (r.n, r.total) for r in Q.extract_numbers(spark, documents(spark, tmp_path, texts)).collect()}
+    want = {0: (2, 4111111111111113.0), 1: (2, 1204.5), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0), 5: (200, 1400.0)}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == n and got[i][1] == pytest.approx(total, rel=1e-12) for i, (n, total) in want.items())
