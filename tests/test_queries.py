@@ -180,3 +180,10 @@ def test_extract_numbers_keeps_every_document(spark, tmp_path):
     want = {0: (2, 4111111111111113.0), 1: (2, 1204.5), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0), 5: (200, 1400.0)}
     assert got.keys() == want.keys()
     assert all(got[i][0] == n and got[i][1] == pytest.approx(total, rel=1e-12) for i, (n, total) in want.items())
+
+
+def test_paper_status_of_all_documents_and_labels(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["a"] * 7)
+    spark.createDataFrame([(i, 1, 0) for i in (3, 4, 4, 9, 10)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    got = sorted((r.doc_id, r.status) for r in Q.paper_status(spark, sf).collect())
+    assert got == [(i, "ready" if i in (3, 4) else "uploaded") for i in range(7)] + [(9, "outputs"), (10, "outputs")]
