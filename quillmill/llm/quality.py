@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Texts, Words, fold, per_document, raw_texts, table
@@ -190,25 +190,51 @@ class LineCrf:
         return self
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: tuple[int, int]) -> list:
-    """At most ``per_class[label]`` labelled documents of each label by hash of doc_id: rows (label, text, h)."""
+def fitting(rows: list, most: dict[int, int], max_bytes: int) -> list:
+    """Of ``rows`` (label, h, bytes), in order, those that fit their label's share of ``max_bytes``; only texts that don't fit are skipped.
+
+    Shares are as ``most``; what one label leaves of its share is the other's.
+    """
+    share = {k: max_bytes * n // sum(most.values()) for k, n in most.items()}
+    used = {k: min(share[k], sum(r.bytes for r in rows if r.label == k)) for k in share}
+    left = {k: max_bytes - sum(n for other, n in used.items() if other != k) for k in share}
+    out = []
+    for r in rows:
+        if r.bytes <= left[r.label]:
+            left[r.label] -= r.bytes
+            out.append(r)
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: tuple[int, int], max_bytes: int) -> list:
+    """(label, text) of at most ``per_class[label]`` labelled documents of each label by hash of doc_id, in order of a hash.
+
+    Texts are chosen by their length, so that at most ``max_bytes`` of them come to the driver. A label of which no text fits is an error.
+    """
     rows = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))  # repeated rows: the higher label
     taken = [r for label in (0, 1) for r in rows.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[label]).collect()]
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in taken], "doc_id bigint, label int")
-    got = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")  # at most sum(per_class) ids
-    return got.select("label", "text", F.xxhash64("doc_id", "text").alias("h")).limit(sum(per_class)).collect()
+    got = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("h"))
+    first = Window.partitionBy("label").orderBy("h")  # repeated rows of a sampled doc_id stay within the bound
+    most = dict(enumerate(per_class))
+    sized = got.select("label", "h", F.octet_length("text").alias("bytes")).withColumn("r", F.row_number().over(first))
+    sized = sized.filter(F.col("r") <= F.when(F.col("label") == 0, per_class[0]).otherwise(per_class[1])).collect()
+    kept = fitting(sorted(sized, key=lambda r: (r.h, r.label)), most, max_bytes)
+    for label in {r.label for r in sized} - {r.label for r in kept}:
+        raise ValueError(f"no text with {column} = {label} fits its share of {max_bytes} bytes")
+    side = docs.sparkSession.createDataFrame([(r.h,) for r in kept], "h bigint").distinct()
+    text = {r.h: r.text for r in got.join(F.broadcast(side), "h").select("h", "text").dropDuplicates(["h"]).collect()}
+    return [(r.label, text[r.h]) for r in kept]
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: tuple[int, int] = (900, 900), max_bytes: int = 8 << 20) -> LineCrf | None:
     """Learns from the rows of ``labels`` given; bounded by sum(per_class) documents and ``max_bytes`` of text."""
-    rows = sorted(labelled(docs, labels, column, per_class), key=lambda r: (r.h, r.label))
-    if len({r.label for r in rows}) < 2:
+    rows = labelled(docs, labels, column, per_class, max_bytes)
+    if len({y for y, _ in rows}) < 2:
         return None
-    total = np.cumsum([len(r.text) for r in rows])
-    rows = [r for r, t in zip(rows, total, strict=True) if t <= max_bytes] or rows[:1]
-    feats, doc, length = line_features(raw_texts(pa.array([r.text for r in rows])))
-    label = np.array([r.label for r in rows])
+    feats, doc, length = line_features(raw_texts(pa.array([t for _, t in rows])))
+    label = np.array([y for y, _ in rows])
     model = LineCrf(feats.shape[1]).fit(feats, doc, label[doc], length)
     return model.calibrate(model.document_logit(feats, doc, length, len(rows)), label)
 

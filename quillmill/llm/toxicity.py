@@ -137,14 +137,10 @@ def top_mean(value: np.ndarray, doc: np.ndarray, n_docs: int, top: int, floor: f
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: tuple[int, int] = (2400, 900), max_bytes: int = 12 << 20) -> SubwordSoftmax | None:
     """Learns from the rows of ``labels`` given; bounded by sum(per_class) documents and ``max_bytes`` of text."""
-    rows = sorted(labelled(docs, labels, column, per_class), key=lambda r: (r.h, r.label))
-    if len({r.label for r in rows}) < 2:
-        return None
-    total = np.cumsum([len(r.text) for r in rows])
-    rows = [r for r, t in zip(rows, total, strict=True) if t <= max_bytes] or rows[:2]
-    texts, label = raw_texts(pa.array([r.text for r in rows])), np.array([r.label for r in rows])
-    if len(set(label.tolist())) < 2:
+    rows = labelled(docs, labels, column, per_class, max_bytes)
+    if len({y for y, _ in rows}) < 2:
         return None
+    texts, label = raw_texts(pa.array([t for _, t in rows])), np.array([y for y, _ in rows])
     kinds, holds, grams = [], [], []
     for i, _, part in pieces(texts, 1 << 19):
         bucket, word, doc, whole = word_grams(part)

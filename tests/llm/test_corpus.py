@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, components, embeddings, fingerprint, jaccard, langid, mixing, pii, quality, sharding, toxicity
 from quillmill.llm.common import fold, raw_texts
@@ -83,6 +84,26 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert z[1] > z[0] + 0.5
 
 
+def test_long_text_costs_the_sample_itself_alone(spark):
+    rng = random.Random(11)
+    rows = [(i, f"{prose(rng, 30)} {'frobnitz grumblox' if i % 3 == 0 else 'mild'} {prose(rng, 30)}", int(i % 3 == 0)) for i in range(1, 241)]
+    # The first text in hash order is longer than the whole budget.
+    tails = spark.range(2000).select("id", F.xxhash64(F.lit(0).cast("long"), F.concat(F.lit("long " * 40_000), F.col("id").cast("string"))).alias("h"))
+    rows.append((0, "long " * 40_000 + str(tails.orderBy("h").first().id), 0))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 1 - y) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    for column in ("toxic", "quality"):
+        kept = quality.labelled(docs, labels, column, (900, 900), 160_000)
+        assert len(kept) == 240 and sum(len(t.encode()) for _, t in kept) <= 160_000
+    got = toxicity.predict(docs, toxicity.train(docs, labels, max_bytes=160_000)).collect()
+    assert sum(r.predicted == (r.doc_id % 3 == 0 and r.doc_id > 0) for r in got) >= 239
+    short = spark.createDataFrame([(1, "a b c"), (2, "d " * 900), (3, "e " * 900)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 1)], "doc_id long, toxic int, quality int")
+    for train in (toxicity.train, quality.train):
+        with pytest.raises(ValueError, match="= 1 fits"):
+            train(short, known, max_bytes=1000)
+
+
 def test_language_held_out(spark):
     kinds = {"aa": "lor mip sunt dol quam", "bb": "straß über grün schön fünf", "cc": "niño año más señal según"}
     rng = random.Random(3)
