@@ -5,10 +5,11 @@ their source, language and topic marginals meet the targets; documents are then
 probabilities proportional to their cell's weight, the heaviest cell's being 1, so the expected
 sample meets the targets without taking any document twice.
 
-The ``MAX_SOURCES`` (``MAX_LANGS``) largest values by tokens are named strata and all others share
-one, so the driver holds at most MAX_SOURCES * MAX_LANGS * 4 cells; the raking runs there. Targets
+Every source and language is a stratum. Up to ``MAX_CELLS`` cells are raked on the driver; more are a
+distributed table that takes the same steps by grouped sums, so only rounding differs. Targets
 default to tempered shares (share ** temperature, normalised); given ones are normalised over the
-strata that occur. A document's draw is a hash of its doc_id, so a rerun takes the same documents.
+strata that occur, one not given is 0. A document's draw is a hash of its doc_id, so a rerun takes the
+same documents.
 
 Defined results: null source or lang is a stratum of its own; a document without words has no tokens
 and gets its cell's probability; cells without tokens get weight 1; equal rows are drawn together;
@@ -21,12 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import release, saved, table
 
-MAX_SOURCES, MAX_LANGS = 1000, 63
+MAX_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
+CELL = [f"__{d}" for d in DIMENSIONS]
 
 
 def topic_of(text) -> object:
@@ -73,47 +75,69 @@ def with_strata(docs: DataFrame) -> DataFrame:
     )
 
 
-def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dict[str, dict[str, float]] | None):
-    """(cells with weight and probability, named sources, named langs)."""
-    sums = saved(strata.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")))
-
-    def largest(column, most):
-        by = sums.groupBy(column).agg(F.sum("__tokens").alias("t")).orderBy(F.desc("t"), column)
-        return [r[0] for r in by.limit(most).collect()]
-
-    sources, langs = largest("__source", MAX_SOURCES), largest("__lang", MAX_LANGS)
-    cells = named(sums, sources, langs).groupBy("__s", "__l", "__t").agg(F.sum("__tokens").alias("tokens")).toPandas()
-    cells = cells.sort_values(["__s", "__l", "__t"], ignore_index=True)
-    tokens = cells["tokens"].to_numpy(dtype=float)
+def wanted_shares(cells: DataFrame, column: str, temperature: float, given: dict[str, float] | None) -> DataFrame:
+    """(column, want): the target share of each of a dimension's values."""
+    sums = cells.groupBy(column).agg(F.sum("__tokens").alias("t"))
+    shares = sums.withColumn("want", F.when(F.col("t") > 0, F.pow("t", F.lit(temperature))).otherwise(0.0))
+    if given:
+        side = cells.sparkSession.createDataFrame([(n, max(float(v), 0.0)) for n, v in given.items()], f"{column} string, target double")
+        met = sums.join(side, column, "left").withColumn("want", F.when(F.col("t") > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0))
+        met = saved(met.select(column, "t", "want"))
+        shares = met if met.filter("want > 0").limit(1).count() else shares
+    shares = saved(shares)
+    total = shares.agg(F.sum("want")).first()[0]
+    return shares.select(column, (F.col("want") / F.lit(max(total or 0.0, 1e-300))).alias("want"))
+
+
+def rake_table(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """:func:`rake` for a table of cells of any size: adds ``__weight``."""
+    total = float(cells.agg(F.sum("__tokens")).first()[0] or 0)
+    now = saved(cells.withColumn("__weight", F.lit(1.0)))
+    for _ in range(rounds):
+        worst = 0.0
+        for column, shares in wanted.items():
+            have = now.groupBy(column).agg(F.sum(F.col("__weight") * F.col("__tokens")).alias("have"))
+            factor = F.when(F.col("have") > 0, F.col("want") * total / F.col("have")).otherwise(1.0)
+            factors = saved(have.join(shares, column).select(column, factor.alias("__factor")))
+            worst = max(worst, factors.agg(F.max(F.abs(F.col("__factor") - 1))).first()[0] or 0.0)
+            then = saved(now.join(factors, column).withColumn("__weight", F.col("__weight") * F.col("__factor")).select(*now.columns))
+            release(now)
+            release(factors)
+            now = then
+        if worst < tolerance:
+            break
+    return now
+
+
+def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dict[str, dict[str, float]] | None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Every cell with its weight and probability."""
+    sums = saved(strata.groupBy(*CELL).agg(F.sum("__tokens").alias("__tokens")))
+    targets = targets or {}
+    if sums.count() > max_cells:
+        got = rake_table(sums, {f"__{d}": wanted_shares(sums, f"__{d}", temperature[d], targets.get(d)) for d in DIMENSIONS})
+        top = got.agg(F.max("__weight")).first()[0]
+        return got.select(*CELL, "__weight", (F.col("__weight") / F.lit(max(top, 1e-300))).alias("__probability"))
+    cells = sums.toPandas().sort_values(CELL, ignore_index=True)
+    tokens = cells["__tokens"].to_numpy(dtype=float)
     index, wanted = {}, {}
-    for d, column in zip(DIMENSIONS, ("__s", "__l", "__t"), strict=True):
+    for d, column in zip(DIMENSIONS, CELL, strict=True):
         names, index[d] = np.unique(cells[column].to_numpy(dtype=str), return_inverse=True)
-        sums = np.bincount(index[d], tokens, minlength=len(names))
-        if targets and d in targets:
-            given = np.array([max(targets[d].get(n, 0.0), 0.0) for n in names]) * (sums > 0)
-            wanted[d] = given / given.sum() if given.sum() > 0 else tempered(sums, temperature[d])
-        else:
-            wanted[d] = tempered(sums, temperature[d])
+        held = np.bincount(index[d], tokens, minlength=len(names))
+        wanted[d] = tempered(held, temperature[d])
+        if targets.get(d):
+            given = np.array([max(targets[d].get(n, 0.0), 0.0) for n in names]) * (held > 0)
+            wanted[d] = given / given.sum() if given.sum() > 0 else wanted[d]
     weight = rake(tokens, index, wanted) if len(cells) else tokens
-    cells["weight"] = weight
-    cells["probability"] = weight / max(weight.max(initial=0.0), 1e-300)
-    return cells, sources, langs
-
-
-def named(strata: DataFrame, sources: list[str], langs: list[str]) -> DataFrame:
-    keep = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise(OTHER)
-    return strata.withColumns({"__s": keep("__source", sources), "__l": keep("__lang", langs), "__t": F.col("__topic")})
+    probability = weight / max(weight.max(initial=0.0), 1e-300)
+    rows = [(str(s), str(lang), str(t), float(w), float(p)) for s, lang, t, w, p in zip(*[cells[c] for c in CELL], weight, probability, strict=True)]
+    side = strata.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in CELL) + ", __weight double, __probability double")
+    return F.broadcast(side)  # at most max_cells
 
 
-def drawn(docs: DataFrame, temperature: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 20) -> DataFrame:
+def drawn(docs: DataFrame, temperature: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 20, max_cells: int = MAX_CELLS) -> DataFrame:
     """The sampled rows with their stratum, tokens, weight and probability (columns ``__...``)."""
-    strata = with_strata(docs)
     narrow = with_strata(docs.select("doc_id", "source", "lang", "text")).drop("text")
-    cells, sources, langs = probabilities(narrow, TEMPERATURE | (temperature or {}), targets)
-    rows = [(str(r[0]), str(r[1]), str(r[2]), float(r[4]), float(r[5])) for r in cells.itertuples(index=False)]
-    side = docs.sparkSession.createDataFrame(rows, "__s string, __l string, __t string, __weight double, __probability double")
-    # At most MAX_SOURCES + 1 by MAX_LANGS + 1 by 4 cells.
-    joined = named(strata, sources, langs).join(F.broadcast(side), ["__s", "__l", "__t"])
+    joined = with_strata(docs).join(probabilities(narrow, TEMPERATURE | (temperature or {}), targets, max_cells), CELL)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     return joined.filter(draw < F.col("__probability"))
 

@@ -288,6 +288,21 @@ def test_sample_moves_shares_to_targets(spark):
     assert abs(n["s0"] / (n["s0"] + n["s1"]) - 0.5) < 0.04 and n["s1"] == 1200
 
 
+def test_every_source_is_raked_wherever_the_cells_are(spark):
+    # Every host has both languages in one proportion, so that few rounds meet the targets.
+    rows = [(i, f"host{i % 1200}", "de" if i >= 1200 else "en", "word " * (3 + (i % 1200 < 1100) * 9) * (1 + i // 1200)) for i in range(2400)]
+    strata = mixing.with_strata(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).localCheckpoint()
+    cells = lambda targets, most: {(r[0], r[1], r[2]): r["__weight"] for r in mixing.probabilities(strata, mixing.TEMPERATURE, targets, most).collect()}
+    assert len({k[0] for k in cells(None, 10**6)}) == 1200
+    targets = {"source": {"host7": 0.25, "host1150": 0.75}}
+    near, far = cells(targets, 10**6), cells(targets, 0)
+    assert near.keys() == far.keys() and all(np.allclose(near[k], far[k], rtol=1e-6, atol=1e-12) for k in near)
+    tokens = collections.Counter()
+    for source, lang, topic, n in strata.groupBy(*mixing.CELL).sum("__tokens").collect():
+        tokens[source] += near[source, lang, topic] * n
+    assert tokens["host1150"] / sum(tokens.values()) == pytest.approx(0.75, abs=1e-6)
+
+
 def test_shards_have_the_least_capacity(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + ["copy of one text " * 30] * 25
