@@ -141,26 +141,27 @@ def _lettered(texts: Texts) -> np.ndarray:
     return found
 
 
-def sample(docs: DataFrame, per_lang: int, max_langs: int) -> list:
-    """At most ``per_lang`` documents of each of the ``max_langs`` commonest languages, by hash of doc_id."""
+def sample(docs: DataFrame, per_lang: int, max_docs: int) -> list:
+    """Documents of every language, by hash of doc_id: ``per_lang`` of each at most, fewer (but one) where all would pass ``max_docs``."""
     rows = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return []
+    per_lang = max(1, min(per_lang, max_docs // n_langs))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.filter(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
-    ids = [r[0] for r in ids.select("doc_id").collect()]  # at most per_lang * max_langs
+    ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
+    ids = [r[0] for r in ids.select("doc_id").collect()]  # at most per_lang * n_langs
     got = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(
         F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint").distinct()), "doc_id", "left_semi"
     )
     # Training looks at a few windows of each sampled document; scoring reads whole texts.
-    got = got.filter(F.col("lang").isin(langs)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    return got.limit(per_lang * max_langs).collect()  # repeated rows of a sampled doc_id stay within the bound
+    got = got.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    return got.limit(per_lang * n_langs).collect()  # repeated rows of a sampled doc_id stay within the bound
 
 
-def train(docs: DataFrame, per_lang: int = 200, max_langs: int = 64, windows_per_doc: int = 6, size: int = 256) -> ByteCnn | None:
-    """``docs`` (doc_id, lang, text) are the rows to learn from; bounded by per_lang * max_langs documents."""
-    rows = sorted(sample(docs, per_lang, max_langs), key=lambda r: (r.h, r.lang))
+def train(docs: DataFrame, per_lang: int = 200, max_docs: int = 12_800, windows_per_doc: int = 6, size: int = 256) -> ByteCnn | None:
+    """``docs`` (doc_id, lang, text) are the rows to learn from; bounded by per_lang documents of each language and ``max_docs``, or one of each."""
+    rows = sorted(sample(docs, per_lang, max_docs), key=lambda r: (r.h, r.lang))
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None

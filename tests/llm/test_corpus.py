@@ -117,6 +117,12 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in langid.predict(odd, model).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 70:02}", f"{chr(0x4E00 + i % 70) * 3} word") for i in range(140)] + [(900, "rare", "quux " * 9)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), windows_per_doc=1)
+    assert model.langs == sorted({r[1] for r in rows})
+
+
 def test_cnn_tables_match_filters():
     model = langid.ByteCnn(["a", "b"])
     classes, _, _ = langid.windows(raw_texts(__import__("pyarrow").array(["Hello wörld " * 40])), 64)
