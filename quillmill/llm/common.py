@@ -2,9 +2,11 @@
 
 Conventions of every operator here
 ----------------------------------
-* Inputs are narrowed to the columns that an operator names, so extra columns, also ones whose
-  names clash with an operator's own, never matter.
-* A null ``doc_id`` is a value like any other; a null text counts as the empty text.
+* Extra columns pass through or are left out; inner columns take names that the input doesn't use
+  (:func:`unused`). Where an operator adds a column to its input, a column of that name (in any case)
+  is replaced, as by ``withColumn``.
+* A null ``doc_id`` is a value like any other, but for folds (fold 0) and where an operator says so; a
+  null text counts as the empty text.
 * Repeated rows are kept: each input row gives one output row.
 * An empty table gives an empty result with the same schema.
 """
@@ -27,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share. A temporary one is made only where none is set and master and
+    executors are one process on one machine (tests); anything else is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -55,6 +60,18 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def unused(columns, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scan_partitions(df: DataFrame) -> int:
     """The number of tasks that read ``df``; it follows the input's bytes."""
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
@@ -125,13 +142,14 @@ def give_back() -> None:
 def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) -> DataFrame:
     """Runs ``score(Texts) -> dict of columns`` over the text column of ``df``.
 
-    All columns but ``text`` pass through, ``text`` too if asked for; ``schema`` lists the added ones.
+    All columns but ``text`` pass through, ``text`` too if asked for; ``schema`` lists the added ones,
+    which replace columns of the same name.
     Work goes in small buffers of whole documents, so memory does not grow with the partition.
     """
     short_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != "text" or keep_text]
     out = StructType.fromDDL(schema)
     names = [f.name for f in out.fields]
+    kept = [f for f in df.schema.fields if (f.name != "text" or keep_text) and f.name.lower() not in names]
     full = df.select(*[f.name for f in kept]).schema
     for f in out.fields:
         full = full.add(f)
@@ -187,6 +205,9 @@ class Words:
         word = np.cumsum(begin[at]) - 1
         self.length = np.bincount(word, minlength=k) if k else np.zeros(0, np.int64)
         place = at - self.start[word] if k else at
-        value = _TABLE[data[at]] * _PLACE[place & 65535] + (place >> 16).astype(np.uint64)
+        value = _TABLE[data[at]] * _PLACE[place & 65535]
+        far = np.flatnonzero(place > 65535)
+        if len(far):  # places repeat only together with another odd factor
+            value[far] *= mix64((place[far] >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         first = np.searchsorted(at, self.start)
         self.hash = mix64(np.add.reduceat(value, first) + self.length.astype(np.uint64)) if k else np.zeros(0, np.uint64)
