@@ -5,12 +5,18 @@ a rank table. The piece is halved recursively down to leaves, whose bytes are me
 neighbours are joined by re-encoding a window around their border, which grows until its outermost
 tokens equal those that were there before. Every adjacent pair of the joined sequence then occurs in
 an encoding of its own bytes, and a token sequence all of whose adjacent pairs do so is the one that
-merging the whole piece would give, so nothing further out can change. Pieces never merge with one
-another, so a text's element is the concatenation of its pieces'; decoding maps tokens to bytes and
-concatenates up the same tree.
+merging the whole piece would give, so nothing further out can change. Leaves hold LEAF bytes, so all
+pieces that are not tokens themselves and are longer are built by joins. Pieces never merge with one
+another, so above them the product is concatenation: a text's tree has FAN children a node, whose ids
+and decoded bytes are concatenated on the way up.
 
 The reduction of a piece depends on its bytes alone, so each worker remembers short pieces'
-results in two generations of ``CACHE`` entries. Null and empty texts have no tokens.
+results in two generations of ``CACHE`` entries.
+
+Defined results: null and empty texts have no tokens and the digests of nothing; equal texts have equal
+results, repeated rows and null doc_ids give rows of their own; equal ranks don't occur in a rank table,
+among equal pairs the leftmost merges first; an empty table gives no rows; columns named like an added
+one are replaced. A text of any length is walked piece by piece: its digests are fed FAN * FAN pieces at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from .common import pieces, raw_texts, short_batches, table
 
-LEAF = 24
+LEAF, FAN = 4, 64
 CACHE = 1 << 17  # entries in each of two generations
 CACHED_BYTES = 48
 
@@ -47,8 +53,6 @@ class RankTable:
     def leaf(self, data: bytes) -> list[int]:
         """Merges by rank, leftmost first among equals."""
         ranks = self.ranks
-        if data in ranks:
-            return [ranks[data]]
         parts = [data[i : i + 1] for i in range(len(data))]
         pair = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
         while pair:
@@ -83,9 +87,10 @@ class RankTable:
                 b *= 2
 
     def encode(self, data: bytes) -> list[int]:
-        """Ids of one piece: halves level by level, without recursion, so length bounds nothing."""
-        if len(data) <= LEAF:
-            return self.leaf(data)
+        """Ids of one piece: halves level by level, without recursion, so length bounds nothing. As in the
+        library, a piece that is a token is that token."""
+        if data in self.ranks:
+            return [self.ranks[data]]
         level = [self.leaf(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
@@ -93,7 +98,14 @@ class RankTable:
 
     def decode(self, ids: list[int]) -> bytes:
         of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        return reduced([of[i] for i in ids], b"")
+
+
+def reduced(parts: list, between):
+    """``parts`` concatenated with ``between``, up a tree of FAN children a node."""
+    while len(parts) > FAN:
+        parts = [between.join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return between.join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -126,6 +138,17 @@ class Encoder:
         piece = self.piece
         return [self.known.get(p) or piece(p) for p in self.find(text)]
 
+    def digests(self, text: str):
+        """(number of ids, digest of the ids, digest of the decoded bytes, ids) of a text, FAN * FAN pieces at a time."""
+        got, n, ids_sha, text_sha, ids = self.document(text), 0, hashlib.sha256(), hashlib.sha256(), []
+        for i in range(0, len(got), FAN * FAN):
+            part = got[i : i + FAN * FAN]
+            ids.append(reduced([g[0] for g in part], " "))
+            ids_sha.update(((" " if i else "") + ids[-1]).encode())
+            text_sha.update(reduced([g[2] for g in part], b""))
+            n += sum([g[1] for g in part])
+        return n, ids_sha.hexdigest(), text_sha.hexdigest(), " ".join(ids)
+
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (of ids encoded, then decoded) to every row.
@@ -133,8 +156,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     With ``with_ids`` the row also holds ``token_ids`` array<int>. ``text`` is dropped, other columns pass.
     """
     short_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != "text"]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    names = {f.name for f in StructType.fromDDL(added)} | {"text"}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
     schema = docs.select(*[f.name for f in kept]).schema
     for f in StructType.fromDDL(added):
         schema = schema.add(f)
@@ -142,16 +166,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(batches):
         ranks, compiled = _tokenizer(path, pattern)
         encoder = Encoder(ranks, compiled)
-        sha = hashlib.sha256
         for batch in batches:
             for lo, hi, texts in pieces(raw_texts(batch.column("text"))):
                 count, ids_sha, text_sha, ids = [], [], [], []
                 for i in range(len(texts)):
-                    got = encoder.document(texts.text(i).decode("utf-8"))
-                    joined = " ".join([g[0] for g in got])
-                    count.append(sum([g[1] for g in got]))
-                    ids_sha.append(sha(joined.encode()).hexdigest())
-                    text_sha.append(sha(b"".join([g[2] for g in got])).hexdigest())
+                    n, of_ids, of_text, joined = encoder.digests(texts.text(i).decode("utf-8"))
+                    count.append(n)
+                    ids_sha.append(of_ids)
+                    text_sha.append(of_text)
                     if with_ids:
                         ids.append(joined)
                 columns = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

@@ -1,7 +1,8 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Unit vectors are split into halves, each with its own codebook (k-means in numpy on a bounded sample
-of SAMPLE vectors); the product of both codebooks is a grid of cells, and every vector is indexed in
+of SAMPLE vectors, or SAMPLE_PER_WORD a codeword where that is more; codebooks grow with the square root
+of the number of vectors, up to MAX_WORDS, the bound that 1.5 GB of driver memory sets); the product of both codebooks is a grid of cells, and every vector is indexed in
 the cell of its nearest pair of centroids. A query visits cells by the multi-sequence order, that is
 by the sum of its squared distances to both centroids, until that sum exceeds its least one by a
 slack. The slack is the one with which sampled vectors, turned by just the angle of the similarity
@@ -13,9 +14,10 @@ its queries are split into blocks of at most BLOCK rows, and a task compares one
 it returns each vector's number of links and a spanning forest of them, never the pairs.
 
 Equal vectors are one node, weighted by how many distinct vec_ids hold it. Defined results: vectors
-that are null, empty, zero or hold null or non-finite components, and those without a label, link
-with nothing; vectors of different lengths never link; rows that share a vec_id are one vector;
-an empty table gives no rows.
+that are null, empty, zero or hold null or non-finite components, and those without a label or vec_id,
+link with nothing; vectors of different lengths never link; rows that share a vec_id are one vector, if
+their vectors differ each row has its own links; ties have no effect, as every link counts; a vector of
+any length is one row; extra columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +30,22 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .components import components
 
-THRESHOLD, RECALL, SAMPLE, BLOCK, PER_CELL = 0.93, 0.995, 8192, 1024, 48
+THRESHOLD, RECALL, SAMPLE, BLOCK, PER_CELL = 0.93, 0.995, 8192, 512, 48
+SAMPLE_PER_WORD, MAX_WORDS = 16, 16_384
+#: A table of cells is broadcast up to so many rows of 16 bytes; beyond, the join shuffles.
+SMALL = 1_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
-        for c in range(k):
-            own = x[near == c]
-            if len(own):
-                centres[c] = own.mean(0)
+        square = (centres**2).sum(1)
+        step = max(1, (1 << 22) // k)
+        near = np.concatenate([(square - 2 * x[i : i + step] @ centres.T).argmin(1) for i in range(0, len(x), step)])
+        by = np.argsort(near, kind="stable")
+        own, first, count = np.unique(near[by], return_index=True, return_counts=True)
+        centres[own] = np.add.reduceat(x[by], first) / count[:, None]
     return centres
 
 
@@ -54,18 +60,17 @@ class MultiIndex:
         side -= (side * base).sum(1, keepdims=True) * base
         norm = np.linalg.norm(side, axis=1, keepdims=True)
         turned = threshold * base + np.sqrt(1 - threshold**2) * side / np.where(norm > 0, norm, 1)
-        cost, target = self.costs(base), self.cells(turned)
-        excess = cost[np.arange(len(base)), target] - cost.min(1)
-        self.slack = float(np.quantile(excess, recall))
+        excess = []
+        for i in range(0, len(base), 256):  # a cell's cost is the sum of two distances, so no grid is built
+            (a, b), target = self.parts(base[i : i + 256]), self.cells(turned[i : i + 256])
+            row = np.arange(len(target))
+            excess.append(a[row, target // self.k] + b[row, target % self.k] - a.min(1) - b.min(1))
+        self.slack = float(np.quantile(np.concatenate(excess), recall))
 
     def parts(self, unit: np.ndarray) -> list[np.ndarray]:
         halves = (unit[:, : self.half], unit[:, self.half :])
         return [((h**2).sum(1)[:, None] - 2 * h @ b.T + (b**2).sum(1)).clip(0) for h, b in zip(halves, self.books, strict=True)]
 
-    def costs(self, unit: np.ndarray) -> np.ndarray:
-        a, b = self.parts(unit)
-        return (a[:, :, None] + b[:, None, :]).reshape(len(unit), -1)
-
     def cells(self, unit: np.ndarray) -> np.ndarray:
         a, b = self.parts(unit)
         return a.argmin(1) * self.k + b.argmin(1)
@@ -99,7 +104,7 @@ def _found(x, y, ids_x, ids_y, threshold):
     return np.nonzero(((x @ y.T) / norms >= threshold) & (ids_x[:, None] < ids_y[None, :]))
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The smallest connected node of each of ``n`` nodes under links i-j, by label passing."""
     label = np.arange(n)
     while True:
@@ -116,19 +121,20 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, block: int) -> DataFra
     """``nodes`` (group, rep, weight, embedding) of one length: rows (a, b, n): b null: a has n more
     links; else a link of the spanning forest."""
     total = nodes.count()
-    taken = nodes.orderBy(F.xxhash64("rep")).select("embedding").limit(SAMPLE).toPandas()["embedding"].to_list()
+    groups = max(1, nodes.select("group").distinct().count())
+    k = int(np.clip(np.sqrt(total / groups / PER_CELL), 1, MAX_WORDS))
+    taken = nodes.orderBy(F.xxhash64("rep")).select("embedding").limit(max(SAMPLE, SAMPLE_PER_WORD * k)).toPandas()["embedding"].to_list()
     sample = np.stack(taken).astype(np.float64)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    groups = max(1, nodes.select("group").distinct().count())
-    k = int(np.clip(np.sqrt(total / groups / PER_CELL), 1, 256))
     index = MultiIndex(sample, k, threshold)
 
     def visits(batches):
         for batch in batches:
             x = _matrix(batch.column("embedding"), dim)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for lo in range(0, len(x), 2048):
-                part = unit[lo : lo + 2048]
+            step = max(16, min(2048, (1 << 20) // index.k))
+            for lo in range(0, len(x), step):
+                part = unit[lo : lo + step]
                 row, cell = index.visited(part)
                 row = np.concatenate([row, np.arange(len(part))])
                 cell = np.concatenate([cell, index.cells(part)])
@@ -140,7 +146,8 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, block: int) -> DataFra
     visited = saved(nodes.mapInArrow(visits, "group int, rep long, weight long, embedding array<float>, cell int, query boolean"))
     blocks = lambda q: F.greatest(F.ceil(F.count_if(F.col("query") == q) / block), F.lit(1))
     large = visited.groupBy("group", "cell").agg(blocks(True).alias("q_blocks"), blocks(False).alias("m_blocks")).filter("q_blocks > 1 or m_blocks > 1")
-    dealt = visited.join(large, ["group", "cell"], "left")
+    large = saved(large)
+    dealt = visited.join(F.broadcast(large) if large.count() <= SMALL else large, ["group", "cell"], "left")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.sequence(F.lit(0), (F.coalesce(n, F.lit(1)) - 1).cast("int"))
     dealt = dealt.withColumn("to", F.when(F.col("query"), F.transform(every(F.col("m_blocks")), lambda m: F.struct(own(F.col("q_blocks")).alias("q"), m.alias("m")))).otherwise(F.transform(every(F.col("q_blocks")), lambda q: F.struct(q.alias("q"), own(F.col("m_blocks")).alias("m")))))
@@ -156,7 +163,7 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, block: int) -> DataFra
             if len(i):
                 links = np.bincount(q[i], weight[m[j]], minlength=len(ids)) + np.bincount(m[j], weight[q[i]], minlength=len(ids))
                 nodes_, where = np.unique(np.concatenate([ids[q[i]], ids[m[j]]]), return_inverse=True)
-                tree = _forest(where[: len(i)], where[len(i) :], len(nodes_))
+                tree = spanning_forest(where[: len(i)], where[len(i) :], len(nodes_))
                 moved = np.flatnonzero(tree != np.arange(len(tree)))
                 some = np.flatnonzero(links)
                 a = [*ids[some].tolist(), *nodes_[moved].tolist()]
@@ -164,7 +171,9 @@ def _linked(nodes: DataFrame, dim: int, threshold: float, block: int) -> DataFra
                 n = [*links[some].astype(int).tolist(), *[0] * len(moved)]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-    return dealt.groupBy("group", "cell", "to").applyInArrow(compare, "a long, b long, n long")
+    # Dealt by block as well: clustering by cell alone would do for Spark and put a hot cell into one task.
+    dealt = dealt.select("group", "cell", F.col("to.q").alias("q"), F.col("to.m").alias("m"), "query", "rep", "weight", "embedding")
+    return dealt.repartition("group", "cell", "q", "m").groupBy("group", "cell", "q", "m").applyInArrow(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -3,11 +3,17 @@
 Bytes are folded to classes; filters of several widths slide over fixed-length windows of the whole
 text, each filter is max-pooled over its window and a softmax reads the pooled values. The network
 is trained in numpy on a bounded sample of labelled documents (``per_lang`` documents a language,
-``windows_per_doc`` windows of each) and applied to every window of every text; a document's
+``windows_per_doc`` windows of each, cut on the executors, so that at most ``max_docs`` times that many
+windows come to the driver) and applied to every window of every text; a document's
 probabilities are the mean of its windows', weighted by their bytes.
 
 Defined results: null texts and texts without a letter give ``und`` with score 1.0; an empty table
-gives no rows; without any labelled document every text is ``und`` with score 0.0.
+gives no rows; without any labelled document every text is ``und`` with score 0.0; with one label all
+lettered texts get it; of equally likely languages the first in order of name wins; equal texts have equal
+results, whatever their doc_id; repeated rows give rows of their own; columns named like an added one are
+replaced. A text of any length goes through in runs of 512 windows.
+:func:`identified`, the filter, keeps rows of a known language with a score of MIN_SCORE or more: over a
+long mixed text the mean stays near the share of its main language, and with four languages 0.25 is chance.
 """
 
 from __future__ import annotations
@@ -17,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, fold, per_document, raw_texts, table
+from .common import Texts, fold, per_document, pieces, raw_texts, table
 
 UND = "und"
+MIN_SCORE = 0.35
 WIDTHS = (2, 3, 4)
 
 # Byte classes: 0 padding, letters folded to lower case, space, digit, other ASCII, each high byte.
@@ -34,22 +41,27 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def windows(texts: Texts, size: int, overlap: int = max(WIDTHS) - 1):
-    """(classes [n, size + overlap], document of each window, bytes of text in each window).
-
-    Windows start every ``size`` bytes and read ``overlap`` more, so no n-gram falls between two.
-    """
-    length = np.diff(texts.offsets)
-    count = np.maximum(1, -(-length // size))
+def window_starts(texts: Texts, size: int):
+    """(document of each window, its first byte, bytes of text in it): windows start every ``size`` bytes."""
+    count = np.maximum(1, -(-np.diff(texts.offsets) // size))
     doc = np.repeat(np.arange(len(texts)), count)
     rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     begin = texts.offsets[doc] + rank * size
-    own = np.clip(texts.offsets[doc + 1] - begin, 0, size)
+    return doc, begin, np.clip(texts.offsets[doc + 1] - begin, 0, size)
+
+
+def window_classes(texts: Texts, doc: np.ndarray, begin: np.ndarray, size: int, overlap: int = max(WIDTHS) - 1) -> np.ndarray:
+    """Byte classes [windows, size + overlap]: a window reads ``overlap`` bytes more, so no n-gram falls between two."""
     at = begin[:, None] + np.arange(size + overlap)
     inside = at < texts.offsets[doc + 1][:, None]
     source = texts.data if len(texts.data) else np.zeros(1, np.uint8)
-    classes = np.where(inside, _CLASS[source[np.minimum(at, len(source) - 1)]], 0)
-    return classes, doc, own
+    return np.where(inside, _CLASS[source[np.minimum(at, len(source) - 1)]], 0)
+
+
+def windows(texts: Texts, size: int):
+    """(classes, document of each window, bytes of text in each window) of all windows."""
+    doc, begin, own = window_starts(texts, size)
+    return window_classes(texts, doc, begin, size), doc, own
 
 
 class ByteCnn:
@@ -141,8 +153,9 @@ def _lettered(texts: Texts) -> np.ndarray:
     return found
 
 
-def sample(docs: DataFrame, per_lang: int, max_docs: int) -> list:
-    """Documents of every language, by hash of doc_id: ``per_lang`` of each at most, fewer (but one) where all would pass ``max_docs``."""
+def sample(docs: DataFrame, per_lang: int, max_docs: int, windows_per_doc: int, size: int) -> list:
+    """(lang, classes) of windows, spread evenly over documents of every language taken by hash of doc_id:
+    ``per_lang`` of each at most, fewer (but one) where all would pass ``max_docs``."""
     rows = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     n_langs = rows.select("lang").distinct().count()
     if not n_langs:
@@ -154,26 +167,33 @@ def sample(docs: DataFrame, per_lang: int, max_docs: int) -> list:
     got = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(
         F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint").distinct()), "doc_id", "left_semi"
     )
-    # Training looks at a few windows of each sampled document; scoring reads whole texts.
-    got = got.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    return got.limit(per_lang * n_langs).collect()  # repeated rows of a sampled doc_id stay within the bound
+
+    def cut(batches):
+        for batch in batches:
+            for lo, _, texts in pieces(raw_texts(batch.column("text"))):
+                doc, begin, own = window_starts(texts, size)
+                for i in range(len(texts)):
+                    at = np.flatnonzero((doc == i) & (own > 0))
+                    if len(at):
+                        at = at[np.unique(np.linspace(0, len(at) - 1, min(windows_per_doc, len(at))).astype(int))]
+                    made = window_classes(texts, doc[at], begin[at], size).astype(np.uint8)
+                    yield pa.RecordBatch.from_pydict({"lang": [batch.column("lang")[lo + i].as_py()], "h": [batch.column("h")[lo + i].as_py()], "classes": [made.tobytes()]})
+
+    cuts = got.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(cut, "lang string, h long, classes binary")
+    # Repeated rows of a sampled doc_id stay within the bound.
+    return cuts.orderBy("h", "lang").limit(per_lang * n_langs).collect()
 
 
 def train(docs: DataFrame, per_lang: int = 200, max_docs: int = 12_800, windows_per_doc: int = 6, size: int = 256) -> ByteCnn | None:
     """``docs`` (doc_id, lang, text) are the rows to learn from; bounded by per_lang documents of each language and ``max_docs``, or one of each."""
-    rows = sorted(sample(docs, per_lang, max_docs), key=lambda r: (r.h, r.lang))
+    rows = sample(docs, per_lang, max_docs, windows_per_doc, size)
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
-    classes, label = [], []
-    for r in rows:
-        got, _, own = windows(raw_texts(pa.array([r.text])), size)
-        keep = np.flatnonzero(own > 0)
-        keep = keep[np.unique(np.linspace(0, len(keep) - 1, min(windows_per_doc, len(keep))).astype(int))] if len(keep) else keep
-        classes.append(got[keep])
-        label += [langs.index(r.lang)] * len(keep)
+    classes = [np.frombuffer(r.classes, np.uint8).reshape(-1, size + max(WIDTHS) - 1).astype(np.int32) for r in rows]
+    label = np.repeat([langs.index(r.lang) for r in rows], [len(c) for c in classes])
     model = ByteCnn(langs, size=size)
-    return model.fit(np.concatenate(classes), np.array(label)) if label and len(langs) > 1 else model
+    return model.fit(np.concatenate(classes), label) if len(label) and len(langs) > 1 else model
 
 
 def predict(docs: DataFrame, model: ByteCnn | None, keep_text: bool = False) -> DataFrame:
@@ -186,11 +206,11 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep_text: bool = False) ->
     def score(texts: Texts) -> dict:
         n, total = len(texts), np.zeros((len(texts), len(model.langs)))
         weight = np.zeros(n)
-        classes, doc, own = windows(texts, model.size)
+        doc, begin, own = window_starts(texts, model.size)
         for i in range(0, len(doc), 512):
             part = slice(i, i + 512)
             heavy = own[part] + 1e-9
-            prob = model.probabilities(classes[part], tables_) * heavy[:, None]
+            prob = model.probabilities(window_classes(texts, doc[part], begin[part], model.size), tables_) * heavy[:, None]
             np.add.at(total, doc[part], prob)
             np.add.at(weight, doc[part], heavy)
         total /= np.maximum(weight, 1e-12)[:, None]
@@ -202,7 +222,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep_text: bool = False) ->
     return per_document(docs, score, "lang_pred string, score double", keep_text)
 
 
-def identified(docs: DataFrame, model: ByteCnn | None, min_score: float = 0.35) -> DataFrame:
+def identified(docs: DataFrame, model: ByteCnn | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``min_score``; without a model all rows."""
     if model is None:
         return docs
