@@ -5,45 +5,142 @@ their source, language and topic marginals meet the targets; documents are then
 probabilities proportional to their cell's weight, the heaviest cell's being 1, so the expected
 sample meets the targets without taking any document twice.
 
+Topics come from the texts (:class:`Topics`): clusters of all documents' word vectors.
+
 Every source and language is a stratum. Up to ``MAX_CELLS`` cells are raked on the driver; more are a
 distributed table that takes the same steps by grouped sums, so only rounding differs. Targets
 default to tempered shares (share ** temperature, normalised); given ones are normalised over the
-strata that occur, one not given is 0. A document's draw is a hash of its doc_id, so a rerun takes the
-same documents.
+strata that occur, one not given is 0. Raking stops when all factors are within 1e-9 of 1 or after 500
+rounds; if a marginal is then still off by more than MISSED of its target, given targets contradict one
+another or the cells, an error, while default ones give a warning. A document's draw is a hash of its
+doc_id, so a rerun takes the same documents.
 
-Defined results: null source or lang is a stratum of its own; a document without words has no tokens
-and gets its cell's probability; cells without tokens get weight 1; equal rows are drawn together;
-an empty table gives no rows.
+Defined results: null source or lang is a stratum of its own, written (none) and told from a value of that
+name; null texts are empty; a document without words has no tokens, the topic of an empty text and its cell's
+probability; cells without tokens get weight 1; of equally near topics the first counts; equal rows are drawn
+together; an empty table gives no rows; extra columns pass, whatever their names; a text of any length goes
+through in one run of its words.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, table
+from .common import Texts, Words, mix64, per_document, pieces, raw_texts, release, saved, short_batches, table, unused
 
 MAX_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 NONE = "(none)"
+MISSED = 0.01
 CELL = [f"__{d}" for d in DIMENSIONS]
 
 
-def topic_of(text) -> object:
-    """A coarse topic by the text's form: legal notes, tables, contact data, else prose."""
-    low = F.lower(text)
-    return (
-        F.when(F.contains(low, F.lit("licens")) | F.contains(low, F.lit("rights reserved")), "legal")
-        .when(F.contains(text, F.lit(" | ")), "tabular")
-        .when(F.contains(text, F.lit("@")), "contact")
-        .otherwise("prose")
-    )
+class Topics:
+    """Topics of texts: clusters of word vectors.
+
+    A text's vector sums its distinct words, each a fixed random vector by hash and weighted by how
+    rare its hash bucket is among all documents, and has unit length. Centres are found by Lloyd's rounds
+    over all documents' vectors; only BUCKETS counts and ``n`` centres ever are on the driver. The first centres
+    are spread over SEEDS vectors, the first by hash, each next one the farthest from those taken.
+    """
+
+    BUCKETS, DIM, SEEDS = 1 << 16, 24, 512
+    _PLANES = mix64(np.arange(BUCKETS * DIM, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, DIM)
+    _PLANES = ((_PLANES >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).astype(np.float32)
+
+    def __init__(self, rarity: np.ndarray, centres: np.ndarray):
+        self.table, self.centres = self._PLANES * rarity[:, None].astype(np.float32), centres
+
+    @classmethod
+    def words(cls, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(document, bucket) of the distinct words of each text."""
+        w = Words(texts, lower=True)
+        own = np.unique(w.doc * cls.BUCKETS + (w.hash % np.uint64(cls.BUCKETS)).astype(np.int64))
+        return own // cls.BUCKETS, own % cls.BUCKETS
+
+    def vectors(self, texts: Texts) -> np.ndarray:
+        doc, bucket = self.words(texts)
+        x = np.zeros((len(texts), self.DIM), np.float32)
+        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+        some = np.flatnonzero(np.diff(edge))
+        for i in some:
+            x[i] = self.table[bucket[edge[i] : edge[i + 1]]].sum(0)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm > 0, norm, 1)
+
+    def names(self, texts: Texts) -> list[str]:
+        near = (self.vectors(texts) @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(texts), int)
+        return [f"topic{k}" for k in near]
+
+    @classmethod
+    def learned(cls, docs: DataFrame, n: int = 8, rounds: int = 6) -> Topics:
+        """From all of ``docs`` (text): two passes over the texts, then ``rounds`` over their vectors."""
+        short_batches(docs.sparkSession)
+        text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
+        def count(batches):
+            held, n_docs = np.zeros(cls.BUCKETS, np.int64), 0
+            for batch in batches:
+                for _, _, part in pieces(raw_texts(batch.column("text"))):
+                    held += np.bincount(cls.words(part)[1], minlength=cls.BUCKETS)
+                    n_docs += len(part)
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], n_docs))], names=["bucket", "n"])
 
-def rake(tokens: np.ndarray, index: dict[str, np.ndarray], targets: dict[str, np.ndarray], rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
-    """Weights of the cells whose weighted token marginals meet every dimension's target shares."""
+        counts = text.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        total = max(int(counts["n"][counts["bucket"] < 0].sum()), 1)
+        known = counts[counts["bucket"] >= 0]
+        held = np.zeros(cls.BUCKETS)
+        held[known["bucket"].to_numpy(dtype=int)] = known["n"]
+        topics = cls(np.log((total + 1) / (held + 1)), np.zeros((0, cls.DIM), np.float32))
+
+        def project(batches):
+            for batch in batches:
+                for _, _, part in pieces(raw_texts(batch.column("text"))):
+                    x = topics.vectors(part)
+                    x = x[x.any(1)]
+                    yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), cls.DIM).cast(pa.list_(pa.float32()))], names=["x"])
+
+        rows = saved(text.mapInArrow(project, "x array<float>"))
+        seeds = [np.array(r[0], np.float32) for r in rows.orderBy(F.xxhash64("x"), "x").limit(cls.SEEDS).collect()]
+        if not seeds:
+            return topics
+        seeds = np.stack(seeds)
+        taken = [0]
+        for _ in range(min(n, len(seeds)) - 1):
+            taken.append(int((seeds @ seeds[taken].T).max(1).argmin()))
+        centres = seeds[taken].astype(np.float64)
+        for _ in range(rounds):
+
+            def sums(batches, centres=centres):
+                total = np.zeros((len(centres), cls.DIM + 1))
+                for batch in batches:
+                    x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(-1, cls.DIM)
+                    near = (x @ centres.T).argmax(1)
+                    np.add.at(total, near, np.c_[x, np.ones(len(x))])
+                yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(centres)), pa.int32()), "s": list(total)})
+
+            parts = rows.mapInArrow(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+            moved = np.zeros((len(centres), cls.DIM + 1))
+            moved[parts["k"], parts["i"]] = parts["v"]
+            norm = np.linalg.norm(moved[:, :-1], axis=1, keepdims=True)
+            centres = np.where((moved[:, -1:] > 0) & (norm > 0), moved[:, :-1] / np.where(norm > 0, norm, 1), centres)
+        topics.centres = centres.astype(np.float32)
+        release(rows)
+        return topics
+
+
+def rake(tokens: np.ndarray, index: dict[str, np.ndarray], targets: dict[str, np.ndarray], rounds: int = 500, tolerance: float = 1e-9, strict: bool = False) -> np.ndarray:
+    """Weights of the cells whose weighted token marginals meet every dimension's target shares.
+
+    ``strict``: targets that can't be met are an error, else a warning.
+    """
     weight, total = np.ones(len(tokens)), tokens.sum()
     for _ in range(rounds):
         worst = 0.0
@@ -55,24 +152,38 @@ def rake(tokens: np.ndarray, index: dict[str, np.ndarray], targets: dict[str, np
             weight = weight * factor[at]
         if worst < tolerance:
             break
+    missed(worst if len(tokens) else 0.0, rounds, strict)
     return weight
 
 
+def missed(worst: float, rounds: int, strict: bool) -> None:
+    """Reports marginals that are still off by the factor 1 + ``worst`` in the last round."""
+    if worst > MISSED:
+        told = f"targets can't all be met: after {rounds} rounds a marginal is off by {worst:.1%}"
+        if strict:
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=3)
+
+
 def tempered(tokens: np.ndarray, temperature: float) -> np.ndarray:
     share = np.where(tokens > 0, np.maximum(tokens, 1) ** temperature, 0.0)
     return share / max(share.sum(), 1e-300)
 
 
-def with_strata(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
+def with_strata(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
+    """``docs`` with their strata and ``__tokens``; columns of those names are replaced. Topics are learned
+    from ``docs`` unless given. A null source or lang is NONE; a value that is NONE or ends like it gets
+    one more space, so that no two values meet."""
+    topics = topics or Topics.learned(docs.select("text"))
+    named = lambda c: F.coalesce(F.when(F.col(c).rlike(r"^\(none\) *$"), F.concat(F.col(c), F.lit(" "))).otherwise(F.col(c)), F.lit(NONE))
+    given = docs.withColumns(
         {
-            "__topic": topic_of(text),
-            "__tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"),
-            "__source": F.coalesce("source", F.lit(NONE)),
-            "__lang": F.coalesce("lang", F.lit(NONE)),
+            "__tokens": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\S+")).cast("long"),
+            "__source": named("source"),
+            "__lang": named("lang"),
         }
     )
+    return per_document(given, lambda texts: {"__topic": topics.names(texts)}, "__topic string", keep_text=True)
 
 
 def wanted_shares(cells: DataFrame, column: str, temperature: float, given: dict[str, float] | None) -> DataFrame:
@@ -89,7 +200,7 @@ def wanted_shares(cells: DataFrame, column: str, temperature: float, given: dict
     return shares.select(column, (F.col("want") / F.lit(max(total or 0.0, 1e-300))).alias("want"))
 
 
-def rake_table(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+def rake_table(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-9, strict: bool = False) -> DataFrame:
     """:func:`rake` for a table of cells of any size: adds ``__weight``."""
     total = float(cells.agg(F.sum("__tokens")).first()[0] or 0)
     now = saved(cells.withColumn("__weight", F.lit(1.0)))
@@ -106,6 +217,7 @@ def rake_table(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 500
             now = then
         if worst < tolerance:
             break
+    missed(worst, rounds, strict)
     return now
 
 
@@ -114,7 +226,7 @@ def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dic
     sums = saved(strata.groupBy(*CELL).agg(F.sum("__tokens").alias("__tokens")))
     targets = targets or {}
     if sums.count() > max_cells:
-        got = rake_table(sums, {f"__{d}": wanted_shares(sums, f"__{d}", temperature[d], targets.get(d)) for d in DIMENSIONS})
+        got = rake_table(sums, {f"__{d}": wanted_shares(sums, f"__{d}", temperature[d], targets.get(d)) for d in DIMENSIONS}, strict=bool(targets))
         top = got.agg(F.max("__weight")).first()[0]
         return got.select(*CELL, "__weight", (F.col("__weight") / F.lit(max(top, 1e-300))).alias("__probability"))
     cells = sums.toPandas().sort_values(CELL, ignore_index=True)
@@ -127,7 +239,7 @@ def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dic
         if targets.get(d):
             given = np.array([max(targets[d].get(n, 0.0), 0.0) for n in names]) * (held > 0)
             wanted[d] = given / given.sum() if given.sum() > 0 else wanted[d]
-    weight = rake(tokens, index, wanted) if len(cells) else tokens
+    weight = rake(tokens, index, wanted, strict=bool(targets)) if len(cells) else tokens
     probability = weight / max(weight.max(initial=0.0), 1e-300)
     rows = [(str(s), str(lang), str(t), float(w), float(p)) for s, lang, t, w, p in zip(*[cells[c] for c in CELL], weight, probability, strict=True)]
     side = strata.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in CELL) + ", __weight double, __probability double")
@@ -135,16 +247,22 @@ def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dic
 
 
 def drawn(docs: DataFrame, temperature: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 20, max_cells: int = MAX_CELLS) -> DataFrame:
-    """The sampled rows with their stratum, tokens, weight and probability (columns ``__...``)."""
-    narrow = with_strata(docs.select("doc_id", "source", "lang", "text")).drop("text")
-    joined = with_strata(docs).join(probabilities(narrow, TEMPERATURE | (temperature or {}), targets, max_cells), CELL)
+    """The sampled rows of ``docs`` (doc_id, source, lang, text and others, none named ``__...``) with their
+    stratum, tokens, weight and probability (columns ``__...``)."""
+    topics = Topics.learned(docs.select("text"))
+    narrow = with_strata(docs.select("doc_id", "source", "lang", "text"), topics).drop("text")
+    joined = with_strata(docs, topics).join(probabilities(narrow, TEMPERATURE | (temperature or {}), targets, max_cells), CELL)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     return joined.filter(draw < F.col("__probability"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs`` with the columns of ``docs``."""
-    return drawn(docs, **options).select(*docs.columns)
+    used = ("doc_id", "source", "lang", "text")
+    others = [c for c in docs.columns if c not in used]
+    plain = dict(zip(others, unused([*used, *others], *[f"other{i}" for i in range(len(others))]), strict=True))
+    got = drawn(docs.select(*used, *[F.col(f"`{c}`").alias(n) for c, n in plain.items()]), **options)
+    return got.select(*[F.col(plain.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,22 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its byte n-grams (widths 3 to 6, with word boundaries) and of itself, each
-hashed to a row of an embedding table; the bag's mean goes through a linear softmax. Table and
-softmax are trained jointly in numpy on the words of a bounded sample of labelled documents, so an
-unseen misspelling shares the vectors of the n-grams that it keeps. A document pools its words: the
-mean over its few most toxic ones, mapped to a probability by a logistic curve fitted on the sample.
+hashed to a row of an embedding table; its vector is the bag's mean. A document's vector is the average
+of its words' vectors, and a linear softmax reads it. In a plain average one toxic word of thousands
+drowns, so a word's weight is 1 / ``top`` if it is among the document's ``top`` words of largest toxic
+log-odds under that same softmax, else 0. Table and softmax are trained jointly in numpy on a bounded
+sample of labelled documents: first on words, as labelled by how many documents of each kind hold them, then
+on whole documents through the weighted average. An unseen misspelling shares the vectors of the n-grams
+that it keeps.
 
 Since the model is linear after the mean, scoring folds every embedding row into one number, and the
 whole text costs one lookup an n-gram.
 
 Defined results: a text without words (null, empty, white space) scores as the least toxic word would,
-near 0; without labelled documents of both kinds every score is 0; empty tables give no rows.
+near 0; words of equal odds weigh alike, of the last ones among the ``top`` any may count, with the same
+result; equal texts have equal scores; repeated rows give rows of their own; without labelled documents of
+both kinds every score is 0; columns named like an added one are replaced; empty tables give no rows. A text
+of any length goes through in one run of its n-grams.
 """
 
 from __future__ import annotations
@@ -75,8 +81,6 @@ class SubwordSoftmax:
         rng = np.random.default_rng(seed)
         self.embed = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim))
         self.weight, self.bias, self.top = np.zeros((dim, 2)), np.zeros(2), top
-        self.curve = np.array([1.0, 0.0])
-
     def fit(self, bucket, word, mass, epochs: int = 6, batch: int = 4096, rate: float = 0.2, seed: int = 3):
         """``mass`` [words, 2]: how many clean and toxic documents hold the word. Adagrad, soft labels.
 
@@ -119,20 +123,81 @@ class SubwordSoftmax:
         return (self.embed @ (self.weight[:, 1] - self.weight[:, 0])).astype(np.float32)
 
     def pooled(self, texts: Texts, folded: np.ndarray) -> np.ndarray:
+        """Every document's toxic log-odds: the softmax's input, as it is linear in the average."""
         bucket, word, doc, _ = word_grams(texts)
         n = len(doc)
-        odds = np.bincount(word, folded[bucket], minlength=n) / np.maximum(np.bincount(word, minlength=n), 1) + self.bias[1] - self.bias[0]
-        return top_mean(odds, doc, len(texts), self.top, floor=-6.0)
+        odds = np.bincount(word, folded[bucket], minlength=n) / np.maximum(np.bincount(word, minlength=n), 1)
+        head, weight = heaviest(odds, doc, self.top)
+        own = doc[head]
+        total = np.bincount(own, weight * odds[head], minlength=len(texts))
+        wordless = np.bincount(own, minlength=len(texts)) == 0
+        return np.where(wordless, FLOOR, total) + self.bias[1] - self.bias[0]
+
+    def rescale(self, z: np.ndarray, label: np.ndarray, steps: int = 2000):
+        """Stretches the softmax to documents: the scale and bias of a logistic curve over their log-odds ``z``."""
+        mean, spread = z.mean(), max(z.std(), 1e-9)
+        x = (z - mean) / spread
+        a, b = 1.0, 0.0
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-(a * x + b)))
+            a -= 0.5 * ((p - label) * x).mean()
+            b -= 0.5 * (p - label).mean()
+        self.weight *= max(a, 1e-3) / spread
+        odds = b - max(a, 1e-3) * mean / spread
+        self.bias[:] = -odds / 2, odds / 2
+
+    def fit_documents(self, bucket, word, held, label, epochs: int = 4, rate: float = 0.01):
+        """Joint training on documents. ``bucket``, ``word``: n-grams of each kind of word; ``held``: (document, kind)."""
+        doc, kind = held
+        by = np.argsort(word, kind="stable")
+        bucket, word = bucket[by], word[by]
+        n_words, n_docs = int(word.max()) + 1, len(label)
+        begin = np.searchsorted(word, np.arange(n_words + 1))
+        size = np.diff(begin)
+        target = np.eye(2)[label]
+        grown_e, grown_w, grown_b = np.full_like(self.embed, 1e-4), np.full_like(self.weight, 1e-4), np.full(2, 1e-4)
+        odds = np.bincount(word, self.folded()[bucket], minlength=n_words) / np.maximum(size, 1)
+        head, share = heaviest(odds[kind], doc, self.top)
+        self.rescale(np.bincount(doc[head], share * odds[kind[head]], minlength=n_docs), label)
+        for epoch in range(epochs):
+            now = rate * (1 - epoch / epochs)
+            odds = np.bincount(word, self.folded()[bucket], minlength=n_words) / np.maximum(size, 1)
+            head, share = heaviest(odds[kind], doc, self.top)
+            own, of = doc[head], kind[head]
+            used, where = np.unique(of, return_inverse=True)
+            count = size[used]
+            row = np.repeat(np.arange(len(used)), count)
+            rows = bucket[np.repeat(begin[used] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())]
+            dims = range(self.embed.shape[1])
+            vector = np.stack([np.bincount(row, self.embed[rows, d], minlength=len(used)) for d in dims], 1) / count[:, None]
+            mean = np.stack([np.bincount(own, share * vector[where, d], minlength=n_docs) for d in dims], 1)
+            logit = mean @ self.weight + self.bias
+            prob = np.exp(logit - logit.max(1, keepdims=True))
+            prob /= prob.sum(1, keepdims=True)
+            grad = prob - target
+            back = grad @ self.weight.T
+            to_word = np.stack([np.bincount(where, share * back[own, d], minlength=len(used)) for d in dims], 1) / count[:, None]
+            uniq, at = np.unique(rows, return_inverse=True)
+            g_e = np.stack([np.bincount(at, to_word[row, d], minlength=len(uniq)) for d in dims], 1)
+            g_w, g_b = mean.T @ grad / n_docs, grad.mean(0)
+            grown_e[uniq] += g_e * g_e
+            self.embed[uniq] -= now * g_e / np.sqrt(grown_e[uniq])
+            grown_w += g_w * g_w
+            grown_b += g_b * g_b
+            self.weight -= now * g_w / np.sqrt(grown_w)
+            self.bias -= now * g_b / np.sqrt(grown_b)
+        return self
 
 
-def top_mean(value: np.ndarray, doc: np.ndarray, n_docs: int, top: int, floor: float) -> np.ndarray:
-    """Mean of each document's ``top`` largest values; missing ones count as ``floor``."""
-    value = np.maximum(value, floor)
-    by = np.lexsort((-value, doc))
+FLOOR = -6.0
+
+
+def heaviest(odds: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of each document's ``top`` words of largest odds, their weights in the document's average)."""
+    by = np.lexsort((-odds, doc))
     rank = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
     head = by[rank < top]
-    total = np.bincount(doc[head], value[head] - floor, minlength=n_docs)
-    return total / top + floor
+    return head, np.full(len(head), 1 / top)
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: tuple[int, int] = (2400, 900), max_bytes: int = 12 << 20) -> SubwordSoftmax | None:
@@ -141,13 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if len({y for y, _ in rows}) < 2:
         return None
     texts, label = raw_texts(pa.array([t for _, t in rows])), np.array([y for y, _ in rows])
-    kinds, holds, grams = [], [], []
+    kinds, holds, grams, holder, held_kind = [], [], [], [], []
+    n_kinds = 0
     for i, _, part in pieces(texts, 1 << 19):
         bucket, word, doc, whole = word_grams(part)
         own, first, at = np.unique(whole, return_index=True, return_inverse=True)
         once = np.unique(at * len(part) + doc)  # a document counts a word once
         held = np.zeros((len(own), 2))
         np.add.at(held, (once // len(part), label[i + once % len(part)]), 1.0)
+        holder.append(i + once % len(part))
+        held_kind.append(n_kinds + once // len(part))
+        n_kinds += len(own)
         chosen = np.zeros(len(whole), bool)
         chosen[first] = True
         keep = chosen[word]
@@ -164,16 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     chosen = np.zeros(len(at), bool)
     chosen[first] = True
     keep = chosen[word]
-    model = SubwordSoftmax().fit(bucket[keep], at[word[keep]], mass)
-    folded = model.folded()
-    z = np.concatenate([model.pooled(part, folded) for _, _, part in pieces(texts, 1 << 19)])
-    a, b = 1.0, 0.0
-    for _ in range(4000):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        a -= 0.1 * ((p - label) * z).mean()
-        b -= 0.1 * (p - label).mean()
-    model.curve = np.array([max(a, 1e-3), b])
-    return model
+    bucket, word = bucket[keep], at[word[keep]]
+    model = SubwordSoftmax().fit(bucket, word, mass)
+    return model.fit_documents(bucket, word, (np.concatenate(holder), at[np.concatenate(held_kind)]), label)
 
 
 def predict(docs: DataFrame, model: SubwordSoftmax | None, threshold: float = 0.7) -> DataFrame:
@@ -181,11 +243,11 @@ def predict(docs: DataFrame, model: SubwordSoftmax | None, threshold: float = 0.
     if model is None:
         return docs.drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     folded = model.folded()
-    model.embed = model.embed[:0]  # executors need the folded table alone
+    reader = SubwordSoftmax.__new__(SubwordSoftmax)  # executors need the folded table, not the embeddings
+    reader.bias, reader.top = model.bias, model.top
 
     def score(texts: Texts) -> dict:
-        z = model.pooled(texts, folded)
-        p = 1 / (1 + np.exp(-np.clip(model.curve[0] * z + model.curve[1], -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(reader.pooled(texts, folded), -60, 60)))
         return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
     return per_document(docs, score, "score double, predicted int")
