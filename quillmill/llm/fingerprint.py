@@ -38,7 +38,7 @@ from .embeddings import spanning_forest
 
 WALKS, SLOTS, RUN, BAND = 4, 48, 3, 3
 COINS = 4096  # steps after which the shared coins repeat
-PIECE = 4 << 20
+PIECE = 2 << 20
 END = 255  # a byte that UTF-8 doesn't use; its coin is 0, so a walk stays at its text's end
 _G = np.uint64(0x9E3779B97F4A7C15)
 
