@@ -18,8 +18,11 @@ Frequent signatures of large groups link every member with the group's least edi
 only pairs across the components found so far are looked at. So a group of copies costs one pair a
 member and no link between components is lost.
 
-How common a token is needs all tokens' counts: documents' tokens go to hash buckets as packed
-arrays (4 bytes a token), and each chunk of documents gets back which of its tokens are shared.
+How common a token is needs all tokens' counts. Tokens that stand in more than RARE documents of one
+run of a task's input are frequent beyond doubt; the HOT most widely so are told to all tasks at once
+(8 bytes each) and take no further part. All other documents' tokens go to hash buckets, one packed row
+for each run and bucket (4 bytes a token and 8 a chunk), and each chunk of documents gets back which of
+its tokens are shared. Tokens are 64-bit hashes: sets are equal if their hashes are.
 
 Defined results: null and empty texts and texts of white space have no tokens, link with nothing and
 are components of their own; rows that share a doc_id are one document; null doc_ids keep a null
@@ -39,6 +42,11 @@ from .components import components
 WORDS, PERCENT, RARE = 4, 85, 16
 CHUNK_BYTES = 8 << 20
 SMALL = 1_000_000
+HOT = 250_000
+RUN_TOKENS = 1 << 19
+#: Signatures of so many rows join their hub by broadcast; there are at most rows / HEAVY of them.
+HEAVY = 500
+SPREAD = 256
 _G = np.uint64(0x9E3779B97F4A7C15)
 _STEP = mix64(np.arange(1, 65, dtype=np.uint64) * _G) | np.uint64(1)
 
@@ -81,67 +89,102 @@ def _keyed(docs: DataFrame, n_chunks: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", text.alias("text"))
 
 
-def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int) -> DataFrame:
-    """(chunk, bucket, rare, frequent): packed tokens of a chunk that several documents hold."""
+def runs(batches, words: int):
+    """(tokens, chunk of each) of about RUN_TOKENS tokens at a time."""
+    held, size = [], 0
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        for i, j, part in pieces(raw_texts(batch.column("text")), 1 << 19):
+            tokens, edge = shingles(part, words)
+            held.append((tokens, np.repeat(chunk[i:j], np.diff(edge))))
+            size += len(tokens)
+            if size > RUN_TOKENS:
+                yield np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+                held, size = [], 0
+                give_back()
+    if size:
+        yield np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+
+
+def hot_tokens(keyed: DataFrame, words: int, rare: int) -> np.ndarray:
+    """The HOT tokens that most runs hold in more than ``rare`` documents, sorted."""
+
+    def often(batches):
+        for tokens, _ in runs(batches, words):
+            kinds, times = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[times > rare].view(np.int64))], names=["token"])
+
+    counts = keyed.select("chunk", "text").mapInArrow(often, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    got = counts.orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+    return np.sort(got.view(np.uint64))
+
+
+def among(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether each of ``tokens`` is one of ``kinds`` (sorted)."""
+    if not len(kinds):
+        return np.zeros(len(tokens), bool)
+    at = np.searchsorted(kinds, tokens)
+    at[at == len(kinds)] = 0
+    return kinds[at] == tokens
+
+
+def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int, hot: np.ndarray) -> DataFrame:
+    """(chunk, bucket, rare, frequent): packed tokens, ``hot`` ones apart, of a chunk that several documents hold."""
 
     def pack(batches):
-        held, size = [], 0
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            for i, j, part in pieces(raw_texts(batch.column("text")), 1 << 19):
-                tokens, edge = shingles(part, words)
-                held.append((tokens, np.repeat(chunk[i:j], np.diff(edge))))
-                size += len(tokens)
-                if size > 1 << 19:
-                    yield from flush(held)
-                    held, size = [], 0
-                    give_back()
-        if size:
-            yield from flush(held)
-
-    def flush(held):
-        tokens = np.concatenate([t for t, _ in held])
-        bucket = ((tokens >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-        key = np.concatenate([c for _, c in held]).astype(np.int64) * n_buckets + bucket
-        by = np.argsort(key, kind="stable")
-        key, low = key[by], (tokens[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(first[1:], len(key))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[first] % n_buckets, pa.int32()),
-                pa.array(key[first] // n_buckets, pa.int32()),
-                pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            ],
-            names=["bucket", "chunk", "tokens"],
-        )
+        for tokens, chunk in runs(batches, words):
+            known = among(hot, tokens)
+            tokens, chunk = tokens[~known], chunk[~known].astype(np.uint64)
+            bucket = (tokens >> np.uint64(32)) % np.uint64(n_buckets)
+            by = np.lexsort((tokens, chunk, bucket))
+            tokens, chunk, bucket = tokens[by], chunk[by], bucket[by]
+            # Of a chunk's documents no more than rare + 1 need to be told apart.
+            n = len(tokens)
+            same = np.zeros(n, bool)
+            if n > rare + 1:
+                k = rare + 1
+                same[k:] = (tokens[k:] == tokens[:-k]) & (chunk[k:] == chunk[:-k])
+            tokens, chunk, bucket = tokens[~same], chunk[~same], bucket[~same]
+            part = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+            length = np.diff(np.append(part, len(tokens)))
+            low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            begin = np.flatnonzero(np.append(True, bucket[part][1:] != bucket[part][:-1])) if len(part) else part
+            ends = np.append(begin[1:], len(part))[: len(begin)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[part[begin]].astype(np.int32), pa.int32()),
+                    pa.array([np.stack([chunk[part[a:b]], length[a:b].astype(np.uint64)]).astype(np.uint32).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
+                    pa.array([low[part[a] : part[b - 1] + length[b - 1]].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
+                ],
+                names=["bucket", "chunks", "tokens"],
+            )
 
     def count(rows: pa.Table) -> pa.Table:
         give_back()
-        chunk = rows.column("chunk").to_numpy()
-        by = np.argsort(chunk, kind="stable")
-        parts = [np.frombuffer(x, np.uint32) for x in rows.column("tokens").take(pa.array(by)).to_pylist()]
-        chunk = chunk[by]
-        every = np.sort(np.concatenate(parts))
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        heads = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in rows.column("chunks").to_pylist()]
+        every = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("tokens").to_pylist()])
+        chunk = np.concatenate([np.repeat(h[0], h[1]) for h in heads])
+        by = np.lexsort((every, chunk))
+        own, chunk = every[by], chunk[by]
+        every = np.sort(every)
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(every)))
         kinds, times = every[first][times > 1], times[times > 1]
+        fresh = np.append(True, (own[1:] != own[:-1]) | (chunk[1:] != chunk[:-1])) if len(own) else np.zeros(0, bool)
+        hit = fresh & among(kinds, own)
+        own, chunk = own[hit], chunk[hit]
+        often = times[np.searchsorted(kinds, own)] > rare
         out = {"chunk": [], "bucket": [], "rare": [], "frequent": []}
-        begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-        for a, b in zip(begin, np.append(begin[1:], len(chunk)), strict=True):
-            own = np.unique(np.concatenate(parts[a:b]))
-            at = np.searchsorted(kinds, own)
-            at[at == len(kinds)] = 0
-            hit = kinds[at] == own if len(kinds) else np.zeros(len(own), bool)
-            own, often = own[hit], times[at[hit]] if len(kinds) else times
-            if len(own):
-                out["chunk"].append(int(chunk[a]))
-                out["bucket"].append(int(rows.column("bucket")[0].as_py()))
-                out["rare"].append(own[often <= rare].tobytes())
-                out["frequent"].append(own[often > rare].tobytes())
+        begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
+        bucket = rows.column("bucket")[0].as_py()
+        for a, b in zip(begin, np.append(begin[1:], len(chunk))[: len(begin)], strict=True):
+            out["chunk"].append(int(chunk[a]))
+            out["bucket"].append(bucket)
+            out["rare"].append(own[a:b][~often[a:b]].tobytes())
+            out["frequent"].append(own[a:b][often[a:b]].tobytes())
         return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("rare", pa.binary()), ("frequent", pa.binary())]))
 
-    packed = keyed.select("chunk", "text").mapInArrow(pack, "bucket int, chunk int, tokens binary")
+    packed = keyed.select("chunk", "text").mapInArrow(pack, "bucket int, chunks binary, tokens binary")
     return packed.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, rare binary, frequent binary")
 
 
@@ -184,7 +227,7 @@ def parities(tokens: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, PARITY_BITS), axis=1).view(np.int64)
 
 
-def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, percent: int) -> DataFrame:
+def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, percent: int, hot: np.ndarray) -> DataFrame:
     """Each document's size, set key, index entries: see PREFIX.
 
     alone: tokens of no other document; fixed: alone and rare ones; singles: rare tokens at positions
@@ -201,20 +244,14 @@ def prefixes(keyed: DataFrame, shared: DataFrame, n_buckets: int, words: int, pe
             ]
             marks[name] = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
 
-        def held(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
-            if not len(kind):
-                return np.zeros(len(key), bool)
-            at = np.searchsorted(kind, key)
-            at[at == len(kind)] = 0
-            return kind[at] == key
-
         columns = {k: [] for k in ("n", "k1", "k2", "alone", "fixed", "singles", "small", "large", "parity")}
         least_size = -(-percent // max(100 - percent, 1))  # below, a set is similar to equal ones alone
         for _, _, part in pieces(raw_texts(docs.column("text")), 1 << 19):
             tokens, edge = shingles(part, words)
             n = np.diff(edge)
             key = ((tokens >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
-            rare, frequent = held(marks["rare"], key), held(marks["frequent"], key)
+            rare, frequent = among(marks["rare"], key), among(marks["frequent"], key) | among(hot, tokens)
+            rare &= ~frequent
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(tokens ^ salt))]) for salt in (_STEP[2], _STEP[3])]
             columns["n"].append(n)
             for name, s in zip(("k1", "k2"), sums, strict=True):
@@ -287,9 +324,30 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             give_back()
 
     held = saved(docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>"))
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter((100 + percent) * common >= percent * (F.size("ta") + F.size("tb"))).select("a", "b").distinct()
+    # A document a meets its partners in up to SPREAD groups: its set travels once a group, not once a pair.
+    spread = pairs.distinct().withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
+    of_a = spread.select("a", "part").distinct().join(held.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
+    of_b = spread.join(held.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "tokens")
+    met = of_a.union(of_b).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+    def alike(batches):
+        key, own = None, None
+        for batch in batches:
+            tokens = batch.column("tokens")
+            edge = np.asarray(tokens.offsets)
+            flat = np.asarray(tokens.values).view(np.uint64)
+            out = []
+            for i, (a, part, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("a", "part", "b")], strict=True)):
+                here = flat[edge[i] : edge[i + 1]]
+                if b is None:
+                    key, own = (a, part), here.copy()
+                elif key == (a, part):
+                    common = int(among(own, here).sum())
+                    if (100 + percent) * common >= percent * (len(own) + len(here)):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(alike, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
@@ -298,8 +356,9 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_chunks = max(8, size // CHUNK_BYTES + 1) if size < 1 << 56 else max(8, 4 * scan_partitions(docs))
     keyed = _keyed(docs, n_chunks)
-    shared = shared_tokens(keyed, n_chunks, words, rare)
-    rows = saved(prefixes(keyed, shared, n_chunks, words, percent))
+    hot = hot_tokens(keyed, words, rare)
+    shared = shared_tokens(keyed, n_chunks, words, rare, hot)
+    rows = saved(prefixes(keyed, shared, n_chunks, words, percent, hot))
     whole = rows.select("doc_id", "n", "k1", "k2")
     reps = saved(whole.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     first = rows.join(reps, ["n", "k1", "k2"]).filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["n", "k1", "k2"])
@@ -317,10 +376,20 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     small = index.select(*hard, F.explode("small").alias("sig"))
     large = index.select(*hard, F.explode("large").alias("sig"))
     both = small.union(large)
-    hub = both.groupBy("sig").agg(F.min(F.struct("fixed", "doc_id", "n", "alone", "parity")).alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    spoke = both.join(hub, "sig").select(F.struct("doc_id", "n", "alone", "parity").alias("x"), F.struct("hub.doc_id", "hub.n", "hub.alone", "hub.parity").alias("y")).filter("x.doc_id <> y.doc_id").distinct()
+    hub = saved(both.groupBy("sig").agg(F.min(F.struct("fixed", "doc_id", "n", "alone", "parity")).alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").drop("lo", "hi"))
+    # Rows of a heavy signature meet its hub where they are; only the others shuffle by signature.
+    heavy = hub.filter(F.col("rows") > HEAVY)
+    n_heavy = heavy.count()
+    if 0 < n_heavy <= SMALL // 10:
+        near = both.join(F.broadcast(heavy), "sig")
+        rest = both.join(F.broadcast(heavy.select("sig")), "sig", "left_anti").join(hub.filter(F.col("rows") <= HEAVY), "sig")
+        met_hub = near.unionByName(rest)
+    else:
+        met_hub = both.join(hub, "sig")
+    spoke = met_hub.select(F.struct("doc_id", "n", "alone", "parity").alias("x"), F.struct("hub.doc_id", "hub.n", "hub.alone", "hub.parity").alias("y")).filter("x.doc_id <> y.doc_id").distinct()
     order = F.when((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    star = spoke.select(order.alias("p")).select(F.col("p.x").alias("s"), F.col("p.y").alias("l")).filter(_fits("s", "l", percent) & _alike(percent)).select(F.col("s.doc_id").alias("a"), F.col("l.doc_id").alias("b"))
+    star = spoke.select(order.alias("p"), F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).select(F.col("p.x").alias("s"), F.col("p.y").alias("l"), "a", "b")
+    star = star.filter(_fits("s", "l", percent) & _alike(percent)).select("a", "b")  # a: the hub
     links = saved(verified(saved(met.union(star).distinct()), docs, words, percent))
     found = saved(components(links))
 

@@ -149,7 +149,7 @@ def rake(tokens: np.ndarray, index: dict[str, np.ndarray], targets: dict[str, np
             want = targets[d] * total
             factor = np.where(have > 0, want / np.where(have > 0, have, 1), 1.0)
             worst = max(worst, float(np.abs(factor - 1).max(initial=0)))
-            weight = weight * factor[at]
+            weight = np.where(tokens > 0, weight * factor[at], 1.0)
         if worst < tolerance:
             break
     missed(worst if len(tokens) else 0.0, rounds, strict)
@@ -211,7 +211,7 @@ def rake_table(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 500
             factor = F.when(F.col("have") > 0, F.col("want") * total / F.col("have")).otherwise(1.0)
             factors = saved(have.join(shares, column).select(column, factor.alias("__factor")))
             worst = max(worst, factors.agg(F.max(F.abs(F.col("__factor") - 1))).first()[0] or 0.0)
-            then = saved(now.join(factors, column).withColumn("__weight", F.col("__weight") * F.col("__factor")).select(*now.columns))
+            then = saved(now.join(factors, column).withColumn("__weight", F.when(F.col("__tokens") > 0, F.col("__weight") * F.col("__factor")).otherwise(1.0)).select(*now.columns))
             release(now)
             release(factors)
             now = then
