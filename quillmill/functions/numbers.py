@@ -63,3 +63,8 @@ def upper_median(values: Column) -> Column:
     """The element at floor(n / 2) of the sorted array; not the average of the middle ones."""
     ordered = sort_numbers(values)
     return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+
+
+def upper_median_of(column: str) -> Column:
+    """The upper median as an aggregate: counts of values merge, no list of them is gathered."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..functions.numbers import classify, judge, rel_delta, upper_median
+from ..functions.numbers import classify, judge, rel_delta, upper_median_of
 
 TABLE = ["key", "table_id"]
 COLUMN = [*TABLE, "col_idx", "col_name"]
@@ -112,7 +112,7 @@ def delta_summary(checks: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("n_judged"),
         *[n(s).alias(f"n_{s}") for s in ("pass", "warn", "fail")],
         F.round(n("pass") / F.count("*"), 4).alias("pass_rate"),
-        F.round(upper_median(F.collect_list("d")), 6).alias("median_rel_delta"),
+        F.round(upper_median_of("d"), 6).alias("median_rel_delta"),
         F.round(F.max("d"), 6).alias("max_rel_delta"),
     )
 
@@ -151,6 +151,16 @@ def compare(reported: DataFrame, reproduced: DataFrame, max_cells: int = V.MAX_C
     return cells.unionByName(missed)
 
 
+def zip_series(rows: DataFrame, order: str, side: str, value: str, key: str = "key") -> DataFrame:
+    """(key, pos, status, rel_delta, ...): of rows (key, ``order``, ``side``, ``value``) those where ``side`` is
+    "reported" meet the ones where it is "reproduced" place by place; the shorter series ends it."""
+    place = Window.partitionBy(key, side).orderBy(order)
+    placed = rows.select(key, side, F.col(value).alias("value"), (F.row_number().over(place) - 1).alias("pos"))
+    one = lambda name, of: placed.filter(F.col(side) == of).select(key, "pos", F.col("value").alias(name))
+    each = one("expected", "reported").join(one("actual", "reproduced"), [key, "pos"])
+    return each.withColumns({"status": classify(F.col("expected"), F.col("actual")), "rel_delta": rel_delta(F.col("expected"), F.col("actual"))})
+
+
 def compare_series(series: DataFrame) -> DataFrame:
     """(key, reported, reproduced) arrays to a judged row a position; the shorter one ends it."""
     n = F.least(F.size("reported"), F.size("reproduced"))
@@ -170,7 +180,7 @@ def short(text, most: int = 18):
 
 def comparable_series(series: DataFrame, by: list[str], factor: float = 100.0) -> DataFrame:
     """Of rows (by, scale): those within ``factor`` of the group's upper median scale; all if that is 0 or none is."""
-    median = series.groupBy(*by).agg(upper_median(F.collect_list("scale")).alias("median"), F.count("*").alias("n_series"))
+    median = series.groupBy(*by).agg(upper_median_of("scale").alias("median"), F.count("*").alias("n_series"))
     joined = series.join(median, by)
     near = (F.col("n_series") == 1) | (F.col("median") <= 0) | F.col("scale").between(F.col("median") / factor, F.col("median") * factor)
     some = F.max(near.cast("int")).over(Window.partitionBy(*by))

@@ -26,7 +26,7 @@ def term_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def key_terms(docs: DataFrame, top_k: int = 15, pool: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The best terms of which none contains another, best first: (rank, term, score).
 
-    The greedy step runs over the ``pool`` best terms, and over all where these don't give top_k.
+    The greedy step runs over the ``pool`` best terms, over ten times as many where these don't give top_k, and so on.
     """
     scores = term_scores(docs, key, text)
 
@@ -37,31 +37,49 @@ def key_terms(docs: DataFrame, top_k: int = 15, pool: int = 2000, key: str = "do
         picked = F.aggregate("all", empty, lambda acc, t: F.when((F.size(acc) >= top_k) | clash(acc, t), acc).otherwise(F.concat(acc, F.array(t))))
         return listed.select(F.posexplode(picked).alias("rank", "t")).select((F.col("rank") + 1).alias("rank"), "t.term", (-F.col("t.minus")).alias("score"))
 
-    first = greedy(scores.orderBy(F.desc("score"), "term").limit(pool))
-    return first if first.count() >= top_k or scores.limit(pool + 1).count() <= pool else greedy(scores)
+    while True:
+        first = greedy(scores.orderBy(F.desc("score"), "term").limit(pool))
+        if first.count() >= top_k or scores.limit(pool + 1).count() <= pool:
+            return first
+        pool *= 10
+
+
+def _sentence_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ord, score) of every sentence with tokens. Texts shuffle once by ``key``, which names a document;
+    all that follows stays within its partition, and sentences are cut once."""
+    listed = docs.select(key, F.col(text).alias("text")).repartition(key).select(key, T.sentences(F.col("text")).alias("sents"))
+    sent = listed.select(key, F.size("sents").alias("n_sent"), F.posexplode("sents").alias("ord", "sentence"))
+    words = sent.select(key, "n_sent", "ord", F.length("sentence").alias("length"), F.explode(T.tokens(F.col("sentence"))).alias("term"))
+    uses = words.groupBy(key, "n_sent", "ord", "length", "term").agg(F.count("*").alias("n"))
+    of_term, of_doc = Window.partitionBy(key, "term"), Window.partitionBy(key)
+    tf, df, total = F.sum("n").over(of_term), F.count("*").over(of_term), F.sum("n").over(of_doc)
+    gains = uses.withColumn("gain", (tf / total) * (F.log((1 + F.col("n_sent")) / (1 + df)) + 1.0))
+    sums = gains.groupBy(key, "ord", "length").agg(F.sum(F.col("n") * F.col("gain")).alias("sum"), F.sum("n").alias("n_tok"))
+    early = F.when(F.col("ord") < 5, F.pow(F.lit(1.15), 5 - F.col("ord"))).otherwise(1.0)
+    size_factor = F.when(F.col("length") < 30, 0.7).when(F.col("length") > 260, 0.85).otherwise(1.0)
+    return sums.select(key, "ord", (F.col("sum") / F.sqrt("n_tok") * early * size_factor).alias("score"))
+
+
+def _with_sentences(rows: DataFrame, docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """``rows`` (key, ord, ...) with their sentence: one row a document meets its text."""
+    held = rows.groupBy(key).agg(F.collect_list(F.struct("ord", *more)).alias("held"))
+    met = held.join(docs.select(key, F.col(text).alias("text")), key).select(key, "held", T.sentences(F.col("text")).alias("sents"))
+    each = met.select(key, F.explode(F.transform("held", lambda h: F.struct(h.alias("h"), F.element_at("sents", h["ord"] + 1).alias("sentence")))).alias("x"))
+    return each.select(key, "x.h.*", "x.sentence")
 
 
 def ranked_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ord, sentence, score) of every sentence with tokens; each document is its own corpus."""
-    sent = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("ord", "sentence"))
-    words = sent.select(key, "ord", F.explode(T.tokens(F.col("sentence"))).alias("term"))
-    uses = words.groupBy(key, "ord", "term").agg(F.count("*").alias("n"))
-    stats = uses.groupBy(key, "term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    size = sent.groupBy(key).agg(F.count("*").alias("n_sent")).join(words.groupBy(key).agg(F.count("*").alias("total")), key)
-    gain = (F.col("tf") / F.col("total")) * (F.log((1 + F.col("n_sent")) / (1 + F.col("df"))) + 1.0)
-    score = uses.join(stats, [key, "term"]).join(size, key).groupBy(key, "ord").agg(F.sum(F.col("n") * gain).alias("sum"), F.sum("n").alias("n_tok"))
-    length = F.length("sentence")
-    early = F.when(F.col("ord") < 5, F.pow(F.lit(1.15), 5 - F.col("ord"))).otherwise(1.0)
-    size_factor = F.when(length < 30, 0.7).when(length > 260, 0.85).otherwise(1.0)
-    return score.join(sent, [key, "ord"]).select(key, "ord", "sentence", (F.col("sum") / F.sqrt("n_tok") * early * size_factor).alias("score"))
+    return _with_sentences(_sentence_scores(docs, key, text), docs, key, text, "score").select(key, "ord", "sentence", "score")
 
 
 def summaries(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ``n`` best sentences in reading order: (key, pos, sentence)."""
     best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), "ord")  # equal scores: reading order
-    kept = ranked_sentences(docs, key, text).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
     order = Window.partitionBy(key).orderBy("ord")
-    return kept.select(key, F.row_number().over(order).alias("pos"), "sentence")
+    kept = _sentence_scores(docs, key, text).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
+    placed = kept.withColumn("pos", F.row_number().over(order)).select(key, "ord", "pos")
+    return _with_sentences(placed, docs, key, text, "pos").select(key, "pos", "sentence")
 
 
 def keep_first(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:

@@ -161,7 +161,7 @@ def rel_delta_classify(spark, sf_dir):
 
 @query("""select user_id, round(list_extract(list_sort(list(value)), (floor(count(*) / 2.0) + 1)::bigint), 6) as median, len(list(value) filter (value is not null))::int as n, round(avg(value), 6) as mean from events group by user_id""")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(N.upper_median(F.collect_list("value")), 6).alias("median"), F.count("value").cast("int").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(N.upper_median_of("value"), 6).alias("median"), F.count("value").cast("int").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 # ---------------------------------------------------------------- tables of cells: a report on nations a region
@@ -334,9 +334,9 @@ z as (select key, unnest(list_zip(a[1:least(len(a), len(b))], b[1:least(len(a),
 d as (select key, pos::int as pos, p[1] as e, p[2] as a, case when p[1] = 0 then abs(p[2]) else abs(p[2] - p[1]) / abs(p[1]) end as d from z)
 select key, pos, case when d is null then 'skipped' when d <= 0.05 then 'pass' when d <= 0.2 then 'warn' else 'fail' end as status, round(d, 6) as rel_delta from d""")
 def series_zip_compare(spark, sf_dir):
-    held = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == odd, F.struct("event_id", "value")))), lambda x: x["value"])
-    series = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(held(0).alias("reported"), held(1).alias("reproduced"))
-    return tables.compare_series(series).select("key", "pos", "status", F.round("rel_delta", 6).alias("rel_delta"))
+    side = F.when(F.col("event_id") % 2 == 0, "reported").otherwise("reproduced").alias("side")
+    events = table(spark, sf_dir, "events").filter(F.col("event_id").isNotNull()).select(F.col("event_type").alias("key"), "event_id", side, "value")
+    return tables.zip_series(events, "event_id", "side", "value").select("key", "pos", "status", F.round("rel_delta", 6).alias("rel_delta"))
 
 
 _SPECS = f"""{_CELLS}, s as (select key, col_idx, col_name, coalesce(max(abs(num)), 0) as scale from cells where col_idx > 0 group by all having count(num) >= 2),
