@@ -1,6 +1,9 @@
 """Raw documents to token ids: language, near duplicates, personal data, mixture, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Null and empty
+texts go at the first stage, as they are of no language; a text of any length passes whole; of rows that
+share a doc_id one stays, rows of equal texts or sets leave the smallest doc_id; null doc_ids stay, whatever
+their text; extra columns pass all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes personal data and disclosing terms out of the texts; n_chars follows."""
-    clean = pii.sanitise(docs)
+    """Generalises personal data and disclosing terms in the texts; n_chars follows."""
+    clean = pii.sanitise(docs, generalise=True)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
 
 
