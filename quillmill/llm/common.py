@@ -139,7 +139,7 @@ def give_back() -> None:
         trim(0)
 
 
-def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) -> DataFrame:
+def per_document(df: DataFrame, score, schema: str, keep_text: bool = False, max_bytes: int = 1 << 20) -> DataFrame:
     """Runs ``score(Texts) -> dict of columns`` over the text column of ``df``.
 
     All columns but ``text`` pass through, ``text`` too if asked for; ``schema`` lists the added ones,
@@ -157,7 +157,7 @@ def per_document(df: DataFrame, score, schema: str, keep_text: bool = False) ->
     def run(batches):
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            for i, j, part in pieces(texts):
+            for i, j, part in pieces(texts, max_bytes):
                 got = score(part)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(f.name).slice(i, j - i) for f in kept] + [pa.array(got[k]) for k in names],

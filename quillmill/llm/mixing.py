@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, mix64, per_document, pieces, raw_texts, release, saved, short_batches, table, unused
+from .common import Texts, Words, give_back, mix64, per_document, pieces, raw_texts, release, saved, short_batches, table, unused
 
 MAX_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -44,96 +44,96 @@ CELL = [f"__{d}" for d in DIMENSIONS]
 class Topics:
     """Topics of texts: clusters of word vectors.
 
-    A text's vector sums its distinct words, each a fixed random vector by hash and weighted by how
-    rare its hash bucket is among all documents, and has unit length. Centres are found by Lloyd's rounds
-    over all documents' vectors; only BUCKETS counts and ``n`` centres ever are on the driver. The first centres
-    are spread over SEEDS vectors, the first by hash, each next one the farthest from those taken.
+    A text's vector sums a fixed random vector, by hash, for each of its distinct words and has unit length;
+    less the mean of all documents' vectors, which takes out what all have in common, it has unit length
+    again. Centres are found by Lloyd's rounds over all documents' vectors; only sums and ``n`` centres ever are on
+    the driver. The first centres are spread over SEEDS vectors, the first by hash, each next one the
+    farthest from those taken.
     """
 
-    BUCKETS, DIM, SEEDS = 1 << 16, 24, 512
-    _PLANES = mix64(np.arange(BUCKETS * DIM, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, DIM)
-    _PLANES = ((_PLANES >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).astype(np.float32)
+    BUCKETS, DIM, SEEDS = 1 << 15, 24, 512
+    PLANES = mix64(np.arange(BUCKETS * DIM, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, DIM)
+    PLANES = ((PLANES >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).astype(np.float32)
 
-    def __init__(self, rarity: np.ndarray, centres: np.ndarray):
-        self.table, self.centres = self._PLANES * rarity[:, None].astype(np.float32), centres
+    def __init__(self, mean: np.ndarray, centres: np.ndarray):
+        self.mean, self.centres = mean.astype(np.float32), centres.astype(np.float32)
 
     @classmethod
-    def words(cls, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(document, bucket) of the distinct words of each text."""
+    def vectors(cls, texts: Texts) -> np.ndarray:
+        """Unit vectors, of zeros for texts without words."""
         w = Words(texts, lower=True)
-        own = np.unique(w.doc * cls.BUCKETS + (w.hash % np.uint64(cls.BUCKETS)).astype(np.int64))
-        return own // cls.BUCKETS, own % cls.BUCKETS
-
-    def vectors(self, texts: Texts) -> np.ndarray:
-        doc, bucket = self.words(texts)
-        x = np.zeros((len(texts), self.DIM), np.float32)
-        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-        some = np.flatnonzero(np.diff(edge))
-        for i in some:
-            x[i] = self.table[bucket[edge[i] : edge[i + 1]]].sum(0)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+        own = np.unique((w.doc * cls.BUCKETS).astype(np.int64) + (w.hash % np.uint64(cls.BUCKETS)).astype(np.int64))
+        doc = own // cls.BUCKETS
+        x = np.zeros((len(texts), cls.DIM), np.float32)
+        if len(own):
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            x[doc[first]] = np.add.reduceat(cls.PLANES[own % cls.BUCKETS], first)
+        return unit(x)
 
     def names(self, texts: Texts) -> list[str]:
-        near = (self.vectors(texts) @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(texts), int)
-        return [f"topic{k}" for k in near]
+        x = self.vectors(texts)
+        near = (unit(x - self.mean) @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(x), int)
+        return [f"topic{k}" for k in np.where(x.any(1), near, 0)]
 
     @classmethod
     def learned(cls, docs: DataFrame, n: int = 8, rounds: int = 6) -> Topics:
-        """From all of ``docs`` (text): two passes over the texts, then ``rounds`` over their vectors."""
+        """From all of ``docs`` (text): one pass over the texts, then ``rounds`` over their vectors."""
         short_batches(docs.sparkSession)
-        text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-
-        def count(batches):
-            held, n_docs = np.zeros(cls.BUCKETS, np.int64), 0
-            for batch in batches:
-                for _, _, part in pieces(raw_texts(batch.column("text"))):
-                    held += np.bincount(cls.words(part)[1], minlength=cls.BUCKETS)
-                    n_docs += len(part)
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], n_docs))], names=["bucket", "n"])
-
-        counts = text.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-        total = max(int(counts["n"][counts["bucket"] < 0].sum()), 1)
-        known = counts[counts["bucket"] >= 0]
-        held = np.zeros(cls.BUCKETS)
-        held[known["bucket"].to_numpy(dtype=int)] = known["n"]
-        topics = cls(np.log((total + 1) / (held + 1)), np.zeros((0, cls.DIM), np.float32))
 
         def project(batches):
             for batch in batches:
-                for _, _, part in pieces(raw_texts(batch.column("text"))):
-                    x = topics.vectors(part)
+                for _, _, part in pieces(raw_texts(batch.column("text")), TOPIC_BYTES):
+                    x = cls.vectors(part)
                     x = x[x.any(1)]
                     yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), cls.DIM).cast(pa.list_(pa.float32()))], names=["x"])
+                give_back()
+
+        rows = saved(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(project, "x array<float>"))
+
+        def summed(step, k: int) -> np.ndarray:
+            """[k, DIM + 1]: sums over all vectors of ``step``'s (place, vector), and their numbers."""
+
+            def sums(batches):
+                total = np.zeros((k, cls.DIM + 1))
+                for batch in batches:
+                    x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(-1, cls.DIM)
+                    place, moved = step(x)
+                    np.add.at(total, place, np.c_[moved, np.ones(len(moved))])
+                yield pa.RecordBatch.from_pydict({"k": pa.array(range(k), pa.int32()), "s": list(total)})
+
+            parts = rows.mapInArrow(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+            got = np.zeros((k, cls.DIM + 1))
+            got[parts["k"], parts["i"]] = parts["v"]
+            return got
 
-        rows = saved(text.mapInArrow(project, "x array<float>"))
-        seeds = [np.array(r[0], np.float32) for r in rows.orderBy(F.xxhash64("x"), "x").limit(cls.SEEDS).collect()]
+        seeds = [np.array(r[0], np.float64) for r in rows.orderBy(F.xxhash64("x"), "x").limit(cls.SEEDS).collect()]
         if not seeds:
-            return topics
-        seeds = np.stack(seeds)
+            return cls(np.zeros(cls.DIM), np.zeros((0, cls.DIM)))
+        whole = summed(lambda x: (np.zeros(len(x), int), x), 1)[0]
+        mean = whole[:-1] / whole[-1]
+        seeds = unit(np.stack(seeds) - mean)
         taken = [0]
         for _ in range(min(n, len(seeds)) - 1):
             taken.append(int((seeds @ seeds[taken].T).max(1).argmin()))
-        centres = seeds[taken].astype(np.float64)
+        centres = seeds[taken]
         for _ in range(rounds):
 
-            def sums(batches, centres=centres):
-                total = np.zeros((len(centres), cls.DIM + 1))
-                for batch in batches:
-                    x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(-1, cls.DIM)
-                    near = (x @ centres.T).argmax(1)
-                    np.add.at(total, near, np.c_[x, np.ones(len(x))])
-                yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(centres)), pa.int32()), "s": list(total)})
+            def nearest(x, centres=centres):
+                x = unit(x - mean)
+                return (x @ centres.T).argmax(1), x
 
-            parts = rows.mapInArrow(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
-            moved = np.zeros((len(centres), cls.DIM + 1))
-            moved[parts["k"], parts["i"]] = parts["v"]
-            norm = np.linalg.norm(moved[:, :-1], axis=1, keepdims=True)
-            centres = np.where((moved[:, -1:] > 0) & (norm > 0), moved[:, :-1] / np.where(norm > 0, norm, 1), centres)
-        topics.centres = centres.astype(np.float32)
+            moved = summed(nearest, len(centres))
+            centres = np.where(moved[:, -1:] > 0, unit(moved[:, :-1]), centres)
         release(rows)
-        return topics
+        return cls(mean, centres)
+
+
+TOPIC_BYTES = 1 << 18
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
 
 
 def rake(tokens: np.ndarray, index: dict[str, np.ndarray], targets: dict[str, np.ndarray], rounds: int = 500, tolerance: float = 1e-9, strict: bool = False) -> np.ndarray:
@@ -183,7 +183,7 @@ def with_strata(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
             "__lang": named("lang"),
         }
     )
-    return per_document(given, lambda texts: {"__topic": topics.names(texts)}, "__topic string", keep_text=True)
+    return per_document(given, lambda texts: {"__topic": topics.names(texts)}, "__topic string", keep_text=True, max_bytes=TOPIC_BYTES)
 
 
 def wanted_shares(cells: DataFrame, column: str, temperature: float, given: dict[str, float] | None) -> DataFrame:
@@ -249,9 +249,8 @@ def probabilities(strata: DataFrame, temperature: dict[str, float], targets: dic
 def drawn(docs: DataFrame, temperature: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 20, max_cells: int = MAX_CELLS) -> DataFrame:
     """The sampled rows of ``docs`` (doc_id, source, lang, text and others, none named ``__...``) with their
     stratum, tokens, weight and probability (columns ``__...``)."""
-    topics = Topics.learned(docs.select("text"))
-    narrow = with_strata(docs.select("doc_id", "source", "lang", "text"), topics).drop("text")
-    joined = with_strata(docs, topics).join(probabilities(narrow, TEMPERATURE | (temperature or {}), targets, max_cells), CELL)
+    strata = saved(with_strata(docs))  # so that no text is read for its topic twice
+    joined = strata.join(probabilities(strata, TEMPERATURE | (temperature or {}), targets, max_cells), CELL)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     return joined.filter(draw < F.col("__probability"))
 
