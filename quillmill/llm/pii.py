@@ -167,14 +167,17 @@ def _entities(base: str) -> str:
     """The distinct (entity, shared) of base spans: one number for each protected value, whatever its
     punctuation and case, and for what it shares with others."""
 
-    def of(s):
+    def one(s, shared):
         digits, low = _digits(f"{s}.value"), f"lower({s}.value)"
-        same = f"if({s}.kind in ('card', 'phone'), {digits}, {low})"
-        part = f"case {s}.kind when 'email' then substring_index({low}, '@', -1) when 'ip' then substring_index({low}, '.', 3) when 'card' then substring({digits}, 1, 6) else substring({digits}, 1, length({digits}) - 4) end"
-        one = lambda value, shared: f"struct(xxhash64({s}.kind, {shared}, {value}) as entity, {shared} as shared)"
-        return f"array({one(same, 'false')}, {one(part, 'true')})"
-
-    return f"array_distinct(flatten({each('transform', base, of)}))"
+        if shared:
+            value = f"case {s}.kind when 'email' then substring_index({low}, '@', -1) when 'ip' then substring_index({low}, '.', 3) when 'card' then substring({digits}, 1, 6) else substring({digits}, 1, length({digits}) - 4) end"
+        else:
+            value = f"if({s}.kind in ('card', 'phone'), {digits}, {low})"
+        return f"xxhash64({s}.kind, {str(shared).lower()}, {value})"
+
+    # Distinct numbers are found by hashing; distinct structs would be compared one by one.
+    of = lambda shared: f"transform(array_distinct({each('transform', base, lambda s: one(s, shared))}), e -> struct(e as entity, {str(shared).lower()} as shared))"
+    return f"concat({of(False)}, {of(True)})"
 
 
 #: Classes of words that a term can be generalised to. No word holds these marks, so classes are counted like terms.
