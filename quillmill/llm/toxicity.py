@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, fold, mix64, per_document, pieces, raw_texts, table
+from .common import Texts, fold, give_back, mix64, per_document, pieces, raw_texts, table
 from .quality import labelled
 
 WIDTHS = (3, 4, 5, 6)
@@ -82,13 +82,11 @@ class SubwordSoftmax:
         self.embed = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim))
         self.weight, self.bias, self.top = np.zeros((dim, 2)), np.zeros(2), top
     def fit(self, bucket, word, mass, epochs: int = 6, batch: int = 4096, rate: float = 0.2, seed: int = 3):
-        """``mass`` [words, 2]: how many clean and toxic documents hold the word. Adagrad, soft labels.
+        """``bucket``, ``word``: n-grams in order of their word. ``mass`` [words, 2]: how many clean and toxic documents hold the word. Adagrad, soft labels.
 
         The table and the softmax move together; a word weighs by the root of how many documents hold it.
         """
         rng = np.random.default_rng(seed)
-        by = np.argsort(word, kind="stable")
-        bucket, word = bucket[by], word[by]
         begin = np.searchsorted(word, np.arange(len(mass) + 1))
         grown_e, grown_w, grown_b = np.full_like(self.embed, 1e-4), np.full_like(self.weight, 1e-4), np.full(2, 1e-4)
         use = np.flatnonzero(mass.sum(1) > 0)
@@ -147,10 +145,8 @@ class SubwordSoftmax:
         self.bias[:] = -odds / 2, odds / 2
 
     def fit_documents(self, bucket, word, held, label, epochs: int = 4, rate: float = 0.01):
-        """Joint training on documents. ``bucket``, ``word``: n-grams of each kind of word; ``held``: (document, kind)."""
+        """Joint training on documents. ``bucket``, ``word``: n-grams in order of their kind of word; ``held``: (document, kind)."""
         doc, kind = held
-        by = np.argsort(word, kind="stable")
-        bucket, word = bucket[by], word[by]
         n_words, n_docs = int(word.max()) + 1, len(label)
         begin = np.searchsorted(word, np.arange(n_words + 1))
         size = np.diff(begin)
@@ -214,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
         once = np.unique(at * len(part) + doc)  # a document counts a word once
         held = np.zeros((len(own), 2))
         np.add.at(held, (once // len(part), label[i + once % len(part)]), 1.0)
-        holder.append(i + once % len(part))
-        held_kind.append(n_kinds + once // len(part))
+        holder.append((i + once % len(part)).astype(np.int32))
+        held_kind.append((n_kinds + once // len(part)).astype(np.int32))
         n_kinds += len(own)
         chosen = np.zeros(len(whole), bool)
         chosen[first] = True
@@ -229,13 +225,19 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     np.add.at(mass, at, np.concatenate(holds))
     mass /= np.bincount(label, minlength=2) / len(label) * 2  # as if both classes were equally common
     bucket = np.concatenate([b for b, _ in grams])
-    word = np.concatenate([w + s for (_, w), s in zip(grams, shift[:-1], strict=True)])
+    word = np.concatenate([w + np.int32(s) for (_, w), s in zip(grams, shift[:-1], strict=True)])
+    del grams, kinds, holds
     chosen = np.zeros(len(at), bool)
     chosen[first] = True
     keep = chosen[word]
-    bucket, word = bucket[keep], at[word[keep]]
+    bucket, word = bucket[keep], at[word[keep]].astype(np.int32)
+    by = np.argsort(word, kind="stable")
+    bucket, word = bucket[by], word[by]  # n-grams of a word stand together
+    held = np.concatenate(holder), at[np.concatenate(held_kind)]
+    del keep, by, chosen, at, first, holder, held_kind
+    give_back()
     model = SubwordSoftmax().fit(bucket, word, mass)
-    return model.fit_documents(bucket, word, (np.concatenate(holder), at[np.concatenate(held_kind)]), label)
+    return model.fit_documents(bucket, word, held, label)
 
 
 def predict(docs: DataFrame, model: SubwordSoftmax | None, threshold: float = 0.7) -> DataFrame:
