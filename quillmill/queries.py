@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import numbers as N
 from .functions import text as T
 from .functions import vocab as V
-from .operators import dialogue, document, merging, outline, papers, pseudocode, tables, terms
+from .operators import answers, dialogue, document, merging, outline, papers, pseudocode, tables, terms
 from .sources import html, readers
 
 QUERIES: dict = {}
@@ -665,3 +665,59 @@ def merged_tables(spark, sf_dir):
 @query(r"select doc_id, case when trim(coalesce(split_part(text, chr(10), 1), '')) in ('', 'Untitled') then -1 else length(trim(split_part(text, chr(10), 1))) + case when len(string_split(trim(split_part(text, chr(10), 1)), ' ')) > 6 then 20 else 0 end - case when regexp_matches(trim(split_part(text, chr(10), 1)), '^[IVX]+\.\s+') then 50 else 0 end end as score from documents")
 def title_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", merging.title_score(F.split("text", "\n")[0]).alias("score"))
+
+
+# ---------------------------------------------------------------- answers: tables in words, entry points, results, ids
+
+
+@query(f"""with {_CELLS}, shape as (select key, table_id, count(distinct row_idx) as n_rows, count(distinct col_idx) as n_cols from cells group by all),
+vals as (select key, table_id, col_idx, col_name, list(num order by row_idx) filter (num is not null) as v from cells where col_idx > 0 group by all),
+first as (select *, row_number() over (partition by key, table_id order by col_idx) as r from vals where len(v) > 0),
+said as (select key, table_id, string_agg(col_name || ' 最优 ' || format('{{:.4g}}', list_max(v)) || '（第 ' || list_position(v, list_max(v)) || ' 行）', '；' order by r) as parts from first where r <= 3 group by all)
+select key, table_id, '表 ' || table_id || '：' || n_rows || ' 行 × ' || n_cols || ' 列；' || parts || '。' as explanation from shape join said using (key, table_id)""")
+def table_explanations(spark, sf_dir):
+    return answers.explain_tables(report_cells(spark, sf_dir))
+
+
+_KINDS = " ".join(f"when {_any('low', words)} then {_literal(kind)}" for kind, words in answers.INPUT_KINDS)
+
+
+@query(f"select item_id, case {_KINDS} else 'vec' end as kind from (select item_id, lower(coalesce(text, '')) as low from benchmark)")
+def benchmark_input_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", answers.input_kind(F.lit(""), F.col("text")).alias("kind"))
+
+
+_HELPERS = ", ".join(_literal(h) for h in answers.HELPERS)
+
+
+@query(f"""with code as (select p_partkey, case when p_partkey % 3 = 0 then '' else 'def push(a, b):' || chr(10) || '    return a' || chr(10) end
+  || case when p_partkey % 5 = 0 then '' else '  def ' || regexp_replace(p_name, '[^A-Za-z]+', '_', 'g') || ' (x):' || chr(10) end || 'def last():' || case when p_partkey % 7 = 0 then '' else ' pass' end as code from part)
+select p_partkey, coalesce(list_filter(regexp_extract_all(code, '(?m)^\\s*def\\s+([A-Za-z_]\\w*)\\s*\\(', 1), lambda d: d not in ({_HELPERS}))[1], 'run') as entry from code""")
+def entry_points(spark, sf_dir):
+    k = F.col("p_partkey")
+    helper = F.when(k % 3 == 0, "").otherwise("def push(a, b):\n    return a\n")
+    own = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("  def "), F.regexp_replace("p_name", "[^A-Za-z]+", "_"), F.lit(" (x):\n")))
+    code = F.concat(helper, own, F.lit("def last():"), F.when(k % 7 == 0, "").otherwise(" pass"))
+    return table(spark, sf_dir, "part").select("p_partkey", answers.function_name(code).alias("entry"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 4 = 0 then null else o_totalprice end as total from orders""")
+def printed_results(spark, sf_dir):
+    """Each order printed as a script would, every fourth one broken in its last result."""
+    whole = F.to_json(F.struct(F.col("o_totalprice").alias("total")))
+    tail = F.when(F.col("o_orderkey") % 4 == 0, "@result {broken").otherwise(F.concat(F.lit("@result "), whole))
+    stdout = F.concat(F.lit('log @result {"total": 1}\n@result {"total": 2}\r\n'), tail, F.lit("\nend\n"))
+    found = answers.printed_result(stdout, "@result ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.get_json_object(found, "$.total").cast("double").alias("total"))
+
+
+@query("""with names as (select o_orderkey, 'run' || (o_custkey % 50) as base from orders),
+taken as (select distinct 'run' || c_nationkey as base, 1 as n from customer union select distinct 'run' || c_nationkey, 3 from customer),
+free as (select o_orderkey, base, row_number() over (partition by base order by o_orderkey) as k, exists (select 1 from taken t where t.base = names.base) as held from names)
+select o_orderkey, base || case when not held then case when k = 1 then '' else '_' || k end when k = 1 then '_2' else '_' || (k + 2) end as paper_id from free""")
+def allocated_paper_ids(spark, sf_dir):
+    """Orders as uploads of fifty names, of which those of nations, alone and with _3, are taken."""
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("up/run"), (F.col("o_custkey") % 50).cast("string"), F.lit(".pdf")).alias("name"))
+    held = table(spark, sf_dir, "customer").select(F.concat(F.lit("run"), F.col("c_nationkey").cast("string")).alias("base")).distinct()
+    existing = held.select(F.col("base").alias("paper_id")).union(held.select(F.concat("base", F.lit("_3"))))
+    return answers.allocated_ids(names, existing, "o_orderkey").select("o_orderkey", "paper_id")
