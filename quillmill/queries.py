@@ -131,7 +131,7 @@ def _number(c: str) -> str:
     return f"case when {c} is null or lower({s}) in ({places}) then null when regexp_extract({s}, '{V.PLUS_MINUS}', 1) <> '' then try_cast(regexp_extract({s}, '{V.PLUS_MINUS}', 1) as double) when {token} = '' then null when {token} like '%\\%' escape '\\' then {bare} / 100 else {bare} end"
 
 
-_NUMBER_ROWS = "select -i::bigint as id, cell from (values " + ", ".join(f"({i + 1}, {_literal(c)})" for i, c in enumerate(_TRAPS)) + ") t(i, cell) union all select doc_id, substr(text, 1, 200) from documents"
+_NUMBER_ROWS = "select -i::bigint as id, cell from (values " + ", ".join(f"({i + 1}, {_literal(c)})" for i, c in enumerate(_TRAPS)) + ") t(i, cell) union all select doc_id, text from documents"
 
 
 @query(f"select id, round(num, 9) as num from (select id, {_number('cell')} as num from ({_NUMBER_ROWS}))")
@@ -141,7 +141,7 @@ def number_parse(spark, sf_dir):
     return rows.select("id", F.round(N.to_number(F.col("cell")), 9).alias("num"))
 
 
-@query(f"select doc_id, len(x)::int as n, round(list_sum(list_transform(x, lambda t: try_cast(replace(replace(t, '%', ''), ',', '') as double) / case when t like '%\\%' escape '\\' then 100 else 1 end)), 6) as total from (select doc_id, list_slice(regexp_extract_all(coalesce(text, ''), '{V.NUMBER}'), 1, 200) as x from documents) where len(x) > 0 and list_max(list_transform(x, lambda t: length(t))) < 15")
+@query(f"select doc_id, len(x)::int as n, round(coalesce(list_sum(list_transform(x, lambda t: try_cast(replace(replace(t, '%', ''), ',', '') as double) / case when t like '%\\%' escape '\\' then 100 else 1 end)), 0), 6) as total from (select doc_id, list_slice(regexp_extract_all(coalesce(text, ''), '{V.NUMBER}'), 1, 200) as x from documents)")
 def extract_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", N.extract_numbers(F.col("text")).alias("x"))
     return rows.select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
@@ -543,7 +543,7 @@ def index_upsert_latest(spark, sf_dir):
     return merged.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
-@query("select doc_id, case when d and l then 'ready' when l then 'outputs' else 'uploaded' end as status from (select doc_id, true as d from documents where doc_id % 3 <> 0) full join (select distinct doc_id, true as l from labels) using (doc_id)")
+@query("select doc_id, case when d and l then 'ready' when l then 'outputs' else 'uploaded' end as status from (select doc_id, true as d from documents) full join (select distinct doc_id, true as l from labels) using (doc_id)")
 def paper_status(spark, sf_dir):
     return papers.status(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 

@@ -30,7 +30,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else float(f"{round(v, 5):.15g}") + 0.0  # sums of doubles differ in their last bit
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     return round(float(v), 5) if hasattr(v, "as_tuple") else v
