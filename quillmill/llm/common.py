@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmill_path = path
     return out

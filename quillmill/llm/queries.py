@@ -10,6 +10,7 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .embeddings import op4_embedding_near_dedup
 from .fingerprint import op10_fingerprint
+from .idfiles import op12_token_files
 from .jaccard import op3_ngram_jaccard
 from .langid import op9_language_id
 from .mixing import op5_mixing
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_fingerprint": op10_fingerprint,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -43,7 +43,7 @@ def test_odd_rows(spark, odd, name):
     assert len(rows) <= whole if name in SAMPLED else len(rows) == whole
     key = "vec_id" if name == "op4_embedding_near_dedup" else "doc_id"
     same = [tuple(r) for r in rows if r[key] == 7]
-    if name not in {"op6_sharding", "op10_fingerprint"}:  # slots differ, so do successors
+    if name not in {"op6_sharding", "op10_fingerprint", "op12_token_files"}:  # slots, successors and starts differ
         assert len(set(same)) <= 1
 
 
