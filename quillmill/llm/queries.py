@@ -16,6 +16,7 @@ from .langid import op9_language_id
 from .mixing import op5_mixing
 from .pii import op2_pii
 from .quality import op1_quality
+from .repeats import op13_periodic_runs
 from .sharding import op6_sharding
 from .toxicity import op8_toxicity
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_fingerprint": op10_fingerprint,
     "op12_token_files": op12_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
