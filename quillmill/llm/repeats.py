@@ -33,7 +33,7 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -294,7 +294,7 @@ def find(documents: list[list[bytes]], shortest: int = SHORTEST, times: int = TI
     out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
     sizes = np.array([len(w) for w in documents], np.int64)
     n = int(sizes.sum())
-    values = np.fromiter((hash(w) for words in documents for w in words), np.int64, n).view(np.uint64)
+    values = np.fromiter(map(hash, chain.from_iterable(documents)), np.int64, n).view(np.uint64)
     doc = np.repeat(np.arange(len(documents)), sizes)
     held = repeated_stretches(values, doc, max(1, -(-shortest * (times - 1) // times)))
     if not held.any():
