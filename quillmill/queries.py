@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers as N
 from .functions import text as T
 from .functions import vocab as V
 from .operators import answers, dialogue, document, merging, outline, papers, pseudocode, tables, terms
+from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
+from .registry import literal as _literal
 from .sources import html, readers
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _literal(word: str) -> str:
-    return "'" + word.replace("'", "''") + "'"
-
-
 def _any(column: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({column}, {_literal(w)})" for w in words) + ")"
 
@@ -721,3 +701,8 @@ def allocated_paper_ids(spark, sf_dir):
     held = table(spark, sf_dir, "customer").select(F.concat(F.lit("run"), F.col("c_nationkey").cast("string")).alias("base")).distinct()
     existing = held.select(F.col("base").alias("paper_id")).union(held.select(F.concat("base", F.lit("_3"))))
     return answers.allocated_ids(names, existing, "o_orderkey").select("o_orderkey", "paper_id")
+
+
+# ---------------------------------------------------------------- the other modules' queries
+
+from . import topic_queries  # noqa: E402, F401
