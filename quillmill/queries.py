@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .functions import numbers as N
 from .functions import text as T
 from .functions import vocab as V
-from .operators import answers, dialogue, document, merging, outline, papers, pseudocode, tables, terms
+from . import paper_queries
+from .operators import answers, dialogue, document, merging, outline, papers, tables, terms
 from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from .registry import literal as _literal
-from .sources import html, readers
+from .sources import html
 
 def _any(column: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({column}, {_literal(w)})" for w in words) + ")"
@@ -342,96 +343,9 @@ def chart_series(spark, sf_dir):
     return tables.chart_specs(cells).select("key", "kind", F.array_join("categories", ";").alias("categories"), line.alias("series"))
 
 
-# ---------------------------------------------------------------- documents' structure, on literal Markdown
+# ---------------------------------------------------------------- headings, kinds and keys
 
-PAPERS = {
-    1: "# Topic study\n\n## Abstract\nWe study topics.\n\n## 2 Method\ntext a\n\n### Model details\ntext b\n\nTable 1. Data sets used\n| Dataset | Documents | Share (%) |\n|---|---:|---:|\n| A | 1,200 | 41.2% |\n| B | 900 | 58.8% |\n\n## Results\n| Method | Accuracy |\n| --- | --- |\n| Base | 0.71 |\n| Ours | 0.83 |\nTable 2: Main results\n\n![x](figures/f1.svg)\nFigure 1. Accuracy curve by epoch\n\n## Conclusion\nThe code is available at https://github.com/acme/topics.\nData: https://zenodo.org/record/12 (dataset)\n",
-    2: "Title line\n==========\n\nIntroduction\n---\nsome text https://example.org/x, nothing else\n\nAlgorithm 1. Select the largest k. More text\n```\nAlgorithm 1: TopK\nInput: list a\nfor each x in a do\n  push x\nend for\nreturn heap\n```\n```python\nimport os\nprint(1)\n```\n\nFig. 2 Overview of the pipeline\n![a](p.png) ![b](q.png)\nFigure 3: other\n",
-    3: "no structure at all",
-    4: "| a | b |\n|--|--|\n| 1 | 2 |\n|--|--|\n| c | d |\n|--|--|\n| 3 | 4 | 5 |\n| 6 |\n```algo\nx <- 1\n",
-}
-_DOCS = "docs as (select * from (values " + ", ".join(f"({k}, {_literal(v)})" for k, v in PAPERS.items()) + ") t(doc_id, text))"
-_LINES = f"{_DOCS}, lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as n from (select doc_id, string_split(text, chr(10)) as l from docs))"
-
-
-def paper_docs(spark) -> DataFrame:
-    return spark.createDataFrame(list(PAPERS.items()), "doc_id int, text string")
-
-
-_HEADS = rf"""{_LINES}, marked as (select *, regexp_extract(line, '{V.ATX_HEADING}', 1) as h, lead(line) over (partition by doc_id order by n) as nx from lines),
-heads as (select doc_id, n, case when h <> '' then length(h) when nx like '=%' then 1 else 2 end as level, case when h <> '' then regexp_extract(line, '{V.ATX_HEADING}', 2) else trim(line) end as heading from marked where h <> '' or (regexp_matches(coalesce(nx, ''), '^(=+|-{{2,}})\s*$') and trim(line) <> ''))"""
-
-
-def _kind_sql(c: str) -> str:
-    return "case " + " ".join(f"when contains(lower({c}), {_literal(w)}) then '{k}'" for w, k in V.HEADING_KINDS) + " else 'section' end"
-
-
-@query(f"with {_HEADS} select doc_id, n::int as line_no, level::int as level, heading from heads")
-def markdown_headings(spark, sf_dir):
-    rows = document.lines(paper_docs(spark))
-    return document.headings(rows).select(F.col("key").alias("doc_id"), "line_no", "level", "heading")
-
-
-@query(f"""with {_HEADS}, ends as (select doc_id, max(n) + 1 as e from lines group by 1)
-select h.doc_id, h.heading, h.level::int as level, {_kind_sql('h.heading')} as kind, (h.n + 1)::int as start, coalesce((select min(g.n) from heads g where g.doc_id = h.doc_id and g.n > h.n and g.level <= h.level), e)::int as stop from heads h join ends using (doc_id) where h.level <= 3""")
-def section_ranges(spark, sf_dir):
-    rows = document.lines(paper_docs(spark))
-    return document.section_ranges(document.headings(rows), rows).select(F.col("key").alias("doc_id"), "heading", "level", "kind", "start", "stop")
-
-
-@query("""select * from (values (1, 'T1', 'Data sets used', 0, 'Dataset', 'A', null::double), (1, 'T1', 'Data sets used', 0, 'Documents', '1,200', 1200.0), (1, 'T1', 'Data sets used', 0, 'Share (%)', '41.2%', 0.412),
-(1, 'T1', 'Data sets used', 1, 'Dataset', 'B', null), (1, 'T1', 'Data sets used', 1, 'Documents', '900', 900.0), (1, 'T1', 'Data sets used', 1, 'Share (%)', '58.8%', 0.588),
-(1, 'T2', '', 0, 'Method', 'Base', null), (1, 'T2', '', 0, 'Accuracy', '0.71', 0.71), (1, 'T2', '', 1, 'Method', 'Ours', null), (1, 'T2', '', 1, 'Accuracy', '0.83', 0.83),
-(4, 'T1', '', 0, 'a', '1', 1.0), (4, 'T1', '', 0, 'b', '2', 2.0), (4, 'T2', '', 0, 'c', '3', 3.0), (4, 'T2', '', 0, 'd', '4', 4.0), (4, 'T2', '', 1, 'c', '6', 6.0), (4, 'T2', '', 1, 'd', '', null)) t(doc_id, table_id, caption, row_idx, col_name, raw, num)""")
-def pipe_table_cells(spark, sf_dir):
-    found = document.table_rows(document.lines(paper_docs(spark)))
-    captions = found.filter("row_idx = 0").select("key", "table_id", "caption")
-    return document.cells(found).join(captions, ["key", "table_id"]).select(F.col("key").alias("doc_id"), "table_id", "caption", "row_idx", "col_name", "raw", F.round("num", 9).alias("num"))
-
-
-@query(rf"""with {_LINES}, f as (select *, regexp_matches(line, '{V.FENCE}') as fence, sum(regexp_matches(line, '{V.FENCE}')::int) over (partition by doc_id order by n) as k from lines)
-select doc_id, min(n)::int as open_line, lower(min(regexp_extract(line, '{V.FENCE}', 1)) filter (fence)) as info, coalesce(array_to_string(list(line order by n) filter (not fence), chr(10)), '') as body from f where k % 2 = 1 group by doc_id, k""")
-def fence_blocks(spark, sf_dir):
-    found = document.fenced_blocks(document.lines(paper_docs(spark)))
-    return found.select(F.col("key").alias("doc_id"), "open_line", "info", F.array_join("body", "\n").alias("body"))
-
-
-@query("select * from (values (2, 'A1', 'Algorithm 1: TopK', 5), (4, 'A1', 'x <- 1', 2)) t(doc_id, algorithm_id, caption, n_lines)")
-def algorithm_blocks(spark, sf_dir):
-    found = document.algorithms(document.lines(paper_docs(spark)))
-    return found.select(F.col("key").alias("doc_id"), "algorithm_id", "caption", F.size("lines").alias("n_lines"))
-
-
-@query("select * from (values (1, 'F1', 'Accuracy curve by epoch', 'figures/f1.svg', 'plot'), (2, 'F2', 'Overview of the pipeline', null, 'architecture'), (2, 'F3', 'other', 'p.png', 'unknown'), (2, 'FX3', '', 'q.png', 'unknown')) t(doc_id, fig_id, caption, image_path, kind)")
-def figure_images(spark, sf_dir):
-    return document.figures(document.lines(paper_docs(spark))).select(F.col("key").alias("doc_id"), "fig_id", "caption", "image_path", "kind")
-
-
-@query("select * from (values (1, 'https://github.com/acme/topics', 'repo'), (1, 'https://zenodo.org/record/12', 'dataset')) t(doc_id, url, kind)")
-def url_refs(spark, sf_dir):
-    return document.links(document.lines(paper_docs(spark))).select(F.col("key").alias("doc_id"), "url", "kind")
-
-
-@query(f"""with l as (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as n from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents union all select -doc_id, string_split(text, chr(10)) from (with {_DOCS} select * from docs)))
-select doc_id::bigint as doc_id, substr(trim(arg_min(line, n)), 1, 240) as statement from l where {_any('lower(line)', V.CODE_NOUNS)} and {_any('lower(line)', V.RELEASE_VERBS)} group by doc_id""")
-def code_statement_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(paper_docs(spark).select(-F.col("doc_id"), "text"))
-    return document.code_statements(document.lines(docs)).select(F.col("key").alias("doc_id"), "statement")
-
-
-@query("select * from (values (1, 'open_source', 0.9), (2, 'pseudocode_only', 0.85), (3, 'no_code', 0.7), (4, 'pseudocode_only', 0.85)) t(doc_id, mode, confidence)")
-def mode_decision(spark, sf_dir):
-    rows = document.lines(paper_docs(spark))
-    found = papers.modes(paper_docs(spark).select(F.col("doc_id").alias("key")), document.links(rows), document.algorithms(rows))
-    return found.select(F.col("key").alias("doc_id"), "mode", "confidence")
-
-
-@query("""select * from (values (1, 'table', 'T1', 'Data sets used', 'benchmark'), (1, 'table', 'T2', '', 'benchmark'), (1, 'figure', 'F1', 'Accuracy curve by epoch', 'redraw'), (2, 'figure', 'F2', 'Overview of the pipeline', 'cite'), (2, 'figure', 'F3', 'other', 'cite'),
-(2, 'algorithm', 'A1', 'Algorithm 1: TopK', 'translate'), (4, 'algorithm', 'A1', 'x <- 1', 'translate'), (4, 'table', 'T1', '', 'input'), (4, 'table', 'T2', '', 'input')) t(doc_id, kind, id, caption, role)""")
-def plan_targets(spark, sf_dir):
-    from .plans.analysis import analyse
-
-    return analyse(paper_docs(spark)).targets.withColumnRenamed("key", "doc_id")
+_kind_sql = paper_queries.kind_sql
 
 
 @query(f"select p_partkey, {_kind_sql('p_name')} as name_kind, {_kind_sql('p_type')} as type_kind from part")
@@ -534,13 +448,6 @@ def index_delete(spark, sf_dir):
     return papers.without(table(spark, sf_dir, "documents"), gone, "doc_id").select("doc_id", "text")
 
 
-@query("select * from (values (1, 6, 2, 0, 2), (2, 2, 0, 1, 0), (3, 0, 0, 0, 0), (4, 0, 2, 1, 0)) t(doc_id, n_sections, n_tables, n_algorithms, n_links)")
-def manifest_stats(spark, sf_dir):
-    from .plans.analysis import analyse
-
-    return analyse(paper_docs(spark)).manifest.select(F.col("key").alias("doc_id"), "n_sections", "n_tables", "n_algorithms", "n_links")
-
-
 @query()
 def seeded_sample_cap(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("k", F.xxhash64("l_orderkey", "l_linenumber"))
@@ -573,22 +480,9 @@ def event_windows(spark, sf_dir):
     return windows(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""select * from (values ('2301.00001', '2301.00001'), ('arXiv:2301.00001v2', '2301.00001v2'), ('https://arxiv.org/abs/2301.00001', '2301.00001'), ('https://arxiv.org/pdf/2301.00001.pdf', '2301.00001'), ('hep-th/9901001', 'hep-th/9901001'), ('paper.md', null)) t(source, id)""")
-def arxiv_ids(spark, sf_dir):
-    rows = spark.createDataFrame([("2301.00001",), ("arXiv:2301.00001v2",), ("https://arxiv.org/abs/2301.00001",), ("https://arxiv.org/pdf/2301.00001.pdf",), ("hep-th/9901001",), ("paper.md",)], "source string")
-    return rows.select("source", readers.arxiv_id(F.col("source")).alias("id"))
-
-
 # ---------------------------------------------------------------- pseudocode, outlines, merged readings
 
 
-@query("""select * from (values ('A1', E'def top_k(stream_S, integer_k):\\n    H = []\\n    for x in S:\\n        if x >= 0:\\n            push(H, x)\\n    return H'), ('A2', E'def algorithm_a2():\\n    pass')) t(algorithm_id, code)""")
-def pseudocode_translate(spark, sf_dir):
-    lines = ["Algorithm 1: TOPK", "Input: stream S, integer k", "1: H ← empty min-heap", "2: for each x in S do", "3: if x ≥ 0 then", "4: push(H, x)", "5: end if", "6: end for", "7: return H"]
-    rows = spark.createDataFrame([("p", "A1", "Top-K", lines), ("p", "A2", None, [])], "key string, algorithm_id string, caption string, lines array<string>")
-    return pseudocode.translate(rows).select("algorithm_id", "code")
-
-
 _GLOSSED = "trim(coalesce(text, ''))"
 for _pattern, _term in outline.GLOSSARY:
     _GLOSSED = f"regexp_replace({_GLOSSED}, {_literal(_pattern)}, {_literal(_term)}, 'gi')"
@@ -609,39 +503,6 @@ def paper_digest(spark, sf_dir):
     return outline.digests(heads, sections, no_algorithms, no_tables).select(F.col("key").alias("doc_id"), "digest")
 
 
-@query("select * from (values ('conclusion', 'It works well. It will pave the way.'), ('limitation', 'One site alone.')) t(kind, text)")
-def closing_chunks(spark, sf_dir):
-    text = "1. Introduction\nwords\nConclusion\nIt works well.\n\nIt will pave the way.\nReferences\n[1] x\nV. Limitations\nOne site alone."
-    rows = spark.createDataFrame([("p", i, x) for i, x in enumerate(text.split("\n"))], "key string, line_no int, line string")
-    return outline.closing_chunks(rows).select("kind", "text")
-
-
-@query("select * from (values (0, 1, 'Model', 'm1'), (1, 1, 'Model', 'm1'), (1, 2, 'More', 'm2'), (2, 1, 'End', 'c'), (2, 2, 'Discussion', 'd'), (3, 1, 'Abstract', 'short')) t(pos, ord, section, text)")
-def outline_sections(spark, sf_dir):
-    sections = [(2, "Model", "method", "m1"), (3, "More", "method", "m2"), (4, "Discussion", "discussion", "d"), (5, "End", "conclusion", "c")]
-    rows = spark.createDataFrame([("p", *s) for s in sections], "key string, ord int, heading string, kind string, text string")
-    heads = spark.createDataFrame([("p", i, h) for i, h in enumerate(["Model", "核心方法", "结论", "速览", "复现"])], "key string, pos int, heading string")
-    return outline.outline_sections(heads, rows, spark.createDataFrame([("p", "short")], "key string, abstract string")).select("pos", "ord", "section", "text")
-
-
-@query("select * from (values (0, 'content', null, null), (1, 'figure', null, 'F2'), (2, 'table', 'T1', null), (3, 'figure', null, 'F1'), (4, 'content', null, null)) t(pos, kind, table_id, figure_id)")
-def slide_assets(spark, sf_dir):
-    heads = spark.createDataFrame([("p", i, h) for i, h in enumerate(["引言", "核心方法", "实验结果", "More results", "method"])], "key string, pos int, heading string")
-    tables_ = spark.createDataFrame([("p", 1, "T1")], "key string, ord int, table_id string")
-    figures = spark.createDataFrame([("p", 1, "F1", "plot"), ("p", 2, "F2", "architecture")], "key string, ord int, figure_id string, kind string")
-    return outline.slide_assets(heads, tables_, figures).select("pos", "kind", "table_id", "figure_id")
-
-
-@query("select * from (values ('structured', 'T5', 'TABLE V. Costs'), ('structured', 'T2', 'Table 2: Errors'), ('base', 'T7', 'Something else')) t(source, table_id, caption)")
-def merged_tables(spark, sf_dir):
-    shape = "key string, ord int, table_id string, caption string, header array<string>, rows array<array<string>>"
-    grid = (["a", "b"], [["1", "2"]])
-    structured = spark.createDataFrame([("p", 1, "T1", "", *grid), ("p", 2, "T2", "Table 2: Errors", *grid)], shape)
-    captions = spark.createDataFrame([("p", 1, "T5", "TABLE V. Costs")], "key string, ord int, table_id string, caption string")
-    base = spark.createDataFrame([("p", 1, "T1", "junk", *grid), ("p", 2, "T9", "errors", [], []), ("p", 3, "T7", "Something else", [], [])], shape)
-    return merging.merged_tables(base, merging.captions_to_grids(structured, captions)).select("source", "table_id", "caption")
-
-
 @query(r"select doc_id, case when trim(coalesce(split_part(text, chr(10), 1), '')) in ('', 'Untitled') then -1 else length(trim(split_part(text, chr(10), 1))) + case when len(string_split(trim(split_part(text, chr(10), 1)), ' ')) > 6 then 20 else 0 end - case when regexp_matches(trim(split_part(text, chr(10), 1)), '^[IVX]+\.\s+') then 50 else 0 end end as score from documents")
 def title_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", merging.title_score(F.split("text", "\n")[0]).alias("score"))

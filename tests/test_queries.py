@@ -16,6 +16,8 @@ from quillmill.plans import analysis
 from quillmill.sources import html, readers, sinks
 from quillmill.streaming import incremental
 
+from test_structure import PAPERS
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
@@ -123,7 +125,7 @@ def test_bundle_end_to_end(spark, tmp_path):
     root = tmp_path / "bundles" / "demo"
     (root / "data").mkdir(parents=True)
     (root / "code").mkdir()
-    (root / "paper.md").write_text(Q.PAPERS[1])
+    (root / "paper.md").write_text(PAPERS[1])
     (root / "code" / "train.py").write_text("print(1)")
     (root / "data" / "m.csv").write_text('﻿Method,Accuracy\n"Ours, full",0.83\nBase,0.70\n\n')
     found = readers.bundles(spark, str(tmp_path / "bundles")).first()
