@@ -214,3 +214,51 @@ def digests(heads: DataFrame, sections: DataFrame, algorithms: DataFrame, tables
     head = F.array(F.concat(F.lit("# 标题\n"), text("title")), F.concat(F.lit("# 作者\n"), F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", ")), F.concat(F.lit("# 摘要\n"), text("abstract")))
     whole = F.concat(head, F.coalesce("parts", F.array().cast("array<string>")))
     return heads.join(joined, "key", "left").select("key", F.left(F.array_join(whole, "\n\n"), F.lit(budget)).alias("digest"))
+
+
+# An outline's slots by section kind with the heading where a paper has no such section, and the others.
+SLOT_KINDS = [("introduction", "研究背景与要解决的问题"), ("related_work", "相关工作与本文定位"), ("background", "预备知识"), ("method", "核心方法"), ("experiment", "实验：设置、数据与指标")]
+OVERVIEW, CLOSING_HEADING, LAST_HEADING = "论文速览：", "结论与局限", "复现路径与本工具的处理方式"
+FORMULAS_HEADING, ALGORITHMS_HEADING = "带编号的公式（仅收录正文有解释的）", "关键算法流程（伪代码逐行精读）"
+TABLES_HEADING, FIGURES_HEADING = ("重点结果解读（", " 张表格）"), ("图表速读（", " 张图）")
+
+
+def trimmed(rows: DataFrame, target: int, key: str = "key", order: str = "pos") -> DataFrame:
+    """Of more than ``target`` rows a key, the first ``target - 2`` (four at least) and the last two; told by a row's
+    place from either end."""
+    ends = Window.partitionBy(key)
+    placed = rows.withColumns({"_place": F.row_number().over(ends.orderBy(order)), "_n": F.count("*").over(ends)})
+    keep = max(4, target - 2)
+    return placed.filter((F.col("_n") <= target) | (F.col("_place") <= keep) | (F.col("_place") > F.col("_n") - 2)).drop("_place", "_n")
+
+
+def outlines(heads: DataFrame, sections: DataFrame, target: int = 12) -> DataFrame:
+    """(key, pos, heading): a talk's headings. ``heads`` (key, title, n_formulas, n_algorithms, n_tables, n_figures),
+    ``sections`` (key, ord, heading, kind, text).
+
+    Slots stand in order: overview, the first section of each kind or the slot's own heading, more method and
+    experiment sections, formulas, algorithms, tables, figures, conclusion, reproduction. Equal headings stay once.
+    """
+    body = sections.filter(~F.col("kind").isin("references", "appendix") & (F.trim("text") != "")).select("key", "ord", "heading", "kind")
+    kinds = [k for k, _ in SLOT_KINDS] + ["conclusion"]
+    firsts = body.groupBy("key").agg(*[F.min_by(F.when(F.col("kind") == k, F.col("heading")), F.when(F.col("kind") == k, F.col("ord"))).alias(k) for k in kinds])
+    all_ = heads.join(firsts, "key", "left")
+    slot = lambda c, default: F.when(F.col(c).isNotNull(), translated_heading(F.col(c))).otherwise(default)
+    counted = lambda c, words: F.when(F.col(c) > 0, F.concat(F.lit(words[0]), F.col(c).cast("string"), F.lit(words[1])))
+    fixed = [
+        (0, F.concat(F.lit(OVERVIEW), F.coalesce(F.nullif(T.short_heading(F.col("title")), F.lit("")), F.lit("论文")))),
+        *[(i + 1, slot(k, label)) for i, (k, label) in enumerate(SLOT_KINDS)],
+        (7, F.when(F.col("n_formulas") > 0, FORMULAS_HEADING)),
+        (8, F.when(F.col("n_algorithms") > 0, ALGORITHMS_HEADING)),
+        (9, counted("n_tables", TABLES_HEADING)),
+        (10, counted("n_figures", FIGURES_HEADING)),
+        (11, slot("conclusion", CLOSING_HEADING)),
+        (12, F.lit(LAST_HEADING)),
+    ]
+    rows = all_.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(0).alias("ord"), h.alias("heading")) for i, h in fixed])).alias("s")).select("key", "s.*").filter("heading is not null")
+    more = body.filter(F.col("kind").isin("method", "experiment")).select("key", F.lit(6).alias("slot"), "ord", translated_heading(F.col("heading")).alias("heading"))
+    same = rows.unionByName(more).withColumn("same", T.dedupe_key(F.col("heading"))).filter("same <> ''")
+    once = same.withColumn("r", F.row_number().over(Window.partitionBy("key", "same").orderBy("slot", "ord"))).filter("r = 1")
+    numbered = once.select("key", F.row_number().over(Window.partitionBy("key").orderBy("slot", "ord")).alias("pos"), "heading")
+    cut = trimmed(numbered, target)
+    return cut.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1).alias("pos"), "heading")

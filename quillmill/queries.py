@@ -566,4 +566,4 @@ def allocated_paper_ids(spark, sf_dir):
 
 # ---------------------------------------------------------------- the other modules' queries
 
-from . import topic_queries  # noqa: E402, F401
+from . import reproduction_queries, topic_queries  # noqa: E402, F401

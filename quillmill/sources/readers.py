@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_id
 from ..functions.vocab import MAX_RECORDS
+from ..operators.reproduction import ENTRY_NAMES, README_NAMES, REQUIREMENT_NAMES, RESULT_FOLDERS, manifests, result_score
 from .html import parse_pages
 
 # Names by which a bundle's parts are found.
 PAPER_NAMES = ["paper.md", "paper.markdown", "paper.html", "paper.htm", "paper.pdf", "paper.txt"]
 DATA_FOLDERS = ["data", "datasets", "tables"]
 CODE_FOLDERS = ["code", "repo", "source"]
-ENTRY_NAMES = ["main.py", "train.py", "run.py", "eval.py", "evaluate.py", "demo.py", "experiment.py", "reproduce.py", "repro.py"]
-REQUIREMENT_NAMES = ["requirements.txt", "environment.yml", "environment.yaml", "pyproject.toml", "setup.py", "poetry.lock"]
-README_NAMES = ["readme.md", "readme.rst", "readme.txt", "readme"]
-RESULT_FOLDERS = ["result", "results", "output", "outputs", "exp", "experiments", "tables", "figures", "logs"]
 CODE_SUFFIXES = [".py", ".ipynb", ".sh", ".r", ".jl", ".cpp", ".cc", ".java", ".js", ".ts", ".yaml", ".yml", ".toml"]
 
 
@@ -109,12 +106,19 @@ def repository(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", role.alias("role"), "bytes")
 
 
-def best_results(found: DataFrame, most: int = 8) -> DataFrame:
-    """Result files by score: CSV 5, telling names 4, figures -2, size up to 3."""
+def repositories(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest for each folder right below ``path``; contents are read only of scripts, readmes and requirements."""
+    found = files(spark, path)
+    rel = F.regexp_replace("path", "^.*?" + path.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     name = F.lower(F.regexp_replace("path", r"^.*/", ""))
-    telling = functools.reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in ("table", "main", "result", "eval", "metric")])
-    score = F.when(F.endswith(name, F.lit(".csv")), 5).otherwise(0) + F.when(telling, 4).otherwise(0) - F.when(F.contains(name, F.lit("fig")), 2).otherwise(0) + F.least(F.lit(3), F.floor(F.col("bytes") / 4096))
-    return found.filter("role = 'result'").withColumn("score", score).orderBy(F.desc("score"), "path").limit(most)
+    told = F.endswith(name, F.lit(".py")) | name.isin(README_NAMES + REQUIREMENT_NAMES)
+    rows = found.select(F.substring_index(rel, "/", 1).alias("key"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"), F.when(told, utf8(F.col("content"))).alias("content"))
+    return manifests(rows)
+
+
+def best_results(found: DataFrame, most: int = 8) -> DataFrame:
+    """The best result files of one source tree."""
+    return found.filter("role = 'result'").withColumn("score", result_score(F.col("path"), F.col("bytes"))).orderBy(F.desc("score"), "path").limit(most)
 
 
 def code_files(found: DataFrame, most: int = 500) -> DataFrame:
