@@ -12,7 +12,7 @@ in signed rows: -1 for what left. Sums of signed rows are the view, so a version
 Light keys      are joined directly as above. The stored relations are bucketed by the join key, so only changes
                 are shuffled.
 Heavy keys      A client of many sales has an auxiliary view of its joined lines, a sale of many lines one of its
-                lines, both pre-aggregated over (day, vendor's region, item, revenue) and dealt over SALTS. A change
+                lines, both pre-aggregated over (day, vendor's region, item, revenue) and dealt over salts. A change
                 of a heavy client meets its auxiliary view instead of S and L; a change of a heavy sale meets
                 its view instead of L. Batches maintain these views by their own signed rows.
 Rebalancing     A key turns heavy when a batch lifts its degree to the threshold, and its view is then built from
@@ -41,7 +41,7 @@ from .common import saved, shared_dir, table
 
 KEYS = 500  # at most so many keys of a relation are heavy at a time
 LEAST = 200  # no key of fewer rows is heavy
-SALTS = 64
+SALTS = 64, 1024  # of a hot key: four for each shuffle partition, within these bounds
 NEVER = 127  # the batch in which rows leave that stay
 
 FACTS = ["part", "vendor_region", "item_id", "revenue"]
@@ -67,22 +67,25 @@ def _of(column: str, keys) -> Column:
     return F.col(column).isin(sorted(keys)) if keys else F.lit(False)
 
 
-def _salt(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+class Salts:
+    """Deals rows of hot keys by other columns, and repeats their partners."""
 
+    def __init__(self, n: int):
+        self.n = n
 
-def _dealt(key: str, hot, *columns: str) -> Column:
-    """The salt of a row of ``key``: by other columns for hot keys, 0 for the rest."""
-    return F.when(_of(key, hot), _salt(*columns)).otherwise(F.lit(0).cast("long"))
+    def of(self, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.n))
 
+    def dealt(self, key: str, hot, *columns: str) -> Column:
+        """The salt of a row of ``key``: by other columns for hot keys, 0 for the rest."""
+        return F.when(_of(key, hot), self.of(*columns)).otherwise(F.lit(0).cast("long"))
 
-def _every_salt() -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    def every(self) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.lit(self.n - 1).cast("long"))
 
-
-def _everywhere(rows: DataFrame, key: str, hot, name: str) -> DataFrame:
-    """``rows`` for every salt of their key: once for light keys, SALTS times for hot ones."""
-    return rows.withColumn(name, F.explode(F.when(_of(key, hot), _every_salt()).otherwise(F.array(F.lit(0).cast("long")))))
+    def everywhere(self, rows: DataFrame, key: str, hot, name: str) -> DataFrame:
+        """``rows`` for every salt of their key: once for light keys, n times for hot ones."""
+        return rows.withColumn(name, F.explode(F.when(_of(key, hot), self.every()).otherwise(F.array(F.lit(0).cast("long")))))
 
 
 def _bucketed(rows: DataFrame, *by: str) -> DataFrame:
@@ -127,16 +130,18 @@ class View:
 
     def __init__(self, lines: DataFrame, sales: DataFrame, clients: DataFrame, batches: int, by_sale: Weights | None = None):
         self.batches, self.done = batches, -2
+        partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.salts = Salts(min(max(4 * partitions, SALTS[0]), SALTS[1]))
         self.by_sale = by_sale or Weights(lines, "sale_id", batches)
         sales = sales.filter("sale_id is not null and client_id is not null and part is not null")
         self.by_client = Weights(sales, "client_id", batches)
         sale, client = self.by_sale.hot, self.by_client.hot
-        self.lines = _bucketed(lines.withColumn("salt", _dealt("sale_id", sale, "item_id", "revenue")), "sale_id", "salt")
+        self.lines = _bucketed(lines.withColumn("salt", self.salts.dealt("sale_id", sale, "item_id", "revenue")), "sale_id", "salt")
         # Sales twice: by their own key to meet lines, by the client's to meet clients.
-        self.sales = _bucketed(_everywhere(sales, "sale_id", sale, "salt"), "sale_id", "salt")
-        self.sales_of = _bucketed(sales.withColumn("place", _dealt("client_id", client, "sale_id")), "client_id", "place")
+        self.sales = _bucketed(self.salts.everywhere(sales, "sale_id", sale, "salt"), "sale_id", "salt")
+        self.sales_of = _bucketed(sales.withColumn("place", self.salts.dealt("client_id", client, "sale_id")), "client_id", "place")
         held = clients.filter("client_id is not null and region is not null")
-        self.clients = _bucketed(_everywhere(held, "client_id", client, "place"), "client_id", "place")
+        self.clients = _bucketed(self.salts.everywhere(held, "client_id", client, "place"), "client_id", "place")
         self.logs: list[DataFrame] = []  # by batch: signed rows of the view and of heavy clients' views
         self.sale_logs: dict[int, DataFrame] = {}
 
@@ -149,7 +154,7 @@ class View:
         # dL . S' . C'
         lines = self.lines.filter(_changed(batch)).withColumn("w", _sign(batch)).drop("born", "gone").hint("shuffle_hash")
         met = lines.join(self.sales.filter(_new(batch)).drop("born", "gone"), ["sale_id", "salt"])
-        met = met.withColumn("place", _dealt("client_id", self.by_client.hot, "sale_id", "item_id"))
+        met = met.withColumn("place", self.salts.dealt("client_id", self.by_client.hot, "sale_id", "item_id"))
         parts = [self._with_region(met, batch, kept).select(columns)]
 
         if batch >= 0:
@@ -161,11 +166,11 @@ class View:
             direct = there.join(turned.hint("shuffle_hash"), ["client_id", "place"]).withColumn("kept", F.lit(False))
             change = self._with_region(moved, batch, kept).select(names).union(direct.select(names))
             heavy_sales = self.by_sale.heavy[batch - 1]
-            light = _everywhere(change.filter(~_of("sale_id", heavy_sales)), "sale_id", self.by_sale.hot, "salt")
+            light = self.salts.everywhere(change.filter(~_of("sale_id", heavy_sales)), "sale_id", self.by_sale.hot, "salt")
             lines = self.lines.filter(_old(batch)).drop("born", "gone")
             parts.append(lines.join(light.hint("shuffle_hash"), ["sale_id", "salt"]).select(columns))
             if heavy_sales:
-                salted = change.filter(_of("sale_id", heavy_sales)).withColumn("salt", F.explode(_every_salt()))
+                salted = change.filter(_of("sale_id", heavy_sales)).withColumn("salt", F.explode(self.salts.every()))
                 met = self.sale_view(batch - 1).withColumnRenamed("w", "n").join(salted.hint("shuffle_hash"), ["sale_id", "salt"])
                 parts.append(met.withColumn("w", F.col("n") * F.col("w")).select(columns))
             if before:
@@ -178,13 +183,13 @@ class View:
         if raised:
             sales = self.sales_of.filter(_new(batch) & _of("client_id", raised)).drop("born", "gone", "place")
             lines = self.lines.filter(_new(batch)).drop("born", "gone")
-            whole = lines.join(_everywhere(sales, "sale_id", self.by_sale.hot, "salt").hint("shuffle_hash"), ["sale_id", "salt"])
+            whole = lines.join(self.salts.everywhere(sales, "sale_id", self.by_sale.hot, "salt").hint("shuffle_hash"), ["sale_id", "salt"])
             parts.append(whole.select("client_id", *FACTS, F.lit(None).cast("int").alias("region"), F.lit(1).alias("w"), F.lit(True).alias("kept")))
 
         # A row is of the view (region) or of a heavy client's view (kept).
         rows = reduce(DataFrame.union, parts).filter("kept or region = vendor_region")
         rows = rows.groupBy("client_id", *FACTS, "region", "kept").agg(F.sum("w").alias("w")).filter("w <> 0")
-        self.logs.append(saved(rows.select(F.lit(batch).alias("batch"), "*", _salt("part", "item_id", "revenue").alias("salt"))))
+        self.logs.append(saved(rows.select(F.lit(batch).alias("batch"), "*", self.salts.of("part", "item_id", "revenue").alias("salt"))))
         self._maintain_sale_views(batch)
         self.done = batch
         assert set(after) == kept | raised
@@ -206,7 +211,7 @@ class View:
         rows = self.lines.filter(_changed(batch) & _of("sale_id", kept)).withColumn("w", _sign(batch))
         rows = rows.union(self.lines.filter(_new(batch) & _of("sale_id", raised)).withColumn("w", F.lit(1)))
         rows = rows.groupBy("sale_id", "vendor_region", "item_id", "revenue").agg(F.sum("w").alias("w"))
-        self.sale_logs[batch] = saved(rows.select("*", _salt("item_id", "revenue").alias("salt")))
+        self.sale_logs[batch] = saved(rows.select("*", self.salts.of("item_id", "revenue").alias("salt")))
 
     def sale_view(self, batch: int) -> DataFrame:
         """(sale_id, vendor_region, item_id, revenue, salt, w): lines of heavy sales after the batch."""
