@@ -47,6 +47,7 @@ from .common import give_back, release, saved, shared_dir, short_batches, table
 
 LIMIT = 18  # bits of the longest code, more only where the book has more ids than fit
 BLOCK = 1 << 16  # ids of a block
+AT_ONCE = 16  # blocks decoded side by side
 STEP = 256  # ids from one checkpoint to the next
 CACHE = 1 << 19  # remembered stretches of text, in each of two generations
 REMEMBERED = 64  # characters of the longest remembered one
@@ -375,13 +376,13 @@ def read_book(spark: SparkSession, folder: str) -> Book:
 def read_pieces(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, skip, n, here, crc, ids): what each block holds of each document."""
     book = read_book(spark, folder)
-    short_batches(spark, 16)
+    short_batches(spark)
     names = ["doc_id", "start", "skip", "n", "here", "crc", "ids"]
 
     def run(batches):
         entries = book.table()
-        for batch in batches:
-            parsed = [parse(b.as_buffer()) for b in batch.column("block")]
+        for part in (b.slice(i, AT_ONCE) for b in batches for i in range(0, len(b), AT_ONCE)):
+            parsed = [parse(b.as_buffer()) for b in part.column("block")]
             for (_, c, _, _), ids in zip(parsed, unpack(parsed, entries, book.limit), strict=True):
                 ends = np.cumsum(c["here"])
                 cut = [ids[a:b] for a, b in zip(ends - c["here"], ends, strict=True)]
