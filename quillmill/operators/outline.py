@@ -262,3 +262,73 @@ def outlines(heads: DataFrame, sections: DataFrame, target: int = 12) -> DataFra
     numbered = once.select("key", F.row_number().over(Window.partitionBy("key").orderBy("slot", "ord")).alias("pos"), "heading")
     cut = trimmed(numbered, target)
     return cut.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1).alias("pos"), "heading")
+
+
+# The labels of closing bullets, in order.
+CONCLUSION_LABEL, OUTLOOK_LABEL, LIMITATION_LABEL = "结论", "展望", "不足"
+NO_CLOSING = "结论：原文末尾未抽到独立结论段，建议对照论文最后一节人工补充。"
+TAIL, BULLET, LEAST_BULLETS, ENOUGH_BULLETS, MOST_BULLETS = 2200, 108, 3, 5, 6
+
+
+def _bullets(sentences: Column, most: int = BULLET) -> Column:
+    return F.filter(F.transform(sentences, lambda s: T.condense(s, most)), lambda b: F.length(b) >= 8)
+
+
+def _first_of_each(bullets: Column) -> Column:
+    """Bullets that differ from all before them but for case."""
+    return F.filter(bullets, lambda b, i: ~F.exists(F.slice(bullets, F.lit(1), i), lambda c: F.lower(c) == F.lower(b)))
+
+
+def closing_bullets(papers: DataFrame, chunks: DataFrame, n: int = 2) -> DataFrame:
+    """(key, bullets) for the last slide of ``papers`` (key, abstract, text); ``chunks`` as of :func:`closing_chunks`.
+
+    Each label takes sentences from two ranked sources within the budget of characters that a bullet has: those that
+    fit it (the conclusion's first sentence before them), then the best of a summary of its text, for conclusion and outlook
+    always and for limitations only where none fits. A label's text shorter than 40 characters gives way to
+    the discussion or the text's tail. Bullets equal to an earlier one fall away; a paper left with less than
+    three is filled up from its tail's summary to five, under the first label that it lacks.
+    """
+    from .terms import summaries
+
+    kinds = ["conclusion", "outlook", "limitation", "discussion"]
+    wide = chunks.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in kinds])
+    held = papers.select("key", F.coalesce("abstract", F.lit("")).alias("abstract"), F.right(F.coalesce(F.nullif("text", F.lit("")), "abstract", F.lit("")), F.lit(TAIL)).alias("tail")).join(wide, "key", "left")
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    instead = F.when(text("discussion") != "", text("discussion")).otherwise(F.col("tail"))
+    both = F.trim(F.concat_ws(" ", text("discussion"), "tail"))
+    use = lambda c, other: F.regexp_replace(F.trim(F.when(F.length(text(c)) < 40, other).otherwise(text(c))), r"\s+", " ")
+    sources = [(0, use("conclusion", instead)), (1, use("outlook", instead)), (2, use("limitation", both)), (3, F.col("tail"))]
+    each = held.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("source")) for i, t in sources])).alias("e")).select(F.struct("key", "e.i").alias("id"), "e.source")
+    # The best sentences of each source, in reading order; the tail's four, of the others two.
+    best = summaries(each, 4, "id", "source").select("id", "pos", "sentence").unionByName(summaries(each.filter("id.i < 3"), max(n, 2), "id", "source").select("id", (F.col("pos") + 100).alias("pos"), "sentence"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])
+    summed = best.filter("(id.i = 3) = (pos <= 100)").groupBy("id").agg(listed.alias("summary"))
+    none = F.array().cast("array<string>")
+    found = each.join(summed, "id", "left").withColumns({"every": F.when(F.length("source") >= 12, T.sentences(F.col("source"))).otherwise(none), "summary": F.coalesce("summary", none)})
+    i = F.col("id.i")
+    fit = F.when(i == 1, F.filter("every", lambda s: s.rlike(OUTLOOK_SENTENCE))).when(i == 2, F.filter("every", lambda s: s.rlike(LIMITATION_SENTENCE))).otherwise(none)
+    picked = F.array_distinct(F.concat(F.when(i == 0, F.slice("every", 1, 1)).otherwise(none), fit))
+    fill = (F.size("every") > 0) & (F.size(picked) < n) & ((i < 2) | (F.size(fit) == 0))
+    chosen = F.slice(_first_of_each(_bullets(F.when(fill, F.array_distinct(F.concat(picked, F.col("summary")))).otherwise(picked))), 1, n)
+    points = found.select(F.col("id.key").alias("key"), i.alias("i"), F.when(i == 3, _bullets(F.col("summary"))).otherwise(chosen).alias("points"))
+    side = points.groupBy("key").agg(*[F.max(F.when(F.col("i") == k, F.col("points"))).alias(f"p{k}") for k in range(4)])
+    labels = [CONCLUSION_LABEL, OUTLOOK_LABEL, LIMITATION_LABEL]
+    under = lambda k: F.transform(F.coalesce(f"p{k}", none), lambda b: F.struct(F.lit(labels[k]).alias("label"), b.alias("bit")))
+    tagged = F.concat(*[under(k) for k in range(3)])
+    all_ = held.select("key", "abstract", "tail").join(side, "key", "left").withColumn("main", tagged)
+    once = F.filter("main", lambda b, j: ~F.exists(F.slice("main", F.lit(1), j), lambda c: F.lower(c["bit"]) == F.lower(b["bit"])))
+    own = F.when(F.col("abstract") != "", F.col("abstract")).otherwise(F.col("tail"))
+    spare = T.condense(own, 120)
+    concluded = F.exists("once", lambda b: b["label"] == CONCLUSION_LABEL)
+    first = F.when(~concluded & (F.length(spare) >= 8), F.array(F.struct(F.lit(CONCLUSION_LABEL).alias("label"), spare.alias("bit")))).otherwise(F.array().cast("array<struct<label:string,bit:string>>"))
+    start = all_.withColumn("once", once).withColumn("start", F.concat(first, "once"))
+
+    def more(acc: Column, bit: Column) -> Column:
+        has = lambda label: F.exists(acc, lambda b: b["label"] == label)
+        label = F.when(~has(CONCLUSION_LABEL), CONCLUSION_LABEL).when(~has(OUTLOOK_LABEL), OUTLOOK_LABEL).otherwise(LIMITATION_LABEL)
+        known = F.exists(acc, lambda b: F.lower(b["bit"]) == F.lower(bit))
+        return F.when(known | (F.size(acc) >= ENOUGH_BULLETS), acc).otherwise(F.concat(acc, F.array(F.struct(label.alias("label"), bit.alias("bit")))))
+
+    filled = F.when(F.size("start") < LEAST_BULLETS, F.aggregate(F.coalesce("p3", none), F.col("start"), more)).otherwise(F.col("start"))
+    lines = F.slice(F.transform(filled, lambda b: F.concat(b["label"], F.lit("："), b["bit"])), 1, MOST_BULLETS)
+    return start.select("key", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(NO_CLOSING))).alias("bullets"))

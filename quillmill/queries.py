@@ -145,55 +145,55 @@ def upper_median(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(N.upper_median_of("value"), 6).alias("median"), F.count("value").cast("int").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-# ---------------------------------------------------------------- tables of cells: a report on nations a region
+# ---------------------------------------------------------------- tables of cells: a report for every seven customers
 
-_CELLS = """base as (select n_regionkey as key, n_nationkey, n_name, (select count(*) from customer where c_nationkey = n_nationkey) as n_cust, (select coalesce(sum(c_acctbal), 0) from customer where c_nationkey = n_nationkey) as bal from nation),
-numbered as (select *, row_number() over (partition by key order by n_nationkey) - 1 as r, rank() over (partition by key order by n_cust desc, n_nationkey) as rk, n_cust::double / nullif(sum(n_cust) over (partition by key), 0) as share from base),
+_CELLS = """base as (select cast(floor(c_custkey / 7) as bigint) as key, c_custkey, c_name, count(o_orderkey) as n_orders, coalesce(sum(o_orderkey % 1000), 0)::double as bal from customer left join orders on o_custkey = c_custkey group by all),
+numbered as (select *, row_number() over (partition by key order by c_custkey) - 1 as r, rank() over (partition by key order by n_orders desc, c_custkey) as rk, n_orders::double / nullif(sum(n_orders) over (partition by key), 0) as share from base),
 cells as (
-  select key, 'T1' as table_id, r as row_idx, 0 as col_idx, 'Method' as col_name, case when n_nationkey % 4 = 1 then 'Ours ' || n_name else n_name end as raw, null::double as num from numbered
-  union all select key, 'T1', r, 1, 'Customer count', '', n_cust::double from numbered
-  union all select key, 'T1', r, 2, 'Share of customers', '', share + case when key = 2 then 0.02 when key = 3 then 0.07 else 0 end from numbered
-  union all select key, 'T1', r, 3, 'Rank', '', rk + case when key = 1 then 1 else 0 end from numbered
-  union all select key, 'T1', r, 4, 'n_balance', '', bal - case when key = 4 then 1e9 else 0 end from numbered
+  select key, 'T1' as table_id, r as row_idx, 0 as col_idx, 'Method' as col_name, case when c_custkey % 4 = 1 then 'Ours ' || c_name else c_name end as raw, null::double as num from numbered
+  union all select key, 'T1', r, 1, 'Customer count', '', n_orders::double from numbered
+  union all select key, 'T1', r, 2, 'Share of customers', '', share + case when key % 5 = 2 then 0.02 when key % 5 = 3 then 0.07 else 0 end from numbered
+  union all select key, 'T1', r, 3, 'Rank', '', rk + case when key % 5 = 1 then 1 else 0 end from numbered
+  union all select key, 'T1', r, 4, 'n_balance', '', bal - case when key % 5 = 4 then 1e9 else 0 end from numbered
   union all select key, 'T1', 99, 0, 'Method', 'Total', null from numbered group by key
-  union all select key, 'T1', 99, 1, 'Customer count', '', sum(n_cust) * case when key = 2 then 1.1 when key = 3 then 2 else 1 end from numbered group by key
+  union all select key, 'T1', 99, 1, 'Customer count', '', sum(n_orders) * case when key % 5 = 2 then 1.1 when key % 5 = 3 then 2 else 1 end from numbered group by key
   union all select key, 'T1', 99, 2, 'Share of customers', '', null from numbered group by key
   union all select key, 'T1', 99, 3, 'Rank', '', null from numbered group by key
   union all select key, 'T1', 99, 4, 'n_balance', '', avg(bal) from numbered group by key)"""
 
 
 def report_cells(spark, sf_dir) -> DataFrame:
-    """Nations of each region with customers, share, rank and balance, some of them off on purpose."""
-    cust = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_cust"), F.sum("c_acctbal").alias("bal"))
-    base = table(spark, sf_dir, "nation").join(cust, F.col("c_nationkey") == F.col("n_nationkey"), "left").na.fill({"n_cust": 0, "bal": 0.0})
+    """Customers, seven a report, with orders, share, rank and balance, some of them off on purpose."""
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.sum(F.col("o_orderkey") % 1000).cast("double").alias("bal"))
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(made, "c_custkey", "left").na.fill({"n_orders": 0, "bal": 0.0})
+    base = base.withColumn("key", F.floor(F.col("c_custkey") / 7).cast("long"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("n_regionkey")
+    w = Window.partitionBy("key")
     rows = base.withColumns(
         {
-            "key": F.col("n_regionkey"),
-            "r": F.row_number().over(w.orderBy("n_nationkey")) - 1,
-            "rk": F.rank().over(w.orderBy(F.desc("n_cust"), "n_nationkey")),
-            "share": F.try_divide(F.col("n_cust").cast("double"), F.sum("n_cust").over(w)),
+            "r": F.row_number().over(w.orderBy("c_custkey")) - 1,
+            "rk": F.rank().over(w.orderBy(F.desc("n_orders"), "c_custkey")),
+            "share": F.try_divide(F.col("n_orders").cast("double"), F.sum("n_orders").over(w)),
         }
     )
-    k = F.col("key")
+    k = F.col("key") % 5
     cell = lambda i, name, num, raw=None: F.struct(F.lit(i).alias("col_idx"), F.lit(name).alias("col_name"), (F.lit("") if raw is None else raw).alias("raw"), num.cast("double").alias("num"))
-    label = F.when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("Ours "), "n_name")).otherwise(F.col("n_name"))
+    label = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Ours "), "c_name")).otherwise(F.col("c_name"))
     body = rows.select(
         "key",
         F.col("r").alias("row_idx"),
         F.explode(
             F.array(
                 cell(0, "Method", F.lit(None), label),
-                cell(1, "Customer count", F.col("n_cust")),
+                cell(1, "Customer count", F.col("n_orders")),
                 cell(2, "Share of customers", F.col("share") + F.when(k == 2, 0.02).when(k == 3, 0.07).otherwise(0)),
                 cell(3, "Rank", F.col("rk") + F.when(k == 1, 1).otherwise(0)),
                 cell(4, "n_balance", F.col("bal") - F.when(k == 4, 1e9).otherwise(0)),
             )
         ).alias("c"),
     )
-    last = rows.groupBy("key").agg(F.sum("n_cust").alias("s"), F.avg("bal").alias("b")).select(
+    last = rows.groupBy("key").agg(F.sum("n_orders").alias("s"), F.avg("bal").alias("b")).select(
         "key",
         F.lit(99).alias("row_idx"),
         F.explode(F.array(cell(0, "Method", F.lit(None), F.lit("Total")), cell(1, "Customer count", F.col("s") * F.when(k == 2, 1.1).when(k == 3, 2.0).otherwise(1.0)), cell(2, "Share of customers", F.lit(None)), cell(3, "Rank", F.lit(None)), cell(4, "n_balance", F.col("b")))).alias("c"),
@@ -271,9 +271,9 @@ def numeric_column_inference(spark, sf_dir):
     return tables.numeric_columns(report_cells(spark, sf_dir)).select("key", "col_name", "n", "n_num")
 
 
-@query(f"with {_CELLS} select key, col_name, array_to_string(list(round(num, 2)::decimal(18, 2)::varchar order by row_idx), ' ') as numbers from cells where num is not null group by all")
+@query(f"with {_CELLS} select key, col_name, array_to_string(list(round(num, 6)::decimal(24, 6)::varchar order by row_idx), ' ') as numbers from cells where num is not null group by all")
 def column_numeric_lists(spark, sf_dir):
-    text = F.array_join(F.transform("numbers", lambda x: F.round(x, 2).cast("decimal(18,2)").cast("string")), " ")
+    text = F.array_join(F.transform("numbers", lambda x: F.round(x, 6).cast("decimal(24,6)").cast("string")), " ")
     return tables.column_numbers(report_cells(spark, sf_dir)).select("key", "col_name", text.alias("numbers"))
 
 
@@ -566,4 +566,4 @@ def allocated_paper_ids(spark, sf_dir):
 
 # ---------------------------------------------------------------- the other modules' queries
 
-from . import reproduction_queries, topic_queries  # noqa: E402, F401
+from . import field_queries, report_queries, reproduction_queries, topic_queries  # noqa: E402, F401

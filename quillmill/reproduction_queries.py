@@ -173,3 +173,56 @@ def chart_svgs(spark, sf_dir):
     heights = every(r'class="bar"[^>]* height="([^"]*)"')
     whole = F.col("svg").startswith("<svg ") & F.col("svg").endswith("</svg>")
     return drawn.select(F.col("key").alias("doc_id"), "kind", F.size(heights).alias("n_bars"), F.size(every(r'class="(tick)"')).alias("n_ticks"), F.array_join(every(r'class="category"[^>]*>([^<]*)<'), ",").alias("categories"), F.array_join(heights, ",").alias("heights"), whole.alias("drawn"))
+
+
+# ---------------------------------------------------------------- authors and closing bullets
+
+_NAME, _CITY = "coalesce(name, 'No Body')", "coalesce(city, 'No Where')"
+_SIGNED = f"""'intro line' || chr(10) || '# Paper of ' || client_id || chr(10) || chr(10) || case client_id % 4 when 0 then {_NAME} || '*, ' || {_CITY} || '† and Jo Doe' || chr(10) || 'Department of Things' || chr(10) || 'Ann B.; X' || chr(10) || chr(10) || 'not, an author'
+  when 1 then 'University of ' || {_CITY} || chr(10) || {_NAME} || chr(10) || '(Dated: today)' || chr(10) || 'nobody' when 2 then '## Abstract' || chr(10) || 'text' else 'A a' || chr(10) || 'B b' || chr(10) || 'C c' || chr(10) || {_NAME} || chr(10) || 'E e' end"""
+
+
+@query(f"select client_id, regexp_replace(case client_id % 4 when 0 then {_NAME} || ';' || {_CITY} || ';Jo Doe Ann B' when 1 then {_NAME} else 'A a B b C c ' || {_NAME} end, '\\s+', ' ', 'g') as authors from clients where client_id % 4 <> 2")
+def authors_below_titles(spark, sf_dir):
+    """Clients as papers with names, affiliations and what ends them below the title."""
+    from .operators import authors, document
+
+    docs = table(spark, sf_dir, "clients").select("client_id", F.expr(_SIGNED).alias("text"))
+    return authors.names_below_title(document.lines(docs, "client_id")).select(F.col("key").alias("client_id"), F.array_join("authors", ";").alias("authors"))
+
+
+@query(f"""select client_id, case client_id % 3 when 0 then {_NAME} || ', Jo Doe' when 1 then 'Abe Longname the Second of Somewhere, ' || {_NAME} || ', Eve Longname the Third' else {_CITY} || ', Ann' end as shown,
+  case client_id % 3 when 0 then 'On goods for ' || client_id || ' more words' when 1 then 'Plain title' else 'Title of it' end as title from clients""")
+def shown_paper_authors(spark, sf_dir):
+    from .operators import authors
+
+    k = F.col("client_id") % 3
+    name, city = F.expr(_NAME), F.expr(_CITY)
+    listed = F.when(k == 0, F.array(F.concat(F.lit('"'), name, F.lit('"')), F.concat(F.upper(name), F.lit("12")), F.lit("Jo Doe Authors: x, y"), F.lit("7")))
+    listed = listed.when(k == 1, F.array(F.concat(F.lit("Abe Longname the Second of Somewhere, "), name, F.lit(", Eve Longname the Third, '1'")))).otherwise(F.array().cast("array<string>"))
+    text = F.concat(F.lit("Title of it\nsection 2\n\n"), city, F.lit(", Ann\nabstract"))
+    paper_id = F.when(k == 0, F.concat(F.lit("On_goods_for_"), F.col("client_id").cast("string"), F.lit("_more_words"))).otherwise("id")
+    title = F.when(k == 0, F.concat(F.lit("On goods  for "), F.col("client_id").cast("string"))).when(k == 1, "Plain title")
+    docs = table(spark, sf_dir, "clients").select("client_id", "name", "city", listed.alias("authors"), text.alias("text"), authors.full_title(title, paper_id, text).alias("title"))
+    return authors.shown_authors(docs).select("client_id", "shown", "title")
+
+
+_ENDS = "'The ' || p_name || ' study ends here with a clear gain.'", "'It holds for all sizes tested in part ' || p_partkey || '.'"
+_NEXT = "'We will test more rings of ' || p_type || ' then.'", "'The weather was fine on that very day.'"
+_LACKS = "'A limitation is the single site of ' || p_brand || ' used.'", "'Nothing else is to be said about it.'"
+_TAILS = "'Measured in one run of part ' || p_partkey || ' here.'", "'Costs stay low for ' || p_type || ' goods.'"
+
+
+def _said(label: str, sentences) -> str:
+    return "[" + ", ".join(f"'{label}：' || rtrim({s}, '.')" for s in sentences) + "]"
+
+
+@query(f"""select p_partkey, array_to_string(list_concat({_said("结论", _ENDS)}, case when p_partkey % 2 = 0 then {_said("展望", _NEXT)} else {_said("展望", _TAILS)} end,
+  case when p_partkey % 3 = 0 then {_said("不足", _LACKS[:1])} when p_partkey % 2 = 0 then {_said("不足", _TAILS)} else [] end), chr(10)) as bullets from part""")
+def closing_slide_bullets(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    both = lambda s: F.expr(" || ' ' || ".join(s))
+    kinds = [("conclusion", both(_ENDS)), ("outlook", F.when(F.col("p_partkey") % 2 == 0, both(_NEXT))), ("limitation", F.when(F.col("p_partkey") % 3 == 0, both(_LACKS)))]
+    chunks = part.select(F.col("p_partkey").alias("key"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in kinds])).alias("c")).select("key", "c.*").filter("text is not null")
+    docs = part.select(F.col("p_partkey").alias("key"), F.lit("").alias("abstract"), both(_TAILS).alias("text"))
+    return outline.closing_bullets(docs, chunks).select(F.col("key").alias("p_partkey"), F.array_join("bullets", "\n").alias("bullets"))

@@ -52,6 +52,32 @@ def html_papers(rows: DataFrame) -> DataFrame:
     return parse_pages(rows.filter("kind = 'html'").withColumn("page_id", F.xxhash64("paper_id")), "page_id", "text")
 
 
+# A cell, quoted by RFC 4180 or bare, and what ends it; possessive, so each character is looked at once.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,\r\n]*+)(?:,|\r?\n|\r|\z)'
+
+
+def csv_cells(text: Column) -> Column:
+    """All cells of a CSV text in order, each with what ends it."""
+    ended = F.when(text.rlike(r"[\r\n]\z"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.regexp_extract_all(ended, F.lit(_CELL), F.lit(0))
+
+
+def csv_records(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n, cells): the records of ``rows`` (by, text), numbered from 0; blank ones are left out.
+
+    A record's number is the count of line ends outside quotes before it, a running sum over the cells.
+    """
+    place = Window.partitionBy(*by).orderBy("pos")
+    each = rows.select(*by, F.posexplode(csv_cells(F.col("text"))).alias("pos", "token"))
+    ends = F.coalesce(F.sum(F.col("token").rlike(r"[\r\n]\z").cast("int")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bare = F.trim(F.regexp_replace("token", r"(?:,|\r?\n|\r)\z", ""))
+    quoted = bare.rlike(r'(?s)^".*"$') & (F.length(bare) > 1)
+    cell = F.when(quoted, F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))).otherwise(bare)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda x: x["cell"])
+    got = each.withColumns({"n": ends, "cell": cell}).groupBy(*by, "n").agg(held.alias("cells"))
+    return got.filter(F.exists("cells", lambda c: c != ""))
+
+
 def csv_tables(spark: SparkSession, path: str) -> DataFrame:
     """(key, table_id, caption, row_idx, cells): all CSV files below ``path``; all cells are strings.
 
@@ -60,12 +86,28 @@ def csv_tables(spark: SparkSession, path: str) -> DataFrame:
     rows = files(spark, path, "*.csv").withColumn("text", utf8_or_gbk(F.col("content")))
     number = F.row_number().over(Window.partitionBy("key").orderBy("path"))
     keyed = rows.withColumn("key", F.regexp_extract("path", r"([^/]+)/(?:data|datasets|tables)/[^/]*$", 1)).withColumn("table_id", F.concat(F.lit("P"), number))
-    # A line break outside quotes has an even number of quotes after it.
-    raw = keyed.select("key", "table_id", F.regexp_replace("path", r"^.*/", "").alias("caption"), F.posexplode(F.split("text", r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)')).alias("n", "line"))
-    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    solid = raw.withColumn("cells", cells).filter(F.exists("cells", lambda c: c != ""))
+    named = keyed.select("key", "table_id", F.regexp_replace("path", r"^.*/", "").alias("caption"), "text")
     order = Window.partitionBy("key", "table_id").orderBy("n")
-    return solid.select("key", "table_id", "caption", (F.row_number().over(order) - 1).alias("row_idx"), "cells")
+    return csv_records(named, "key", "table_id", "caption").select("key", "table_id", "caption", (F.row_number().over(order) - 1).alias("row_idx"), "cells")
+
+
+def dispatched(sources: DataFrame, found: DataFrame, column: str = "source") -> DataFrame:
+    """Adds route, paper_id and error to ``sources``, each a path, an address or an identifier, by ``found`` (path, is_dir).
+
+    Identifiers and addresses are routed but not fetched; a folder is a bundle; files go by suffix, unknown ones as text; a
+    path that isn't there gives an error and no route.
+    """
+    s = F.trim(column)
+    low = F.lower(s)
+    arxiv = arxiv_id(s).isNotNull() & (F.contains(low, F.lit("arxiv.org")) | s.rlike(r"^\d{4}\.\d{4,5}(v\d+)?$"))
+    web = low.rlike("^https?://")
+    kind = F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.html?$"), "html").otherwise("text")
+    held = sources.join(found.select(F.col("path").alias("_path"), "is_dir").distinct(), s == F.col("_path"), "left")
+    local = F.when(F.col("is_dir"), "bundle").when(F.col("_path").isNotNull(), kind)
+    route = F.when(arxiv, "arxiv").when(web, "url").otherwise(local)
+    paper_id = F.when(arxiv, arxiv_id(s)).otherwise(safe_id(s))
+    error = F.when(route.isNull(), F.concat(F.lit("not found: "), F.coalesce(s, F.lit(""))))
+    return held.select(*sources.columns, route.alias("route"), F.when(route.isNotNull(), paper_id).alias("paper_id"), error.alias("error"))
 
 
 def result_rows(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import to_number
 from ..functions.text import escaped
 from ..operators.dialogue import scripts, srt_files
 from ..operators.papers import latest
@@ -36,9 +37,10 @@ def chart_json(specs: DataFrame) -> DataFrame:
 
 
 def table_html(tables: DataFrame, most: int = 14) -> DataFrame:
-    """(key, table_id, html): the header and the first rows."""
+    """(key, table_id, html): the header and the first rows; numbers right of the first column are marked."""
     cell = F.when(F.col("row_idx") == 0, "th").otherwise("td")
-    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<"), cell, F.lit(">"), escaped(c), F.lit("</"), cell, F.lit(">"))), ""), F.lit("</tr>"))
+    marked = lambda c, i: F.when((F.col("row_idx") > 0) & (i > 0) & to_number(c).isNotNull(), ' class="num"').otherwise("")
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c, i: F.concat(F.lit("<"), cell, marked(c, i), F.lit(">"), escaped(c), F.lit("</"), cell, F.lit(">"))), ""), F.lit("</tr>"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("line")))), lambda x: x["line"])
     return tables.filter(F.col("row_idx") <= most).groupBy("key", "table_id").agg(F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
 
