@@ -111,16 +111,6 @@ def loosely_equal(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def caption_key(caption: Column) -> Column:
-    low = F.regexp_replace(F.lower(F.coalesce(caption, F.lit(""))), r"^\s*(table|表)\s*[0-9ivxlcdm]+\s*[.:：、]?\s*", "")
-    return F.left(F.regexp_replace(low, r"(?U)[\s\p{Punct}]+", ""), F.lit(120))
-
-
-def captions_similar(a: Column, b: Column) -> Column:
-    """Of two caption keys: one within the other, or equal over their first 40 characters."""
-    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (F.left(a, F.lit(40)) == F.left(b, F.lit(40))))
-
-
 def safe_id(name: Column, most: int = 72) -> Column:
     """File stem with other than word characters as underscores; long ones end in a hash."""
     stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")

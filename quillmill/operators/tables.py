@@ -161,14 +161,6 @@ def zip_series(rows: DataFrame, order: str, side: str, value: str, key: str = "k
     return each.withColumns({"status": classify(F.col("expected"), F.col("actual")), "rel_delta": rel_delta(F.col("expected"), F.col("actual"))})
 
 
-def compare_series(series: DataFrame) -> DataFrame:
-    """(key, reported, reproduced) arrays to a judged row a position; the shorter one ends it."""
-    n = F.least(F.size("reported"), F.size("reproduced"))
-    zipped = F.arrays_zip(F.slice("reported", F.lit(1), n).alias("expected"), F.slice("reproduced", F.lit(1), n).alias("actual"))
-    each = series.select("key", F.posexplode(zipped).alias("pos", "p")).select("key", "pos", F.col("p.expected").alias("expected"), F.col("p.actual").alias("actual"))
-    return each.withColumns({"status": classify(F.col("expected"), F.col("actual")), "rel_delta": rel_delta(F.col("expected"), F.col("actual"))})
-
-
 # Headers that name the category column.
 CATEGORY_WORDS = ["method", "model", "approach", "name", "方法", "模型", "system", "dataset", "variant", "type"]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_id
 from ..functions.vocab import MAX_RECORDS
-from ..operators.reproduction import ENTRY_NAMES, README_NAMES, REQUIREMENT_NAMES, RESULT_FOLDERS, manifests, result_score
+from ..operators.reproduction import ENTRY_NAMES, README_NAMES, REQUIREMENT_NAMES, RESULT_FOLDERS, manifests
 from .html import parse_pages
 
 # Names by which a bundle's parts are found.
@@ -158,11 +158,6 @@ def repositories(spark: SparkSession, path: str) -> DataFrame:
     return manifests(rows)
 
 
-def best_results(found: DataFrame, most: int = 8) -> DataFrame:
-    """The best result files of one source tree."""
-    return found.filter("role = 'result'").withColumn("score", result_score(F.col("path"), F.col("bytes"))).orderBy(F.desc("score"), "path").limit(most)
-
-
 def code_files(found: DataFrame, most: int = 500) -> DataFrame:
     suffix = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
     return found.agg(F.least(F.count_if(suffix.isin(CODE_SUFFIXES)), F.lit(most)).alias("n"))

@@ -59,11 +59,6 @@ def write_dialogues(turns: DataFrame, path: str) -> None:
     scripts(turns).write.mode("overwrite").parquet(f"{path}/scripts")
 
 
-def run_script(entry: str = "main.py", requirements: str = "requirements.txt", seed: int = 42) -> str:
-    """Shell text of an isolated rerun; it is written, never executed."""
-    return "\n".join(["#!/usr/bin/env bash", "set -euo pipefail", "python -m venv .venv && . .venv/bin/activate", f"pip install -r {requirements}", f"export PYTHONHASHSEED={seed}", f"python {entry}", ""])
-
-
 def upsert_index(index: DataFrame, runs: DataFrame, path: str) -> DataFrame:
     """The merged index, written as a new version folder; readers switch by path, so none sees half of it."""
     merged = latest(index, runs)
