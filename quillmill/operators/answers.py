@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.joins import meet
 
 # Input kinds by contained words, the first rule with one decides; names that are helpers.
 INPUT_KINDS = [
@@ -48,7 +49,7 @@ def explain_tables(cells: DataFrame) -> DataFrame:
     head = F.concat(F.lit("表 "), "table_id", F.lit("："), F.col("n_rows").cast("string"), F.lit(" 行"))
     full = F.concat(head, F.lit(" × "), F.col("n_cols").cast("string"), F.lit(" 列；"), F.array_join("parts", "；"), F.lit("。"))
     said = F.when(F.col("parts").isNull(), F.concat(head, F.lit("，以描述性内容为主。"))).otherwise(full)
-    return shape.join(parts, table, "left").select(*table, said.alias("explanation"))
+    return meet(shape, parts, table, "left").select(*table, said.alias("explanation"))
 
 
 def text_of_kinds(sections: DataFrame, *kinds: str) -> DataFrame:

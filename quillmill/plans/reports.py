@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..functions.joins import meet
 from ..functions.text import escaped
 from ..operators import papers as P
 from ..operators import tables as B
@@ -27,7 +28,7 @@ def datasets(cells: DataFrame, most: int = V.MAX_RECORDS) -> DataFrame:
     named = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "col_name"))), lambda x: x["col_name"])
     numeric = B.numeric_columns(cells).groupBy(*B.TABLE).agg(named.alias("numeric_columns"))
     none = F.array().cast("array<string>")
-    return shape.join(numeric, B.TABLE, "left").select(*B.TABLE, F.least("n_rows", F.lit(most)).alias("n_rows"), "n_cols", F.coalesce("numeric_columns", none).alias("numeric_columns"), (F.col("n_rows") > most).alias("truncated"))
+    return meet(shape, numeric, B.TABLE, "left").select(*B.TABLE, F.least("n_rows", F.lit(most)).alias("n_rows"), "n_cols", F.coalesce("numeric_columns", none).alias("numeric_columns"), (F.col("n_rows") > most).alias("truncated"))
 
 
 def csv_texts(tables: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def csv_texts(tables: DataFrame) -> DataFrame:
     name = lambda i: F.coalesce(F.nullif(F.try_element_at("names", i), F.lit("")), F.concat(F.lit("col"), i.cast("string")))
     fields = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), name)
     quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    shaped = tables.join(head, B.TABLE).join(width, B.TABLE).withColumn("fields", fields)
+    shaped = meet(meet(tables, head, B.TABLE), width, B.TABLE).withColumn("fields", fields)
     once = F.array_distinct("fields")
     last = lambda f: F.size("fields") - F.array_position(F.reverse("fields"), f) + 1
     value = lambda f: F.when(F.col("row_idx") == 0, f).otherwise(F.coalesce(F.try_element_at("cells", last(f).cast("int")), F.lit("")))
@@ -64,17 +65,17 @@ def branches(found: Analysis, docs: DataFrame, properties: DataFrame | None = No
         states = first.withColumn("status", F.lit("skipped"))
     else:
         ran = properties.groupBy("key", "algorithm_id").agg(F.lit("ok").alias("ran"))
-        states = first.join(ran, ["key", "algorithm_id"], "left").withColumn("status", F.coalesce("ran", F.lit("failed")))
+        states = meet(first, ran, ["key", "algorithm_id"], "left").withColumn("status", F.coalesce("ran", F.lit("failed")))
     intent = T.algorithm_intent(F.col("caption"), F.array_join("lines", "\n"))
     listed = _in_order(states.withColumns({"intent": intent, "caption": F.left("caption", F.lit(120))}), F.col("place"), ["algorithm_id", "caption", "intent", "status"], "algorithms")
     told = found.sections.filter(F.col("kind").isin("experiment", "method"))
     body = told.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
-    every = docs.select(F.col(key).alias("key")).distinct().join(body, "key", "left")
+    every = meet(docs.select(F.col(key).alias("key")).distinct(), body, "key", "left")
     missing = P.missing_elements(every.withColumnRenamed("key", "id"), "id", "body")
     tables = found.tables.select("key").distinct().withColumn("has_tables", F.lit(True))
     out = found.modes.select("key", "mode")
     for part in (listed, missing, tables):
-        out = out.join(part, "key", "left")
+        out = meet(out, part, "key", "left")
     pseudo, bare = F.col("mode") == "pseudocode_only", F.col("mode") == "no_code"
     no_algorithm = F.array().cast("array<struct<algorithm_id:string,caption:string,intent:string,status:string>>")
     no_text = F.array().cast("array<string>")
@@ -103,7 +104,7 @@ def results(found: Analysis, docs: DataFrame, deltas: DataFrame | None = None, p
     data = _in_order(datasets(found.cells), F.col("table_id"), ["table_id", "n_rows", "n_cols", "numeric_columns", "truncated"], "datasets")
     out = branches(found, docs, properties, key, text)
     for part in (sums, judged, data, held):
-        out = out.join(part, "key", "left")
+        out = meet(out, part, "key", "left")
     return out
 
 
@@ -127,7 +128,7 @@ def html_reports(records: DataFrame, plans: DataFrame, titles: DataFrame) -> Dat
 
     ``records`` of :func:`results`, ``plans`` (key, targets, strategy, warnings), ``titles`` (key, title).
     """
-    all_ = records.join(plans.select("key", "targets", "strategy", F.col("warnings").alias("plan_warnings")), "key", "left").join(titles, "key", "left")
+    all_ = meet(meet(records, plans.select("key", "targets", "strategy", F.col("warnings").alias("plan_warnings")), "key", "left"), titles, "key", "left")
     list_of = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
     figure = lambda label, c: F.concat(F.lit("<li><b>"), F.coalesce(c.cast("string"), F.lit("0")), F.lit(f"</b> {label}</li>"))
     figures = F.concat(F.lit("<ul>"), figure("passed", F.col("checks.n_pass")), figure("warned", F.col("checks.n_warn")), figure("failed", F.col("checks.n_fail")), F.when(F.col("deltas_summary.n_judged") > 0, figure("pass rate", F.col("deltas_summary.pass_rate"))).otherwise(""), F.lit("</ul>"))
