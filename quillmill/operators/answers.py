@@ -22,9 +22,20 @@ HELPERS = [
 
 
 def four_digits(x: Column) -> Column:
-    """Four significant digits without trailing zeros; an exponent below 0.0001 and from 10,000 on."""
-    e = F.format_string("%.3e", x)
-    power = F.substring_index(e, "e", -1).cast("int")
+    """Four significant digits without trailing zeros; an exponent below 0.0001 and from 10,000 on.
+
+    The binary value is rounded, of exact halves to the even digit, as C does; %e rounds its shortest decimal form up.
+    """
+    # The formatter takes exact halves of whole numbers for inexact ones, so these are rounded by division.
+    m = F.when((F.abs(x) >= 1e4) & (F.abs(x) < 1e15) & (x == F.floor(x)), F.abs(x).cast("long"))
+    unit = F.pow(F.lit(10.0), F.length(m.cast("string")) - 4).cast("long")
+    rest = m % unit
+    q = (m - rest) / unit
+    near = (q + F.when((2 * rest > unit) | ((2 * rest == unit) & (q % 2 == 1)), 1).otherwise(0)) * unit
+    bare_e = F.call_function("format_number", F.coalesce(near.cast("double") * F.sign(x), x), F.lit("0.000E0"))
+    power = F.substring_index(bare_e, "E", -1).cast("int")
+    sign = F.when(power < 0, "e-").otherwise("e+")
+    e = F.concat(F.substring_index(bare_e, "E", 1), sign, F.format_string("%02d", F.abs(power)))
     bare = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     fixed = bare(e.cast("decimal(20,8)").cast("string"))
     return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(x == 0, "0").when(power.between(-4, 3), fixed).otherwise(F.concat(bare(F.substring_index(e, "e", 1)), F.lit("e"), F.substring_index(e, "e", -1)))
