@@ -56,16 +56,26 @@ def _pmi(p_ab: Column, p_a: Column, p_b: Column) -> Column:
     return F.log(p / (p_a * (p_b + EPS))) / F.greatest(-F.log(p), F.lit(EPS))
 
 
-def normalized_pmi(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b, n, npmi) of every pair: log(p_ab / (p_a p_b)) / -log(p_ab), p_a and p_b from the words' counts."""
-    total = F.lit(2) * pairs.agg(F.sum("n")).scalar()
+def pair_total(docs: DataFrame, window: int = 5, text: str = "text") -> int:
+    """The sum of :func:`cooccurrence`'s counts, from the documents' lengths: nothing is paired or shuffled for it."""
+    n = F.size(words(F.col(text)))
+    near = sum((F.greatest(n - d, F.lit(0)) for d in range(1, window)), F.lit(0))
+    return docs.agg(F.sum(near.cast("long"))).first()[0] or 0
+
+
+def normalized_pmi(pairs: DataFrame, counts: DataFrame, n_pairs: int | None = None) -> DataFrame:
+    """(a, b, n, npmi) of every pair: log(p_ab / (p_a p_b)) / -log(p_ab), p_a and p_b from the words' counts.
+
+    ``n_pairs``: the sum of the pairs' counts where it is known, which spares making all pairs once more.
+    """
+    total = F.lit(2) * (pairs.agg(F.sum("n")).scalar() if n_pairs is None else F.lit(n_pairs))
     each = counts.select("term", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("p"))
     met = pairs.join(each.select(F.col("term").alias("a"), F.col("p").alias("p_a")), "a").join(each.select(F.col("term").alias("b"), F.col("p").alias("p_b")), "b")
     p_ab = F.col("n") * F.when(F.col("a") == F.col("b"), 2).otherwise(1) / total
     return met.select("a", "b", "n", "p_a", "p_b", p_ab.alias("p_ab"), _pmi(p_ab, F.col("p_a"), F.col("p_b")).alias("npmi"))
 
 
-def word_scores(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+def word_scores(pairs: DataFrame, counts: DataFrame, n_pairs: int | None = None) -> DataFrame:
     """(term, n, score): the sum of a word's normalised PMI with all words, also those it never meets.
 
     A pair that never meets scores (log eps - log p_a - log(p_b + eps)) / -log eps, which sums over all b in closed
@@ -76,7 +86,7 @@ def word_scores(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     p = F.col("n") / n_all
     logs = counts.agg(F.sum(F.log(p + EPS))).first()[0] or 0.0
     apart = (never - F.log("p_a") - F.log(F.col("p_b") + EPS)) / -never
-    more = normalized_pmi(pairs, counts).withColumn("more", F.col("npmi") - apart)
+    more = normalized_pmi(pairs, counts, n_pairs).withColumn("more", F.col("npmi") - apart)
     sides = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
     # The score isn't symmetric: eps is added to the other word's share alone.
     back = _pmi(F.col("p_ab"), F.col("p_b"), F.col("p_a")) - (never - F.log("p_b") - F.log(F.col("p_a") + EPS)) / -never

@@ -28,19 +28,19 @@ def word_cooccurrence(spark, sf_dir):
 @query(f"with {_PMI} select a, b, round(npmi, 6) as npmi from pmi")
 def word_pair_npmi(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return topics.normalized_pmi(topics.cooccurrence(docs), topics.word_counts(docs)).select("a", "b", F.round("npmi", 6).alias("npmi"))
+    return topics.normalized_pmi(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)).select("a", "b", F.round("npmi", 6).alias("npmi"))
 
 
 @query(f"with {_SCORES} select term, round(score, 3) as score from scores")
 def word_npmi_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs)).select("term", F.round("score", 3).alias("score"))
+    return topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)).select("term", F.round("score", 3).alias("score"))
 
 
 @query(f"with {_SCORES} select (row_number() over (order by round(score, 9) desc, term) - 1)::int as rank, term from scores order by 1 limit 20")
 def topic_anchors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs)), 20).select("rank", "term")
+    return topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)), 20).select("rank", "term")
 
 
 @query()
@@ -48,7 +48,7 @@ def topic_word_weights(spark, sf_dir):
     """Every word's weights in the topics of eight anchors: iterative, so without SQL."""
     docs = table(spark, sf_dir, "documents")
     pairs, counts = topics.cooccurrence(docs), topics.word_counts(docs)
-    chosen = topics.anchors(topics.word_scores(pairs, counts), 8)
+    chosen = topics.anchors(topics.word_scores(pairs, counts, topics.pair_total(docs)), 8)
     return topics.topic_words(topics.topic_mixtures(pairs, chosen, tolerance=1e-3, most=500), counts).select("topic", "term", F.round("weight", 3).alias("weight"), F.round("share", 6).alias("share"))
 
 
@@ -88,5 +88,5 @@ hit as (select doc_id, arg_min(rank, i) as topic from placed join top on term =
 select doc_id, coalesce(topic, 0)::int as topic from documents left join hit using (doc_id)""")
 def topic_assignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chosen = topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs)), 20)
+    chosen = topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)), 20)
     return topics.assigned(docs, chosen)

@@ -135,3 +135,10 @@ def test_matched_accuracy(spark):
     rows = [("a", "1")] * 5 + [("a", "2")] * 2 + [("b", "1")] * 4 + [("c", "3")] * 3
     held = clusters.contingency(spark.createDataFrame(rows, "t string, f string"), "t", "f")
     assert clusters.matched_accuracy(held).first().accuracy == pytest.approx(9 / 14)
+
+
+def test_pair_total_needs_no_pairs(spark):
+    """The sum of all pairs' counts from the lengths alone, short, empty and null texts too."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a"), (3, ""), (4, None), (5, " x\ty  x ")], "doc_id long, text string")
+    assert topics.pair_total(docs) == topics.cooccurrence(docs).agg(F.sum("n")).first()[0] == 21
+    assert topics.pair_total(docs.filter("doc_id = 4")) == 0
