@@ -31,3 +31,9 @@ def test_normalize_property_gathers_no_group(spark, tmp_path):
     spark.createDataFrame([(1, "a", 2.0), (2, "a", 6.0), (3, None, 1.0), (4, "b", -1.0), (5, "c", 1e300), (6, "c", 1e-300)], "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {tuple(r) for r in entry.queries()["normalize_property"](spark, str(tmp_path)).collect()}
     assert got == set(duckdb.execute(entry.oracle_sql()["normalize_property"].replace("from events", f"from read_parquet('{tmp_path}/events.parquet/*.parquet')")).fetchall())
+
+
+@pytest.mark.parametrize("name", ["pseudocode_translate", "closing_slide_bullets"])
+def test_texts_are_made_where_rows_are_dealt(spark, name):
+    """A small file is one task's; what is written out of its rows is not."""
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()[name](spark, SF))
