@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import CJK
 
+TOKENS_AT_ONCE = 1_000_000  # tokens that a task counts at a time; never a limit
+
 
 def term_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, tf, df, score) over all documents: tf / all tokens * (ln((1 + N) / (1 + df)) + 1).
 
-    Tokens are counted within each document first, so the shuffle carries a row a (document, term).
+    Rows are brought together by ``key`` first; a task then counts some million tokens at a time, so that Spark groups
+    counts instead of single tokens. Rows of one key are one document.
     """
-    found = docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    terms = found.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    listed = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key").sortWithinPartitions("key").select("key", T.tokens(F.col("text")).alias("tokens"))
+    terms = listed.mapInArrow(_counted, "term string, tf long, df long").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     totals = terms.agg(F.greatest(F.sum("tf"), F.lit(1)).alias("total")).crossJoin(docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs")))
     scored = terms.join(F.broadcast(totals))  # one row
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1.0
@@ -23,6 +31,49 @@ def term_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return scored.filter(keep).select("term", "tf", "df", (F.col("tf") / F.col("total") * idf).alias("score"))
 
 
+def _few(batches: Iterator[pa.RecordBatch], n: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches by few documents: what is made of these is many times their size."""
+    return (batch.slice(i, n) for batch in batches for i in range(0, batch.num_rows, n))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, tf, df) of every million tokens or so of rows (key, tokens), in order of keys. A document that goes on after a cut
+    adds to df only by terms that it didn't have before."""
+    held, doc, n, number, last, seen = [], [], 0, 0, None, None
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, doc, n, seen
+        coded = pa.chunked_array([t.flatten() for t in held], pa.string()).combine_chunks().dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        codes, docs = coded.indices.to_numpy().astype(np.int64), np.concatenate(doc)
+        tf = np.bincount(codes, minlength=len(coded.dictionary))
+        uses = np.unique((docs - docs[0]) * size + codes) if len(docs) else np.empty(0, np.int64)
+        term, of = uses % size, uses // size + (docs[0] if len(docs) else 0)
+        known = np.zeros(size, bool)
+        if seen is not None:
+            known[: len(coded.dictionary)] = pc.is_in(coded.dictionary, seen[1]).to_numpy(zero_copy_only=False)
+        fresh = np.ones(len(uses), bool) if seen is None else (of != seen[0]) | ~known[term]
+        df = np.bincount(term[fresh], minlength=len(coded.dictionary))
+        open_ = coded.dictionary.take(pa.array(term[of == number]))
+        seen = (number, pa.concat_arrays([seen[1], open_]) if seen is not None and seen[0] == number else open_)
+        held, doc, n = [], [], 0
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(tf, pa.int64()), pa.array(df, pa.int64())], names=["term", "tf", "df"])
+
+    for batch in _few(batches):
+        tokens, numbers = batch.column("tokens"), []
+        for k in batch.column("key").to_pylist():
+            if k != last:
+                number, last = number + 1, k
+            numbers.append(number)
+        held.append(tokens)
+        doc.append(np.repeat(np.array(numbers, np.int64), pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)))
+        n += len(doc[-1])
+        if n >= TOKENS_AT_ONCE:
+            yield flush()
+    if n:
+        yield flush()
+
+
 def key_terms(docs: DataFrame, top_k: int = 15, pool: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The best terms of which none contains another, best first: (rank, term, score).
 
@@ -38,9 +89,11 @@ def key_terms(docs: DataFrame, top_k: int = 15, pool: int = 2000, key: str = "do
         return listed.select(F.posexplode(picked).alias("rank", "t")).select((F.col("rank") + 1).alias("rank"), "t.term", (-F.col("t.minus")).alias("score"))
 
     while True:
-        first = greedy(scores.orderBy(F.desc("score"), "term").limit(pool))
-        if first.count() >= top_k or scores.limit(pool + 1).count() <= pool:
+        best = scores.orderBy(F.desc("score"), "term").limit(pool).cache()  # the scores are worked out once; ``pool`` rows stay
+        first = greedy(best)
+        if best.count() < pool or first.count() >= top_k:
             return first
+        best.unpersist()
         pool *= 10
 
 
