@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.vocab import CJK
@@ -97,42 +98,53 @@ def key_terms(docs: DataFrame, top_k: int = 15, pool: int = 2000, key: str = "do
         pool *= 10
 
 
-def _sentence_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ord, score) of every sentence with tokens. Texts shuffle once by ``key``, which names a document;
-    all that follows stays within its partition, and sentences are cut once."""
-    listed = docs.select(key, F.col(text).alias("text")).repartition(key).select(key, T.sentences(F.col("text")).alias("sents"))
-    sent = listed.select(key, F.size("sents").alias("n_sent"), F.posexplode("sents").alias("ord", "sentence"))
-    words = sent.select(key, "n_sent", "ord", F.length("sentence").alias("length"), F.explode(T.tokens(F.col("sentence"))).alias("term"))
-    uses = words.groupBy(key, "n_sent", "ord", "length", "term").agg(F.count("*").alias("n"))
-    of_term, of_doc = Window.partitionBy(key, "term"), Window.partitionBy(key)
-    tf, df, total = F.sum("n").over(of_term), F.count("*").over(of_term), F.sum("n").over(of_doc)
-    gains = uses.withColumn("gain", (tf / total) * (F.log((1 + F.col("n_sent")) / (1 + df)) + 1.0))
-    sums = gains.groupBy(key, "ord", "length").agg(F.sum(F.col("n") * F.col("gain")).alias("sum"), F.sum("n").alias("n_tok"))
-    early = F.when(F.col("ord") < 5, F.pow(F.lit(1.15), 5 - F.col("ord"))).otherwise(1.0)
-    size_factor = F.when(F.col("length") < 30, 0.7).when(F.col("length") > 260, 0.85).otherwise(1.0)
-    return sums.select(key, "ord", (F.col("sum") / F.sqrt("n_tok") * early * size_factor).alias("score"))
-
-
-def _with_sentences(rows: DataFrame, docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """``rows`` (key, ord, ...) with their sentence: one row a document meets its text."""
-    held = rows.groupBy(key).agg(F.collect_list(F.struct("ord", *more)).alias("held"))
-    met = held.join(docs.select(key, F.col(text).alias("text")), key).select(key, "held", T.sentences(F.col("text")).alias("sents"))
-    each = met.select(key, F.explode(F.transform("held", lambda h: F.struct(h.alias("h"), F.element_at("sents", h["ord"] + 1).alias("sentence")))).alias("x"))
-    return each.select(key, "x.h.*", "x.sentence")
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``weights``, one for each sentence's tokens: their TF-IDF within the document over the root of their number; null without any."""
+    for batch in _few(batches):
+        sents = batch.column("tokens")
+        words = sents.flatten().flatten().dictionary_encode()
+        n_sent, n_tok = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (sents, sents.flatten()))
+        size = max(len(words.dictionary), 1)
+        code = words.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(n_sent)), n_sent)  # of each sentence
+        sent = np.repeat(np.arange(len(n_tok)), n_tok)  # of each token
+        terms, at, tf = np.unique(doc[sent] * size + code, return_inverse=True, return_counts=True)
+        once = np.unique(sent * size + code)
+        df = np.bincount(np.searchsorted(terms, doc[once // size] * size + once % size), minlength=len(terms))
+        of = terms // size
+        total = np.bincount(doc[sent], minlength=len(n_sent))
+        gain = tf / total[of] * (np.log((1 + n_sent[of]) / (1 + df)) + 1.0)
+        weight = np.bincount(sent, weights=gain[at], minlength=len(n_tok)) / np.sqrt(np.maximum(n_tok, 1))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_sent)]), pa.int32()), pa.array(weight, pa.float64(), mask=n_tok == 0))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sents"), listed], names=["key", "sents", "weights"])
+
+
+def _scored(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, found): each document's sentences with tokens as (ord, score, sentence). A document is a row and its own corpus, so
+    nothing is shuffled, and a task holds few documents at a time."""
+    cut = docs.select(F.col(key).alias("key"), T.sentences(F.col(text)).alias("sents"))
+    listed = cut.select("key", "sents", F.transform("sents", lambda s: T.tokens(s)).alias("tokens"))
+    made = StructType([StructField("key", docs.schema[key].dataType), StructField("sents", ArrayType(StringType())), StructField("weights", ArrayType(DoubleType()))])
+
+    def sentence(s: Column, i: Column) -> Column:
+        early = F.when(i < 5, F.pow(F.lit(1.15), 5 - i)).otherwise(1.0)
+        size_factor = F.when(F.length(s) < 30, 0.7).when(F.length(s) > 260, 0.85).otherwise(1.0)
+        return F.struct(i.alias("ord"), (F.get("weights", i) * early * size_factor).alias("score"), s.alias("sentence"))
+
+    found = F.filter(F.transform("sents", sentence), lambda x: x["score"].isNotNull())
+    return listed.mapInArrow(_weighed, made).select(F.col("key").alias(key), found.alias("found"))
 
 
 def ranked_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ord, sentence, score) of every sentence with tokens; each document is its own corpus."""
-    return _with_sentences(_sentence_scores(docs, key, text), docs, key, text, "score").select(key, "ord", "sentence", "score")
+    return _scored(docs, key, text).select(key, F.explode("found").alias("x")).select(key, "x.ord", "x.sentence", "x.score")
 
 
 def summaries(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ``n`` best sentences in reading order: (key, pos, sentence)."""
-    best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), "ord")  # equal scores: reading order
-    order = Window.partitionBy(key).orderBy("ord")
-    kept = _sentence_scores(docs, key, text).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
-    placed = kept.withColumn("pos", F.row_number().over(order)).select(key, "ord", "pos")
-    return _with_sentences(placed, docs, key, text, "pos").select(key, "pos", "sentence")
+    best = F.array_sort(F.transform("found", lambda x: F.struct((-F.round(x["score"], 12)).alias("minus"), x["ord"].alias("ord"), x["sentence"].alias("sentence"))))  # equal scores: reading order
+    order = F.array_sort(F.transform(F.slice(best, 1, n), lambda x: F.struct(x["ord"].alias("ord"), x["sentence"].alias("sentence"))))
+    return _scored(docs, key, text).select(key, F.posexplode(order).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("pos"), "x.sentence")
 
 
 def keep_first(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:

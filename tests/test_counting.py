@@ -35,5 +35,11 @@ def test_no_row_a_token(spark, name):
     assert "Generate" not in plan(entry.queries()[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["sentence_rank", "summary_ordered"])
+def test_documents_stay_where_they_are_read(spark, name):
+    found = plan(entry.queries()[name](spark, SF))
+    assert "Exchange" not in found and "Sort" not in found
+
+
 def test_text_is_lowered_once(spark):
     assert plan(entry.queries()["missing_elements"](spark, SF)).count("lower(") == 1
