@@ -1,10 +1,12 @@
 """Terms and sentences counted by pieces: whole results however small the pieces, and no row a token in Spark."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillmill.operators import terms
+from quillmill.sources import html
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [(1, "alpha beta alpha gamma"), (1, "beta delta alpha"), (2, "alpha"), (None, "delta delta"), (None, "delta beta"), (3, None), (4, "")]
@@ -43,3 +45,11 @@ def test_documents_stay_where_they_are_read(spark, name):
 
 def test_text_is_lowered_once(spark):
     assert plan(entry.queries()["missing_elements"](spark, SF)).count("lower(") == 1
+
+
+def test_pages_are_read_by_few():
+    """A batch of many pages is written out piece by piece."""
+    pages = pa.RecordBatch.from_pydict({"key": list(range(100)), "html": [f"<h1>t{i}</h1>" for i in range(100)]})
+    pieces = list(html.read_batches(iter([pages]), closed=False))
+    assert max(p.num_rows for p in pieces) <= html.PAGES_AT_ONCE < 100
+    assert [r["text"] for p in pieces for r in p.to_pylist()] == [f"# t{i}" for i in range(100)]
