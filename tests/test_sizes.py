@@ -37,3 +37,11 @@ def test_normalize_property_gathers_no_group(spark, tmp_path):
 def test_texts_are_made_where_rows_are_dealt(spark, name):
     """A small file is one task's; what is written out of its rows is not."""
     assert "REPARTITION_BY_NUM" in plan(entry.queries()[name](spark, SF))
+
+
+def test_parts_do_not_grow_with_the_table(spark, monkeypatch):
+    from quillmill import registry
+
+    monkeypatch.setattr(registry, "ROWS_DEALT", 10, raising=False)
+    assert registry.dealt(spark.range(1005), "id").rdd.getNumPartitions() == 101
+    assert registry.dealt(spark.range(5), "id").rdd.getNumPartitions() == 4  # the session's
