@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .field_queries import _INTENT
 from .operators import reproduction
-from .paper_queries import _ALGORITHM, _MODE, paper_docs
+from .paper_queries import _ALGORITHM, _MODE, analysed, paper_docs
 from .plans import reports
 from .registry import query, table
 from .sources import readers, sinks
@@ -56,10 +56,8 @@ def dispatched_sources(spark, sf_dir):
 @query(f"""select p_partkey as doc_id, {_MODE} as mode, (p_partkey % 3 <> 2)::int + (p_partkey % 2 = 0)::int as n_datasets, case when p_partkey % 3 <> 2 then 'Size' else '' end as numeric_columns,
   case when {_MODE} = 'pseudocode_only' then 'A1:' || {_INTENT} || ':skipped' else '' end as algorithms, case when {_MODE} = 'no_code' then 'data,training,seeds,preprocessing' || case when p_partkey % 2 = 0 then '' else ',hardware' end else '' end as missing from (select *, lower({_ALGORITHM} || chr(10) || 'Input: list a' || chr(10) || 'for each x in a do' || chr(10) || '  push x' || chr(10) || 'end for' || chr(10) || 'return heap') as low from part)""")
 def reproduction_results(spark, sf_dir):
-    from .plans.analysis import analyse
-
-    docs = paper_docs(spark, sf_dir)
-    got = reports.results(analyse(docs), docs)
+    docs, found = analysed(spark, sf_dir)
+    got = reports.results(found, docs)
     numeric = F.array_join(F.flatten(F.transform("datasets", lambda d: d["numeric_columns"])), ",")
     listed = F.array_join(F.transform("algorithms", lambda a: F.concat_ws(":", a["algorithm_id"], a["intent"], a["status"])), ",")
     return got.select(F.col("key").alias("doc_id"), "mode", F.coalesce(F.size("datasets"), F.lit(0)).alias("n_datasets"), F.coalesce(numeric, F.lit("")).alias("numeric_columns"), listed.alias("algorithms"), F.array_join("missing", ",").alias("missing"))
@@ -68,12 +66,9 @@ def reproduction_results(spark, sf_dir):
 @query(f"""select p_partkey as doc_id, p_name as title, (p_partkey % 3 <> 2)::int + 2 * (p_partkey % 2 = 0)::int + (p_partkey % 3 <> 2)::int + (p_partkey % 2 = 0)::int + (p_partkey % 4 = 1)::int as n_rows, case {_MODE} when 'pseudocode_only' then 'Algorithms' when 'no_code' then 'Missing' else '' end as part from part""")
 def report_pages(spark, sf_dir):
     """HTML reports of the papers; their titles, rows of targets and data, and own parts read back."""
-    from .plans.analysis import analyse
-
-    docs = paper_docs(spark, sf_dir)
-    found = analyse(docs)
+    docs, found = analysed(spark, sf_dir)
     plans = reproduction.plans(found.modes, found.targets, found.tables, found.links)
-    pages = reports.html_reports(reports.results(found, docs), plans, found.manifest.select("key", "title"))
+    pages = reports.html_reports(reports.results(found, docs), plans, found.titles)
     upto = F.substring_index("html", "<h2>Checks</h2>", 1)
     return pages.select(F.col("key").alias("doc_id"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.size(F.regexp_extract_all(upto, F.lit("(<tr><td)"), F.lit(1))).alias("n_rows"), F.regexp_extract("html", "<h2>(Algorithms|Missing)</h2>", 1).alias("part"))
 

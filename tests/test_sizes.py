@@ -18,6 +18,22 @@ def test_papers_are_not_broadcast(spark, name, rules):
     assert found.count("BroadcastExchange") <= rules
 
 
+@pytest.mark.parametrize("name", ["reproduction_results", "paper_outlines", "report_pages", "manifest_stats", "reproduction_plans", "chart_svgs", "plan_targets"])
+def test_papers_are_parsed_once(spark, name):
+    """What is parsed from the lines is written once: the query's last plan, which the driver holds whole, parses no line."""
+    assert "posexplode" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_kept_relations_are_the_same(spark):
+    from quillmill.paper_queries import analysed, paper_docs
+    from quillmill.plans.analysis import analyse
+
+    kept, lazy = analysed(spark, SF)[1], analyse(paper_docs(spark, SF))
+    for name in ("sections", "tables", "cells", "figures", "algorithms", "formulas", "links", "modes", "checks", "charts"):
+        rows = lambda found: sorted(map(str, getattr(found, name).collect()))  # noqa: B023, E731
+        assert rows(kept) == rows(lazy), name
+
+
 def test_lines_are_not_shuffled(spark):
     found = plan(entry.queries()["texts_of_kinds"](spark, SF))
     assert "REPARTITION_BY_NUM" in found and "ENSURE_REQUIREMENTS" not in found
