@@ -11,7 +11,7 @@ another, so above them the product is concatenation: a text's tree has FAN child
 and decoded bytes are concatenated on the way up.
 
 The reduction of a piece depends on its bytes alone, so each worker remembers short pieces'
-results in two generations of ``CACHE`` entries.
+results in two generations of ``CACHE`` entries, and what leaves and windows of up to WINDOW bytes merge to.
 
 Defined results: null and empty texts have no tokens and the digests of nothing; equal texts have equal
 results, repeated rows and null doc_ids give rows of their own; equal ranks don't occur in a rank table,
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,8 @@ from pyspark.sql.types import StructType
 from .common import pieces, raw_texts, short_batches, table
 
 LEAF, FAN = 4, 64
-CACHE = 1 << 17  # entries in each of two generations
+CACHE = 1 << 18  # entries in each of two generations
+WINDOW = 24  # bytes of the longest remembered leaf or window
 CACHED_BYTES = 48
 
 
@@ -44,6 +46,7 @@ class RankTable:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.merged: dict[bytes, list[int]] = {}
 
     @classmethod
     def read(cls, path: str) -> RankTable:
@@ -51,6 +54,17 @@ class RankTable:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
     def leaf(self, data: bytes) -> list[int]:
+        """:meth:`merge`, remembered for up to WINDOW bytes: leaves and windows of a few tokens recur all the time."""
+        got = self.merged.get(data)
+        if got is None:
+            got = self.merge(data)
+            if len(data) <= WINDOW:
+                if len(self.merged) >= CACHE:
+                    self.merged = {}
+                self.merged[data] = got
+        return got
+
+    def merge(self, data: bytes) -> list[int]:
         """Merges by rank, leftmost first among equals."""
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -73,10 +87,10 @@ class RankTable:
         if not left or not right:
             return left + right
         a = b = 1
-        of = self.bytes_of
+        of = self.bytes_of.__getitem__
         while True:
             a, b = min(a, len(left)), min(b, len(right))
-            window = self.leaf(b"".join([*(of[t] for t in left[-a:]), *(of[t] for t in right[:b])]))
+            window = self.leaf(b"".join(map(of, left[-a:] + right[:b])))
             left_stands = a == len(left) or (len(window) > 1 and window[0] == left[-a])
             right_stands = b == len(right) or (len(window) > 1 and window[-1] == right[b - 1])
             if left_stands and right_stands:
@@ -116,37 +130,51 @@ def _tokenizer(path: str, pattern: str):
 
 
 class Encoder:
-    """Pieces' results with a bounded memory: (ids in decimal, number of ids, decoded bytes)."""
+    """Pieces' results with a bounded memory: ids in decimal and decoded bytes of each, looked up a document at a time."""
 
     def __init__(self, ranks: RankTable, pattern):
-        self.ranks, self.find, self.known, self.older = ranks, pattern.findall, {}, {}
-
-    def piece(self, text: str):
-        got = self.older.get(text)
-        if got is None:
-            data = text.encode()
+        self.ranks, self.find = ranks, pattern.findall
+        self.known, self.older = ({}, {}), ({}, {})  # by piece: ids, decoded bytes
+
+    def learn(self, new: set[str]) -> tuple[dict, dict]:
+        """Remembers ``new`` pieces; the results of long ones come back and are not kept."""
+        (ids_of, text_of), (old_ids, old_text), long = self.known, self.older, ({}, {})
+        for piece in new:
+            got = old_ids.get(piece)
+            if got is not None:
+                ids_of[piece], text_of[piece] = got, old_text[piece]
+                continue
+            data = piece.encode()
             ids = self.ranks.encode(data)
-            got = (" ".join(map(str, ids)), len(ids), self.ranks.decode(ids))
-            if len(data) > CACHED_BYTES:
-                return got
-        if len(self.known) >= CACHE:
-            self.known, self.older = {}, self.known
-        self.known[text] = got
-        return got
+            to = self.known if len(data) <= CACHED_BYTES else long
+            to[0][piece], to[1][piece] = " ".join(map(str, ids)), self.ranks.decode(ids)
+        return long
+
+    def parts(self, text: str):
+        """(ids in decimal, decoded bytes) of a text's pieces, FAN * FAN pieces at a time."""
+        got = self.find(text)
+        for i in range(0, len(got), FAN * FAN):
+            part = got[i : i + FAN * FAN]
+            if len(self.known[0]) >= CACHE:
+                self.known, self.older = ({}, {}), self.known
+            ids_of, text_of = self.known
+            long_ids, long_text = self.learn(set(part).difference(ids_of))
+            if long_ids:
+                ids_of, text_of = ChainMap(long_ids, ids_of), ChainMap(long_text, text_of)
+            yield list(map(ids_of.__getitem__, part)), list(map(text_of.__getitem__, part))
 
     def document(self, text: str):
-        piece = self.piece
-        return [self.known.get(p) or piece(p) for p in self.find(text)]
+        return [(i, i.count(" ") + 1, t) for ids, texts in self.parts(text) for i, t in zip(ids, texts, strict=True)]
 
     def digests(self, text: str):
-        """(number of ids, digest of the ids, digest of the decoded bytes, ids) of a text, FAN * FAN pieces at a time."""
-        got, n, ids_sha, text_sha, ids = self.document(text), 0, hashlib.sha256(), hashlib.sha256(), []
-        for i in range(0, len(got), FAN * FAN):
-            part = got[i : i + FAN * FAN]
-            ids.append(reduced([g[0] for g in part], " "))
-            ids_sha.update(((" " if i else "") + ids[-1]).encode())
-            text_sha.update(reduced([g[2] for g in part], b""))
-            n += sum([g[1] for g in part])
+        """(number of ids, digest of the ids, digest of the decoded bytes, ids) of a text."""
+        n, ids_sha, text_sha, ids = 0, hashlib.sha256(), hashlib.sha256(), []
+        for of_ids, of_text in self.parts(text):
+            joined = reduced(of_ids, " ")
+            ids_sha.update(((" " if ids else "") + joined).encode())
+            text_sha.update(reduced(of_text, b""))
+            n += joined.count(" ") + 1
+            ids.append(joined)
         return n, ids_sha.hexdigest(), text_sha.hexdigest(), " ".join(ids)
 
 

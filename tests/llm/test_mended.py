@@ -80,3 +80,29 @@ def test_contradictory_targets_are_told(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
     with pytest.raises(ValueError, match="can't all be met"):
         mixing.sample(docs, targets={"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.9, "de": 0.1}})
+
+
+def test_leaves_and_windows_are_merged_once(monkeypatch):
+    """What recurs within pieces isn't merged again, long pieces aren't kept, and a full memory changes nothing."""
+    import public_tokenizers as P
+    import regex
+    import tiktoken
+
+    from quillmill.llm import bpe
+
+    ranks = bpe.RankTable.read(P.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+    asked = []
+    merge = ranks.merge
+    monkeypatch.setattr(ranks, "merge", lambda data: asked.append(data) or merge(data))
+    words = [f" {a}{b}{c}" for a in ("anble", "stti", "oftion") for b in ("thonre", "wherer", "") for c in ("nten", "thhe", "q" * 60)]
+    text = "".join(words * 3) + " \n\n 123é中"
+    monkeypatch.setattr(bpe, "CACHE", 1 << 18)
+    assert bpe.Encoder(ranks, regex.compile(P.PATTERN)).digests(text)[3] == " ".join(map(str, own.encode_ordinary(text)))
+    short = [d for d in asked if len(d) <= bpe.WINDOW]
+    assert len(short) == len(set(short))
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    small = bpe.Encoder(bpe.RankTable(ranks.ranks), regex.compile(P.PATTERN))
+    for _ in range(2):
+        assert small.digests(text)[3] == " ".join(map(str, own.encode_ordinary(text)))
+    assert len(small.ranks.merged) <= 3
