@@ -31,10 +31,12 @@ id gives it one bit; ids of more than 24 bits are an error; other columns than d
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ BLOCK = 1 << 16  # ids of a block
 AT_ONCE = 16  # blocks decoded side by side
 STEP = 256  # ids from one checkpoint to the next
 CACHE = 1 << 19  # remembered stretches of text, in each of two generations
+TEXTS = 16  # cut at a time
 REMEMBERED = 64  # characters of the longest remembered one
 END = 2
 
@@ -65,7 +68,12 @@ _STRETCH = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _UNSURE = re.compile("[\x85\u180e\u200b-\u200d\ufeff]")  # tables differ on whether these are white space
 _ODD = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _RARE = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\v", "\f", "\0")
-_PLAIN = re.compile(f" [^{_WHITE}]+")
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"  # letters in every table
+_PLAIN = re.compile(f"(\n?)( ?[{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")  # a match of the split pattern each; no apostrophe
+_GLUED = re.compile(f"[.,](?<![0-9{_LETTERS}][.,])")
+#: Bytes as a byte-level vocabulary writes them; 1 and 2, which plain stretches don't hold, as bytes that no text has.
+_BYTES = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)} | {1: "\xff"}
 
 
 class Encoder:
@@ -73,8 +81,9 @@ class Encoder:
 
     A byte-level tokenizer never joins a character that isn't white space with white space after it, so a
     text falls into stretches (white space, then other characters), and each is encoded on its own. Stretches
-    are remembered in two generations of ``CACHE`` entries. New ones that are a space and a word go to the
-    tokenizer together, with line feeds between them: a line feed is a token of its own there.
+    are remembered in two generations of ``CACHE`` entries. Line feeds, and stops and commas right after a letter or a digit,
+    are stretches of their own. Plain ones (a word, signs after it) are cut as the split pattern would; their words go to the tokenizer's model together, with a byte between them that no text holds
+    and no merge knows.
     """
 
     def __init__(self, path: str):
@@ -82,13 +91,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line_feed = self._ids("\n")
-        self.apart = len(self.line_feed) == 1 and self._ids(" a\n b") == self._ids(" a") + self.line_feed + self._ids(" b")
-        self.known: dict[str, bytes] = {}
+        self.model = self._model(path)
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _model(self, path: str):
+        """The file's model without its split pattern, and the id of the byte between words; None if words can't be told apart."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, cut = held["model"], held["pre_tokenizer"] or {}
+        odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        if model["type"] != "BPE" or any(odd) or held["normalizer"] or not all(t["special"] for t in held["added_tokens"]):
+            return None
+        if cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or [t for t in model["vocab"] if "\xff" in t] != ["\xff"]:
+            return None
+        alone = Tokenizer(self.tokenizer.model)
+        return (alone, model["vocab"]["\xff"]) if set(_BYTES.values()) <= set(model["vocab"]) else None
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -96,40 +116,67 @@ class Encoder:
         if odd and _UNSURE.search(text):
             return [text]
         if not odd and text[-1] not in " \n" and not any(r in text for r in _RARE):  # the same cuts, faster
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+            if not _GLUED.search(text):  # so each of these begins a match of the split pattern
+                cut = cut.replace(".", "\0.").replace(",", "\0,")
+            return cut.split("\0")
         return _STRETCH.findall(text)
 
-    def _new(self, stretches: list[str]):
-        """(stretch, ids as bytes) of each."""
-        plain = [s for s in stretches if _PLAIN.fullmatch(s)] if self.apart else []
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = np.array(self._ids("\n".join(part)), "<u4")
-            ends = (np.flatnonzero(ids == self.line_feed[0]) * 4).tolist()
+    def _words(self, words: list[str]):
+        """(word, ids as bytes) of matches of the split pattern."""
+        alone, between = self.model
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(alone.encode_batch_fast(["\1".join(part).encode().decode("latin-1").translate(_BYTES)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(ids == between) * 4).tolist()
             if len(ends) != len(part) - 1:
-                raise ValueError("a line feed isn't a token of its own")
+                raise ValueError("the byte between words isn't a token of its own")
             data = ids.tobytes()
             yield from zip(part, map(data.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(data)])), strict=True)
-        rest = list(set(stretches).difference(plain))
+
+    def _new(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of each, as bytes, and of words in them."""
+        whole, cut, rest = [], [], []
+        for s in stretches:
+            m = _PLAIN.fullmatch(s) if self.model else None
+            if m is None:
+                rest.append(s)
+            elif m.end(2) - m.start(2) == len(s):
+                whole.append(s)
+            else:
+                cut.append((s, m.groups()))
+        known, older = self.known, self.older
+        words = set().union(*(g for _, g in cut)).difference(known)
+        found = {s: older[s] for s in words if s in older}
+        found.update(self._words(list(words.union(whole).difference(found))))
+        for s, g in cut:
+            found[s] = b"".join([found[w] if w in found else known[w] for w in g])
         for at in range(0, len(rest), 2048):
             part = rest[at : at + 2048]
             for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                yield s, np.array(e.ids, "<u4").tobytes()
+                found[s] = np.array(e.ids, "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
+        """Little-endian u32 ids of each text. Some texts at a time, so their stretches stay in the processor's cache."""
+        return [x for i in range(0, len(texts), TEXTS) for x in self._encode(texts[i : i + TEXTS])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.stretches(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        held = {s: self.older[s] for s in new.intersection(self.older)}
-        held.update(self._new(list(new.difference(held))))
-        long = {s: held.pop(s) for s in [s for s in held if len(s) > REMEMBERED]}
-        self.known.update(held)
-        if long:
-            out = [b"".join([long[s] if s in long else self.known[s] for s in c]) for c in cut]
-        else:
-            out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        flat = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = {flat[i] for i in missing}
+            held = {s: self.older[s] for s in new if s in self.older}
+            held.update(self._new(list(new.difference(held))))
+            for i in missing:
+                ids[i] = held[flat[i]]
+            self.known.update({s: x for s, x in held.items() if len(s) <= REMEMBERED})
+        ends = list(accumulate(map(len, cut)))
+        out = [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
+            self.known, self.older = {"": b""}, self.known
         return out
 
 
@@ -139,7 +186,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END) -> DataFrame:
-    """(doc_id, part, offset, n, ids) in order of doc_id and text: ``offset`` ids come before within ``part``."""
+    """(doc_id, part, offset, n, ids, seen) in order of doc_id and text: ``offset`` ids come before within ``part``; the
+    first row of an Arrow batch holds how often each id occurs in the batch (u32 ids, then as many u32 counts)."""
     short_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
@@ -150,12 +198,18 @@ def encoded(docs: DataFrame, path: str, end_id: int = END) -> DataFrame:
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = offset + np.cumsum(n) - n
             offset += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "offset", "n", "ids"])
+            if not ids:
+                continue
+            times = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+            at = np.flatnonzero(times)
+            seen = np.concatenate([at, times[at]]).astype("<u4").tobytes()
+            columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary()), pa.array([seen, *[None] * (len(n) - 1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "part", "offset", "n", "ids", "seen"])
 
     # The row's own number only parts repeated rows, which are all the same, among tasks.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text"), "row").sortWithinPartitions("doc_id", "text")
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, offset long, n long, ids binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, offset long, n long, ids binary, seen binary")
 
 
 def counts(tokens: DataFrame) -> DataFrame:
@@ -164,17 +218,15 @@ def counts(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for seen in batch.column("seen"):
+                ids, times = np.frombuffer(seen.as_buffer(), "<u4").reshape(2, -1)
+                if ids[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
+                total[ids] += times
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("seen is not null").select("seen").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- the code book
@@ -245,12 +297,13 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     bits = lengths[ids].astype(np.int64)
     ends = np.cumsum(bits)
     at = ends - bits
-    value = codes[ids].astype(np.int64) << (32 - bits - (at & 7))  # at most 7 + 24 bits
-    size = int(ends[-1] + 7) >> 3
-    out = np.zeros(size + 4)
-    for k in range(4):  # no two codes share a bit, so bytes may be added
-        out += np.bincount((at >> 3) + k, (value >> (24 - 8 * k)) & 255, size + 4)
-    return out[:size].astype(np.uint8).tobytes(), at[::STEP].astype("<u4")
+    value = codes[ids].astype(np.uint64) << (64 - bits - (at & 31)).astype(np.uint64)  # at most 31 + 24 bits
+    # A code begins in every word of 32 bits; no two share a bit, so their parts in a word and the next may be added.
+    first = np.flatnonzero(np.diff(at >> 5, prepend=-1))
+    words = np.zeros(len(first) + 1, np.uint64)
+    words[:-1] = np.add.reduceat(value >> np.uint64(32), first)
+    words[1:] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+    return words.astype(">u4").tobytes()[: int(ends[-1] + 7) >> 3], at[::STEP].astype("<u4")
 
 
 def block(columns: dict[str, np.ndarray], ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:

@@ -106,3 +106,23 @@ def test_query_equals_the_library(spark):
         want.append((doc_id, start, len(e.ids) + 1, zlib.crc32(np.array([*e.ids, I.END], "<u4").tobytes())))
         start += len(e.ids) + 1
     assert got == want
+
+
+def test_new_words_go_to_the_model_together_and_stops_are_stretches_of_their_own():
+    """The tokenizer itself, slow a word, is not asked for words; equal ids come back."""
+    texts = ["A word, and (another) one.", "Ünïcödé straße!! next\nline.\n\nend", "a.b.c ... x., y_. 'tis", "it's 3.14, ok $$$\x01 ÿþ"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain_tokenizer().encode_batch(texts, add_special_tokens=False)]
+    e = I.Encoder(PATH)
+    assert e.encode(texts) == want
+    assert I.Encoder.stretches("one, two. three")[1] == "," and {",", " one", " word"} <= set(e.known)
+    asked = []
+
+    class Asked:
+        def encode_batch(self, part, **options):
+            asked.extend(part)
+            return plain_tokenizer().encode_batch(part, **options)
+
+    words = I.Encoder(PATH)
+    words.tokenizer = Asked()
+    assert words.encode(["Some words, more words."] * 40) == [np.array(plain_tokenizer().encode("Some words, more words.").ids, "<u4").tobytes()] * 40
+    assert sorted(asked) == [",", "."]
