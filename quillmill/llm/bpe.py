@@ -10,8 +10,9 @@ pieces that are not tokens themselves and are longer are built by joins. Pieces
 another, so above them the product is concatenation: a text's tree has FAN children a node, whose ids
 and decoded bytes are concatenated on the way up.
 
-The reduction of a piece depends on its bytes alone, so each worker remembers short pieces'
-results in two generations of ``CACHE`` entries, and what leaves and windows of up to WINDOW bytes merge to.
+The reduction of a piece depends on its bytes alone, so each worker remembers the results of short stretches
+of pieces in two generations of ``CACHE`` entries, from one task to the next, and what leaves and windows of up
+to WINDOW bytes merge to.
 
 Defined results: null and empty texts have no tokens and the digests of nothing; equal texts have equal
 results, repeated rows and null doc_ids give rows of their own; equal ranks don't occur in a rank table,
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import ChainMap
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,26 +33,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, raw_texts, short_batches, table
+from .common import give_back, pieces, raw_texts, short_batches, table
 
 LEAF, FAN = 4, 64
-CACHE = 1 << 18  # entries in each of two generations
-WINDOW = 24  # bytes of the longest remembered leaf or window
+CACHE = 1 << 19  # entries in each of two generations
+FEW = 1 << 16  # of them where a step is one of several, whose workers need memory for others
+WINDOW = 2 * LEAF  # bytes of the longest remembered leaf or window
 CACHED_BYTES = 48
+GPT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the split pattern whose cuts are known
+_ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]|  | \n|\n |\n\n\n|\0|[ \n]\\Z")
+_GLUED = re.compile("[.,](?<![0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,])")
 
 
 class RankTable:
     """``ranks``: token bytes to id; a pair of tokens merges if its bytes are a token, lowest id first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int | None = None):
+        self.ranks, self.most = ranks, most  # most: remembered entries, CACHE if None
+        self.one = [bytes([i]) for i in range(256)]
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.decimal_of = {i: str(i) for i in self.bytes_of}
         self.merged: dict[bytes, list[int]] = {}
 
     @classmethod
-    def read(cls, path: str) -> RankTable:
+    def read(cls, path: str, most: int | None = None) -> RankTable:
         with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, most)
+
+    def full(self, held: dict) -> bool:
+        return len(held) >= (self.most or CACHE)
 
     def leaf(self, data: bytes) -> list[int]:
         """:meth:`merge`, remembered for up to WINDOW bytes: leaves and windows of a few tokens recur all the time."""
@@ -59,27 +69,27 @@ class RankTable:
         if got is None:
             got = self.merge(data)
             if len(data) <= WINDOW:
-                if len(self.merged) >= CACHE:
+                if self.full(self.merged):
                     self.merged = {}
                 self.merged[data] = got
         return got
 
     def merge(self, data: bytes) -> list[int]:
         """Merges by rank, leftmost first among equals."""
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pair = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+        ranks, get, none = self.ranks, self.ranks.get, 1 << 60
+        parts = list(map(self.one.__getitem__, data))
+        pair = [get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
         while pair:
             best = min(pair)
-            if best == 1 << 60:
+            if best == none:
                 break
             i = pair.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            x = parts[i] = parts[i] + parts.pop(i + 1)
             del pair[i]
             if i < len(pair):
-                pair[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
+                pair[i] = get(x + parts[i + 1], none)
             if i:
-                pair[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                pair[i - 1] = get(parts[i - 1] + x, none)
         return [ranks[p] for p in parts]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -123,45 +133,58 @@ def reduced(parts: list, between):
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str):
+def _encoder(path: str, pattern: str, most: int | None = None) -> Encoder:
     import regex
 
-    return RankTable.read(path), regex.compile(pattern)
+    return Encoder(RankTable.read(path, most), regex.compile(pattern))
 
 
 class Encoder:
-    """Pieces' results with a bounded memory: ids in decimal and decoded bytes of each, looked up a document at a time."""
+    """Stretches of a text (one piece or some in a row) with a bounded memory: ids in decimal and decoded bytes of each."""
 
     def __init__(self, ranks: RankTable, pattern):
-        self.ranks, self.find = ranks, pattern.findall
-        self.known, self.older = ({}, {}), ({}, {})  # by piece: ids, decoded bytes
-
-    def learn(self, new: set[str]) -> tuple[dict, dict]:
-        """Remembers ``new`` pieces; the results of long ones come back and are not kept."""
-        (ids_of, text_of), (old_ids, old_text), long = self.known, self.older, ({}, {})
-        for piece in new:
-            got = old_ids.get(piece)
-            if got is not None:
-                ids_of[piece], text_of[piece] = got, old_text[piece]
-                continue
-            data = piece.encode()
-            ids = self.ranks.encode(data)
-            to = self.known if len(data) <= CACHED_BYTES else long
-            to[0][piece], to[1][piece] = " ".join(map(str, ids)), self.ranks.decode(ids)
-        return long
+        self.ranks, self.find, self.simple = ranks, pattern.findall, pattern.pattern == GPT
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def forget(self) -> None:
+        self.known, self.older, self.ranks.merged = {}, {}, {}
+
+    def cut(self, text: str) -> list[str]:
+        """Stretches that begin and end where pieces do. Of plain text: a blank and what follows it, line feeds, and stops
+        and commas right after a letter or a digit, which begin a piece whatever comes next."""
+        if not self.simple or _ODD.search(text):
+            return self.find(text)
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not _GLUED.search(text):
+            cut = cut.replace(".", "\0.").replace(",", "\0,")
+        return list(filter(None, cut.split("\0")))
+
+    def learn(self, stretch: str) -> tuple[str, bytes]:
+        """The result of a stretch; that of a long one is not remembered."""
+        got = self.older.get(stretch)
+        if got is None:
+            whole = stretch.isascii() and (stretch[1:] if stretch[0] == " " else stretch).isalpha()
+            ids = []
+            for piece in [stretch] if whole else self.find(stretch):
+                ids += self.ranks.encode(piece.encode())
+            got = " ".join(map(self.ranks.decimal_of.__getitem__, ids)), self.ranks.decode(ids)
+        if len(got[1]) <= CACHED_BYTES:
+            self.known[stretch] = got
+        return got
 
     def parts(self, text: str):
-        """(ids in decimal, decoded bytes) of a text's pieces, FAN * FAN pieces at a time."""
-        got = self.find(text)
-        for i in range(0, len(got), FAN * FAN):
-            part = got[i : i + FAN * FAN]
-            if len(self.known[0]) >= CACHE:
-                self.known, self.older = ({}, {}), self.known
-            ids_of, text_of = self.known
-            long_ids, long_text = self.learn(set(part).difference(ids_of))
-            if long_ids:
-                ids_of, text_of = ChainMap(long_ids, ids_of), ChainMap(long_text, text_of)
-            yield list(map(ids_of.__getitem__, part)), list(map(text_of.__getitem__, part))
+        """(ids in decimal, decoded bytes) of a text's stretches, FAN * FAN at a time."""
+        cut = self.cut(text)
+        for i in range(0, len(cut), FAN * FAN):
+            part = cut[i : i + FAN * FAN]
+            if self.ranks.full(self.known):
+                self.known, self.older = {}, self.known
+            got = list(map(self.known.get, part))
+            for k, x in enumerate(got):
+                if x is None:
+                    got[k] = self.known.get(part[k]) or self.learn(part[k])
+            yield [x[0] for x in got], [x[1] for x in got]
 
     def document(self, text: str):
         return [(i, i.count(" ") + 1, t) for ids, texts in self.parts(text) for i, t in zip(ids, texts, strict=True)]
@@ -192,8 +215,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         schema = schema.add(f)
 
     def run(batches):
-        ranks, compiled = _tokenizer(path, pattern)
-        encoder = Encoder(ranks, compiled)
+        encoder = _encoder(path, pattern, FEW if with_ids else None)
         for batch in batches:
             for lo, hi, texts in pieces(raw_texts(batch.column("text"))):
                 count, ids_sha, text_sha, ids = [], [], [], []
@@ -209,6 +231,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     ends = np.cumsum([0, *count]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(" ".join(ids).split(), np.int32))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in kept), *columns], names=schema.names)
+        if with_ids:  # as a step among others the workers' memory is needed elsewhere
+            encoder.forget()
+        give_back()
 
     return docs.select(*[f.name for f in kept], "text").mapInArrow(run, schema)
 

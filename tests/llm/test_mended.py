@@ -106,3 +106,27 @@ def test_leaves_and_windows_are_merged_once(monkeypatch):
     for _ in range(2):
         assert small.digests(text)[3] == " ".join(map(str, own.encode_ordinary(text)))
     assert len(small.ranks.merged) <= 3
+
+
+def test_stretches_are_remembered_from_one_task_to_the_next():
+    """A worker's second task of the same texts encodes nothing anew, and a step among others leaves no memory taken."""
+    import public_tokenizers as P
+
+    from quillmill.llm import bpe
+
+    assert bpe.GPT == P.PATTERN
+    path, text = P.path("byte_bpe_50k.tiktoken"), "Anble thonre, sttiwherer. It's 3.14 é中 ok\nOftion thhe"
+    first = bpe._encoder(path, P.PATTERN)
+    want = first.digests(text)
+    again = bpe._encoder(path, P.PATTERN)
+    again.learn = None
+    try:
+        assert again is first and again.digests(text) == want
+    finally:
+        del again.learn
+    pieces = first.find(text)
+    assert "".join(first.cut(text)) == text and {"Anble", " thonre", ",", ".", "\n"} <= set(first.cut(text)) & set(pieces)
+    few = bpe._encoder(path, P.PATTERN, bpe.FEW)
+    assert few is not first and few.digests(text) == want
+    few.forget()
+    assert not few.known and not few.older and not few.ranks.merged
