@@ -128,6 +128,26 @@ def among(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return kinds[at] == tokens
 
 
+def counted(tokens: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, chunk, times) of each chunk's distinct ones of those u32 ``tokens`` that occur more than once, by chunk and token.
+
+    Sorts ``tokens`` in place; one number holds chunk and token, so no index as long as a bucket is made.
+    """
+    if not len(tokens):
+        return tokens, chunk, np.zeros(0, np.int64)
+    own = chunk.astype(np.uint64) << np.uint64(32)
+    own |= tokens
+    own.sort()
+    tokens.sort()
+    again = tokens[1:][tokens[1:] == tokens[:-1]]
+    kinds = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+    times = np.searchsorted(tokens, kinds, "right") - np.searchsorted(tokens, kinds)
+    own = own[np.append(True, own[1:] != own[:-1])]
+    own = own[among(kinds, own.astype(np.uint32))]
+    low = own.astype(np.uint32)
+    return low, (own >> np.uint64(32)).astype(np.uint32), times[np.searchsorted(kinds, low)]
+
+
 def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int, hot: np.ndarray) -> DataFrame:
     """(chunk, bucket, rare, frequent): packed tokens, ``hot`` ones apart, of a chunk that several documents hold."""
 
@@ -163,17 +183,8 @@ def shared_tokens(keyed: DataFrame, n_buckets: int, words: int, rare: int, hot:
         give_back()
         heads = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in rows.column("chunks").to_pylist()]
         every = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("tokens").to_pylist()])
-        chunk = np.concatenate([np.repeat(h[0], h[1]) for h in heads])
-        by = np.lexsort((every, chunk))
-        own, chunk = every[by], chunk[by]
-        every = np.sort(every)
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(every)))
-        kinds, times = every[first][times > 1], times[times > 1]
-        fresh = np.append(True, (own[1:] != own[:-1]) | (chunk[1:] != chunk[:-1])) if len(own) else np.zeros(0, bool)
-        hit = fresh & among(kinds, own)
-        own, chunk = own[hit], chunk[hit]
-        often = times[np.searchsorted(kinds, own)] > rare
+        own, chunk, times = counted(every, np.concatenate([np.repeat(h[0], h[1]) for h in heads]))
+        often = times > rare
         out = {"chunk": [], "bucket": [], "rare": [], "frequent": []}
         begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
         bucket = rows.column("bucket")[0].as_py()

@@ -2,13 +2,15 @@
 
 import random
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import fingerprint, langid, mixing, pii, toxicity
+from quillmill.llm import fingerprint, jaccard, langid, mixing, pii, toxicity
 from quillmill.llm.common import Words, raw_texts
 
 
@@ -130,3 +132,20 @@ def test_stretches_are_remembered_from_one_task_to_the_next():
     assert few is not first and few.digests(text) == want
     few.forget()
     assert not few.known and not few.older and not few.ranks.merged
+
+
+def test_a_bucket_is_counted_without_an_index_as_long_as_its_tokens():
+    rng = np.random.default_rng(4)
+    tokens, chunk = rng.integers(0, 3000, 4000, dtype=np.uint32) << np.uint32(20), rng.integers(0, 5, 4000).astype(np.uint32)
+    held = Counter(tokens.tolist())
+    want = sorted({(int(c), int(t), held[int(t)]) for t, c in zip(tokens, chunk, strict=True) if held[int(t)] > 1})
+    got = jaccard.counted(tokens, chunk)
+    assert [(int(c), int(t), int(n)) for t, c, n in zip(*got, strict=True)] == want
+    assert [len(x) for x in jaccard.counted(tokens[:0], chunk[:0])] == [0, 0, 0]
+    n = 1 << 20
+    tokens, chunk = rng.integers(0, 1 << 32, n, dtype=np.uint32), np.repeat(np.arange(16, dtype=np.uint32), n // 16)
+    tracemalloc.start()
+    jaccard.counted(tokens, chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * n
