@@ -165,6 +165,11 @@ def test_small_decisions(spark):
     assert readers.synthetic(spark, 10, "str_list", 3).filter("length(value) = 6").count() == 10
 
 
+def test_scale_behind_a_texts_head(spark):
+    rows = spark.createDataFrame([(1, "n = 20 " + "word " * 10_000 + "and N = 1,500 items"), (2, "word " * 10_000), (3, None)], "doc_id int, text string")
+    assert {r.key: r.scale for r in papers.scale_hints(rows).collect()} == {1: 1500, 2: 400, 3: 400}
+
+
 def documents(spark, folder, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
     return str(folder)
