@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,7 +13,7 @@ from ..operators import papers as P
 from ..operators import tables as B
 from .analysis import Analysis
 
-MOST_ALGORITHMS, MOST_TARGETS, MOST_CHECKS = 4, 40, 200
+MOST_TARGETS, MOST_CHECKS = 40, 200
 
 
 def _in_order(rows: DataFrame, order: Column, columns: list[str], name: str) -> DataFrame:
@@ -54,24 +54,23 @@ def csv_texts(tables: DataFrame) -> DataFrame:
 def branches(found: Analysis, docs: DataFrame, properties: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, mode, algorithms, missing, warnings): what each mode's branch leaves beside deltas.
 
-    Pseudocode: the first four algorithms with intent and state, which ``properties`` (key, algorithm_id, status, ...),
+    Pseudocode: all algorithms with intent and state, which ``properties`` (key, algorithm_id, status, ...),
     checks of outputs, make ok; without any they are skipped. No code: the elements that the experiment
-    and method sections don't name.
+    and method sections, read to their end, don't name.
     """
     number = F.regexp_extract("algorithm_id", r"(\d+)", 1).cast("int")
-    place = Window.partitionBy("key").orderBy("n")
-    first = found.algorithms.withColumn("n", number).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= MOST_ALGORITHMS)
+    every = found.algorithms
     if properties is None:
-        states = first.withColumn("status", F.lit("skipped"))
+        states = every.withColumn("status", F.lit("skipped"))
     else:
         ran = properties.groupBy("key", "algorithm_id").agg(F.lit("ok").alias("ran"))
-        states = meet(first, ran, ["key", "algorithm_id"], "left").withColumn("status", F.coalesce("ran", F.lit("failed")))
+        states = meet(every, ran, ["key", "algorithm_id"], "left").withColumn("status", F.coalesce("ran", F.lit("failed")))
     intent = T.algorithm_intent(F.col("caption"), F.array_join("lines", "\n"))
-    listed = _in_order(states.withColumns({"intent": intent, "caption": F.left("caption", F.lit(120))}), F.col("place"), ["algorithm_id", "caption", "intent", "status"], "algorithms")
+    listed = _in_order(states.withColumns({"intent": intent, "caption": F.left("caption", F.lit(120))}), number, ["algorithm_id", "caption", "intent", "status"], "algorithms")
     told = found.sections.filter(F.col("kind").isin("experiment", "method"))
     body = told.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
-    every = meet(docs.select(F.col(key).alias("key")).distinct(), body, "key", "left")
-    missing = P.missing_elements(every.withColumnRenamed("key", "id"), "id", "body")
+    told = meet(docs.select(F.col(key).alias("key")).distinct(), body, "key", "left")
+    missing = P.missing_elements(told.withColumnRenamed("key", "id"), "id", "body", head=None)
     tables = found.tables.select("key").distinct().withColumn("has_tables", F.lit(True))
     out = found.modes.select("key", "mode")
     for part in (listed, missing, tables):

@@ -80,6 +80,16 @@ def test_branches_follow_the_mode(spark, docs):
     assert next(r for r in reports.branches(found, docs, ran).collect() if r.key == 2).algorithms[0].status == "ok"
 
 
+def test_branches_hold_all_algorithms_and_read_all_text(spark):
+    """Twelve algorithms in order of their numbers; a word of the method section far behind its first 6,000 characters."""
+    many = "# Many\n\n" + "\n".join(f"Algorithm {i}. Sort list {i}\n```\nInput: list\nreturn list\n```\n" for i in range(1, 13))
+    far = "# Far\n\n## Method\n" + "plain words here\n" * 2000 + "one gpu and a random seed\n"
+    docs = spark.createDataFrame([(1, many), (2, far)], "doc_id int, text string")
+    got = {r.key: r for r in reports.branches(analysis.analyse(docs), docs).collect()}
+    assert [a.algorithm_id for a in got[1].algorithms] == [f"A{i}" for i in range(1, 13)]
+    assert got[2].missing == ["data", "training", "preprocessing"]
+
+
 def test_records_and_reports(spark, docs):
     found = analysis.analyse(docs)
     records = reports.results(found, docs)
