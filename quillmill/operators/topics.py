@@ -11,8 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..functions.shared import saved
+from .wordpairs import Pairs, flat_words
 
 EPS = 1e-9
 MOST_ANCHORS = 256  # their products with one another are told to every task: 256 * 256 doubles
@@ -133,42 +138,59 @@ def simplex_mixtures(products: np.ndarray, gram: np.ndarray, tolerance: float, m
     return weights, change, steps
 
 
+def _names(chosen: DataFrame) -> list[str]:
+    names = [r.term for r in chosen.orderBy("rank").select("term").collect()]
+    if len(names) > MOST_ANCHORS:
+        raise ValueError(f"{len(names)} anchors, but at most {MOST_ANCHORS} are told to every task")
+    return names
+
+
+def _solved(products: DataFrame, names: list[str], tolerance: float, most: int) -> DataFrame:
+    """(term, weights, change, steps) of (term, x): words are solved where they are, in batches, equal products once."""
+    k = len(names)
+    gram = np.zeros((k, k))
+    place = {t: i for i, t in enumerate(names)}
+    for r in products.filter(F.col("term").isin(names)).collect():  # a row an anchor
+        gram[place[r.term]] = r.x
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, of = np.unique(np.array(batch.column("x").to_pylist(), float).reshape(-1, k), axis=0, return_inverse=True)
+            weights, change, steps = (v[of] for v in simplex_mixtures(x, gram, tolerance, most))
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(weights.tolist(), pa.list_(pa.float64())), pa.array(change), pa.array(steps)], names=["term", "weights", "change", "steps"])
+
+    # Words that stand alone in their document have no neighbours and no row.
+    return products.mapInArrow(solve, "term string, weights array<double>, change double, steps long")
+
+
+def mixtures(pairs: Pairs, chosen: DataFrame, tolerance: float = 1e-4, most: int = 2000) -> DataFrame:
+    """:func:`topic_mixtures` without a row for each pair; the products are written once."""
+    names = _names(chosen)
+    return _solved(saved(pairs.products(names)), names, tolerance, most)
+
+
 def topic_mixtures(pairs: DataFrame, chosen: DataFrame, tolerance: float = 1e-4, most: int = 2000) -> DataFrame:
     """(term, weights, change, steps): every word's neighbours as a mixture of the anchors' neighbours.
 
     Products of a word's row with the anchors' rows are a sparse join on the neighbour (each one meets at most as
     many rows as there are anchors), grouped by word; the words are then solved where they are, in batches.
     """
-    names = [r.term for r in chosen.orderBy("rank").select("term").collect()]
+    names = _names(chosen)
     k = len(names)
-    if k > MOST_ANCHORS:
-        raise ValueError(f"{k} anchors, but at most {MOST_ANCHORS} are told to every task")
     q = conditional(pairs)
     rows = q.join(chosen.select(F.col("term").alias("a"), "rank"), "a").select("rank", "b", F.col("q").alias("anchor_q"))
     met = q.join(rows, "b").groupBy("a", "rank").agg(F.sum(F.col("q") * F.col("anchor_q")).alias("x"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
     held = met.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
     products = q.select("a").distinct().join(held, "a", "left").select(F.col("a").alias("term"), dense.alias("x"))
-    gram = np.zeros((k, k))
-    place = {t: i for i, t in enumerate(names)}
-    for r in products.join(chosen.select("term"), "term", "left_semi").collect():  # a row an anchor
-        gram[place[r.term]] = r.x
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, k)
-            weights, change, steps = simplex_mixtures(x, gram, tolerance, most)
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(weights.tolist(), pa.list_(pa.float64())), pa.array(change), pa.array(steps)], names=["term", "weights", "change", "steps"])
-
-    # Words that stand alone in their document have no neighbours and no row.
-    return products.mapInArrow(solve, "term string, weights array<double>, change double, steps long")
+    return _solved(products, names, tolerance, most)
 
 
 def topic_words(mixtures: DataFrame, counts: DataFrame) -> DataFrame:
     """(topic, term, weight, share): p(topic | word), and p(word | topic) by Bayes."""
-    each = mixtures.select("term", F.posexplode("weights").alias("topic", "weight")).join(counts, "term")
+    each = mixtures.select("term", "weights").join(counts.select("term", "n"), "term").select("term", "n", F.posexplode("weights").alias("topic", "weight"))
     mass = each.groupBy("topic").agg(F.sum(F.col("weight") * F.col("n")).alias("mass"))
-    return each.join(mass, "topic").select("topic", "term", "weight", (F.col("weight") * F.col("n") / F.col("mass")).alias("share"))
+    return each.join(F.broadcast(mass), "topic").select("topic", "term", "weight", (F.col("weight") * F.col("n") / F.col("mass")).alias("share"))
 
 
 def convergence(mixtures: DataFrame) -> DataFrame:
@@ -178,10 +200,19 @@ def convergence(mixtures: DataFrame) -> DataFrame:
 
 def assigned(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, topic): the rank of the first anchor word in each document, 0 without one."""
-    names = [r.term for r in chosen.orderBy("rank").select("term").collect()]
-    if len(names) > MOST_ANCHORS:
-        raise ValueError(f"at most {MOST_ANCHORS} anchors")
-    held = F.array(*[F.lit(t) for t in names]) if names else F.array().cast("array<string>")
-    hits = F.filter(words(F.col(text)), lambda w: F.array_contains(held, w))
-    first = F.try_element_at(hits, F.lit(1))
-    return docs.select(key, F.greatest(F.coalesce(F.array_position(held, first), F.lit(1)) - 1, F.lit(0)).cast("int").alias("topic"))
+    names = pa.array(_names(chosen), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                flat, size = flat_words(part.column(1))
+                rank = pc.fill_null(pc.index_in(flat, names), -1).to_numpy()
+                hit = np.flatnonzero(rank >= 0)
+                doc, first = np.unique(np.repeat(np.arange(len(size)), size)[hit], return_index=True)
+                topic = np.zeros(len(size), np.int32)
+                topic[doc] = rank[hit[first]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(topic)], names=[key, "topic"])
+
+    lowered = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    return lowered.mapInArrow(run, StructType([docs.schema[key], StructField("topic", IntegerType())]))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.shared import saved
 from .operators import clusters, topics
+from .operators.wordpairs import Pairs
 from .registry import query, table
 
 _WORDS = r"""words as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t-\r]+'), lambda w: w <> '') as w from documents),
@@ -46,10 +48,9 @@ def topic_anchors(spark, sf_dir):
 @query()
 def topic_word_weights(spark, sf_dir):
     """Every word's weights in the topics of eight anchors: iterative, so without SQL."""
-    docs = table(spark, sf_dir, "documents")
-    pairs, counts = topics.cooccurrence(docs), topics.word_counts(docs)
-    chosen = topics.anchors(topics.word_scores(pairs, counts, topics.pair_total(docs)), 8)
-    return topics.topic_words(topics.topic_mixtures(pairs, chosen, tolerance=1e-3, most=500), counts).select("topic", "term", F.round("weight", 3).alias("weight"), F.round("share", 6).alias("share"))
+    pairs = Pairs(table(spark, sf_dir, "documents"))
+    chosen = saved(topics.anchors(pairs.scores(), 8))
+    return topics.topic_words(saved(topics.mixtures(pairs, chosen, tolerance=1e-3, most=500)), pairs.counts).select("topic", "term", F.round("weight", 3).alias("weight"), F.round("share", 6).alias("share"))
 
 
 _ROWS = """rows as (select 'lang by source' as pair, lang as t, source as f from documents union all select 'quality by toxic', quality::varchar, toxic::varchar from labels
