@@ -41,8 +41,7 @@ def word_npmi_scores(spark, sf_dir):
 
 @query(f"with {_SCORES} select (row_number() over (order by round(score, 9) desc, term) - 1)::int as rank, term from scores order by 1 limit 20")
 def topic_anchors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)), 20).select("rank", "term")
+    return topics.anchors(Pairs(table(spark, sf_dir, "documents")).scores(), 20).select("rank", "term")
 
 
 @query()
