@@ -88,5 +88,4 @@ hit as (select doc_id, arg_min(rank, i) as topic from placed join top on term =
 select doc_id, coalesce(topic, 0)::int as topic from documents left join hit using (doc_id)""")
 def topic_assignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chosen = topics.anchors(topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)), 20)
-    return topics.assigned(docs, chosen)
+    return topics.assigned(docs, topics.anchors(Pairs(docs).scores(), 20))
