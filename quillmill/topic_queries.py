@@ -35,8 +35,7 @@ def word_pair_npmi(spark, sf_dir):
 
 @query(f"with {_SCORES} select term, round(score, 3) as score from scores")
 def word_npmi_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return topics.word_scores(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)).select("term", F.round("score", 3).alias("score"))
+    return Pairs(table(spark, sf_dir, "documents")).scores().select("term", F.round("score", 3).alias("score"))
 
 
 @query(f"with {_SCORES} select (row_number() over (order by round(score, 9) desc, term) - 1)::int as rank, term from scores order by 1 limit 20")
