@@ -29,8 +29,7 @@ def word_cooccurrence(spark, sf_dir):
 
 @query(f"with {_PMI} select a, b, round(npmi, 6) as npmi from pmi")
 def word_pair_npmi(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return topics.normalized_pmi(topics.cooccurrence(docs), topics.word_counts(docs), topics.pair_total(docs)).select("a", "b", F.round("npmi", 6).alias("npmi"))
+    return Pairs(table(spark, sf_dir, "documents")).npmi(6).select("a", "b", "npmi")
 
 
 @query(f"with {_SCORES} select term, round(score, 3) as score from scores")

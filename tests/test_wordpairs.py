@@ -60,7 +60,7 @@ def test_long_numbers_are_added_too():
         assert (wordpairs.unpacked(wordpairs.packed(a), a.dtype) == a).all()
 
 
-@pytest.mark.parametrize("name", ["topic_word_weights", "topic_anchors", "topic_assignment", "word_npmi_scores"])
+@pytest.mark.parametrize("name", ["topic_word_weights", "topic_anchors", "topic_assignment", "word_npmi_scores", "word_pair_npmi"])
 def test_no_row_for_each_pair(spark, monkeypatch, name):
     """Pairs are neither rows nor made more than once."""
     calls, dealt = [], wordpairs._dealt_pairs
