@@ -1,7 +1,8 @@
 """Word pairs of all documents at once: the exact counts of :func:`topics.cooccurrence`, without a row for each pair.
 
 1. Chunks: a task reads documents until it has some million words and keeps them as the chunk's distinct words and places in these.
-2. Blocks: the chunks' words are counted and dealt by hash into blocks; a word is its block and its place in it.
+2. Blocks: the chunks' words go, packed, to the blocks of their hashes and are counted there; a word is its block and its place in it, and
+   each chunk is told its words' places.
 3. Cells: a chunk's pairs are counted where the chunk is and go, as sorted numbers and packed, to the cell of their two blocks. A cell
    gets both blocks' words and counts, adds up its chunks' pairs and makes the result of them.
 
@@ -12,6 +13,7 @@ more. A document must be one row and is worked on by one task.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -32,6 +34,8 @@ FEWEST_BLOCKS = 4
 ROWS_AT_ONCE = 250_000  # of a cell's result
 
 _CHUNK = "chunk long, words array<string>, tally array<long>, tokens long, near long, lengths binary, code binary"
+_DEALT = "block int, chunk long, a binary, b binary"
+_PLACED = "block int, words array<string>, tally array<long>, chunk long, places binary"
 _CELL = "x int, y int, side int, a binary, b binary"
 _BLOCK = "block int, side int, a binary, b binary"
 
@@ -67,6 +71,10 @@ def _names(blob: bytes) -> pa.Array:
     return flat_words(pa.array([unpacked(blob, np.uint8).tobytes().decode()]))[0]
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     names, kinds = zip(*(c.strip().split(" ") for c in schema.split(",")), strict=True)
     types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
@@ -83,10 +91,14 @@ def _chunked(window: int, most: int) -> Callable:
 
         def flush() -> pa.RecordBatch:
             coded = pa.concat_arrays(held).dictionary_encode()
-            code, size = coded.indices.to_numpy().astype(np.int32), np.concatenate(lengths)
+            size, hashes = np.concatenate(lengths), _hashes(coded.dictionary)
+            order = np.argsort(hashes, kind="stable")  # so that a block's words are one stretch
+            own = np.empty(len(order), np.int32)
+            own[order] = np.arange(len(order))
+            code = own[coded.indices.to_numpy()]
             near = sum(int(np.maximum(size - d, 0).sum()) for d in range(1, window))
-            tally = np.bincount(code, minlength=len(coded.dictionary))
-            words = pa.ListArray.from_arrays(pa.array([0, len(tally)], pa.int32()), coded.dictionary)
+            tally = np.bincount(code, minlength=len(order))
+            words = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(pa.array(order)))
             return _batch(_CHUNK, [first + n], words, [tally], [len(code)], [near], [packed(size.astype(np.int32))], [packed(code)])
 
         for batch in batches:
@@ -117,12 +129,14 @@ def _dealt_pairs(window: int, blocks: int, largest: int) -> Callable:
         if not chunk.num_rows:
             return _table(_CELL, [])
         lengths, code = unpacked(chunk["lengths"][0].as_py(), np.int32), unpacked(chunk["code"][0].as_py(), np.int32)
-        pos, block, place = (ids[c].to_numpy().astype(np.int64) for c in ("pos", "block", "place"))
+        held = sorted(zip(ids["block"].to_pylist(), ids["places"].to_pylist(), strict=True))
+        places = [unpacked(p, np.int32) for _, p in held]
+        block, place = np.repeat([b for b, _ in held], [len(p) for p in places]), np.concatenate(places).astype(np.int64)
         order = np.argsort(block * largest + place)  # own numbers of the words, in order of blocks and places
         block, place = block[order], place[order]
-        own = np.empty(len(pos), np.int64)
-        own[pos[order]] = np.arange(len(pos))
-        word, k = own[code], len(pos)
+        own = np.empty(len(order), np.int64)
+        own[order] = np.arange(len(order))
+        word, k = own[code], len(order)
         sizes = [0, *(int(np.maximum(lengths - d, 0).sum()) for d in range(1, window))]
         key = np.empty(sum(sizes), np.int64)
         for d in range(1, window):
@@ -176,21 +190,52 @@ class Pairs:
     def __init__(self, docs: DataFrame, window: int = 5, text: str = "text"):
         self.window = window
         lowered = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.chunks = bucketed(lowered.mapInArrow(_chunked(window, TOKENS_A_CHUNK), _CHUNK), parts, "chunk")
+        self._parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.chunks = bucketed(lowered.mapInArrow(_chunked(window, TOKENS_A_CHUNK), _CHUNK), self._parts, "chunk")
         self.tokens, self.near = (v or 0 for v in self.chunks.agg(F.sum("tokens"), F.sum("near")).first())
         self.n_blocks = max(FEWEST_BLOCKS, math.ceil(math.sqrt(self.tokens / TOKENS_A_CELL)))
 
+    def _apiece(self, rows: DataFrame, groups: int, *by: str) -> DataFrame:
+        """``rows`` by ``by`` with a task for each of that many groups: what is packed is small, and Spark would put many into one task."""
+        return rows.repartition(max(self._parts, groups), *by)
+
     @cached_property
-    def blocks(self) -> DataFrame:
-        """(block, words, tally): words in their order."""
-        each = self.chunks.select(F.explode(F.arrays_zip("words", "tally")).alias("w")).groupBy(F.col("w.words").alias("term")).agg(F.sum("w.tally").alias("n"))
+    def _placed(self) -> DataFrame:
+        """A row a block with its words in their order, and one a chunk and block with the places of the chunk's words."""
+        blocks = self.n_blocks
+
+        def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    words, tally = batch.column("words").slice(i, 1).flatten(), batch.column("tally").slice(i, 1).flatten().to_numpy()
+                    starts = np.searchsorted(_hashes(words) * blocks >> 32, np.arange(blocks + 1))
+                    for block in np.flatnonzero(np.diff(starts)):
+                        at = slice(starts[block], starts[block + 1])
+                        yield _batch(_DEALT, [int(block)], [batch.column("chunk")[i].as_py()], [_named(words.slice(at.start, at.stop - at.start))], [packed(tally[at])])
+
+        def numbered(rows: pa.Table) -> pa.Table:
+            block, names = rows["block"][0].as_py(), [_names(a.as_py()) for a in rows["a"]]
+            coded = pa.concat_arrays(names).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            places = place[coded.indices.to_numpy()]
+            tally = np.zeros(len(order), np.int64)
+            np.add.at(tally, places, np.concatenate([unpacked(b.as_py(), np.int64) for b in rows["b"]]))
+            ends = np.cumsum([len(n) for n in names])
+            words = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(pa.array(order)))
+            out = [_batch(_PLACED, [block], words, [tally], [None], [None])]
+            for chunk, at in zip(rows["chunk"].to_pylist(), np.split(places, ends[:-1]), strict=True):
+                out.append(_batch(_PLACED, [block], [None], [None], [chunk], [packed(at)]))
+            return pa.Table.from_batches(out)
 
-        def listed(rows: pa.Table) -> pa.Table:
-            rows = rows.take(pc.sort_indices(rows["term"]))
-            return _table("block int, words array<string>, tally array<long>", [(rows["block"][0].as_py(), rows["term"].to_pylist(), rows["n"].to_pylist())])
+        dealt = self._apiece(self.chunks.select("chunk", "words", "tally").mapInArrow(to_blocks, _DEALT), blocks, "block")
+        return saved(dealt.groupBy("block").applyInArrow(numbered, _PLACED))
 
-        return saved(each.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(self.n_blocks)).cast("int")).groupBy("block").applyInArrow(listed, "block int, words array<string>, tally array<long>"))
+    @property
+    def blocks(self) -> DataFrame:
+        """(block, words, tally): words in their order."""
+        return self._placed.filter("chunk is null").select("block", "words", "tally")
 
     @cached_property
     def largest(self) -> int:
@@ -201,17 +246,15 @@ class Pairs:
         """(term, n)."""
         return self.blocks.select(F.explode(F.arrays_zip("words", "tally")).alias("w")).select(F.col("w.words").alias("term"), F.col("w.tally").alias("n"))
 
-    def by_chunk(self, rows: DataFrame, made: Callable, schema: str, *more: str) -> DataFrame:
-        """``made`` of each chunk (with the columns ``more``) and those ``rows`` (term, ...) whose term it has, with the term's place as pos."""
-        local = self.chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("pos", "term"))
-        met = local.join(rows.hint("shuffle_hash"), "term").drop("term")
-        return self.chunks.select("chunk", "lengths", "code", *more).groupBy("chunk").cogroup(met.groupBy("of")).applyInArrow(made, schema)
+    def _by_chunk(self, rows: DataFrame, made: Callable, schema: str, *more: str) -> DataFrame:
+        """``made`` of each chunk (with the columns ``more``) and the ``rows`` (of, ...) of it."""
+        return self.chunks.select("chunk", "lengths", "code", *more).groupBy("chunk").cogroup(rows.groupBy("of")).applyInArrow(made, schema)
 
     def _in_cells(self, made: Callable, schema: str, names: bool) -> DataFrame:
         """``made`` of each cell: both blocks' names (with ``names``) and counts, places of the words of its pairs, the pairs' counts."""
         blocks, largest = self.n_blocks, self.largest
-        ids = self.blocks.select("block", F.posexplode("words").alias("place", "term"))
-        pairs = self.by_chunk(ids, _dealt_pairs(self.window, blocks, largest), _CELL)
+        ids = self._placed.filter("chunk is not null").select(F.col("chunk").alias("of"), "block", "places")
+        pairs = self._by_chunk(ids, _dealt_pairs(self.window, blocks, largest), _CELL)
 
         def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -234,7 +277,8 @@ class Pairs:
             tally = [unpacked(b[i].as_py(), np.int64) for i in ends]
             return made(cell["x"][0].as_py(), cell["y"][0].as_py(), words, tally, key // largest, key % largest, n)
 
-        return pairs.unionByName(self.blocks.mapInArrow(to_cells, _CELL)).groupBy("x", "y").applyInArrow(run, schema)
+        rows = pairs.unionByName(self.blocks.mapInArrow(to_cells, _CELL))
+        return self._apiece(rows, blocks * (blocks + 1) // 2, "x", "y").groupBy("x", "y").applyInArrow(run, schema)
 
     def _logs(self) -> Callable:
         """Of a word's counts: the logarithm of its share, and with EPS added to it; of a pair's: that of its share."""
@@ -266,8 +310,7 @@ class Pairs:
         """(term, n, score) of every word, as :func:`topics.word_scores`."""
         share, share_eps, pair = self._logs()
         tokens = max(self.tokens, 1)
-        # Equal counts together: a sum over all words, one by one, is off by more the more words there are.
-        n_words, logs = self.blocks.select(F.explode("tally").alias("n")).groupBy("n").count().agg(F.sum("count"), F.sum(F.col("count") * F.log(F.col("n") / tokens + EPS))).first()
+        n_words, logs = self.blocks.select(F.explode("tally").alias("n")).agg(F.count("*"), F.sum(F.log(F.col("n") / tokens + EPS))).first()
 
         def summed(x, y, words, tally, first, second, n) -> pa.Table:
             own, other = [share(t) for t in tally], [share_eps(t) for t in tally]
@@ -304,7 +347,7 @@ class Pairs:
             return pa.Table.from_batches([_batch("term string, n long, score double", words, n, score)])
 
         parts = self._in_cells(summed, _BLOCK, names=False).unionByName(self.blocks.mapInArrow(as_blocks, _BLOCK))
-        return parts.groupBy("block").applyInArrow(closed, "term string, n long, score double")
+        return self._apiece(parts, self.n_blocks, "block").groupBy("block").applyInArrow(closed, "term string, n long, score double")
 
     def products(self, names: list[str]) -> DataFrame:
         """(term, x) of all words with neighbours: the product of the word's shares of neighbours with those of each of ``names``.
@@ -356,7 +399,8 @@ class Pairs:
                 out.append(_batch("term string, rank int, x double", words.take(pa.array(hit)), np.full(len(hit), r, np.int32), x[hit]))
             return pa.Table.from_batches(out)
 
-        rows = self.by_chunk(near, summed, "term string, rank int, x double", "words").repartition("term")
+        local = self.chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("pos", "term"))
+        rows = self._by_chunk(local.join(near, "term").drop("term"), summed, "term string, rank int, x double", "words").repartition("term")
         held = rows.groupBy("term", "rank").agg(F.sum("x").alias("x")).groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
         x = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.element_at("m", F.lit(-1))
         return held.select("term", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), x).alias("x") if names else F.array().cast("array<double>").alias("x"))
